@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadwatch.functions.fixed import (
     DESCRIPTION_MAX_CHARS, HANDLE_TRAILING_CHARS, ZERO_WIDTH_CHARS)
@@ -52,7 +53,7 @@ def mask_unknown_mentions(text: Column) -> Column:
     return F.regexp_replace(text, _UNKNOWN_MENTION, "@user")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, Arrow-batched; null stays null."""
     return s.str.normalize("NFKC")

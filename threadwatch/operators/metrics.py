@@ -181,6 +181,11 @@ def _join_scalar(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", k).join(b.select("*", k), "_k", "left").drop("_k")
 
 
+def _report_row(label: str, p: str, r: str, f: str) -> Column:
+    return F.struct(F.lit(label).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                    F.col(f).alias("f1"), F.col("_sup").alias("support"))
+
+
 def classification_report(pred: DataFrame, group_cols: list[str] | None = None, t: str = "true_label",
                           p: str = "pred_label") -> DataFrame:
     """E5: per class precision / recall / F1 / support, then accuracy, macro and weighted averages."""
@@ -196,8 +201,8 @@ def classification_report(pred: DataFrame, group_cols: list[str] | None = None,
     summary = tot.select(*group_cols, F.explode(F.array(
         F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), acc.alias("f1"), F.col("_sup").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("_sup")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("_sup")))).alias("s")
+        _report_row("macro avg", "mp", "mr", "mf"),
+        _report_row("weighted avg", "wp", "wr", "wf"))).alias("s")
     ).select(*group_cols, "s.*")
     rows = pc.select(*group_cols, "label", "precision", "recall", "f1", "support")
     return rows.unionByName(summary)

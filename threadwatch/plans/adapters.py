@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadwatch.functions.fixed import ANNOTATORS, NEWSPAPERS
-from threadwatch.functions.scoring import sql_uniform, uniform
+from threadwatch.functions.scoring import sql_uniform, uniform  # noqa: F401
 from threadwatch.functions.taxonomy import CATEGORIES, TAXONOMY
 
 
@@ -298,3 +298,49 @@ topic_annotations AS (
   SELECT newspaper, file_id, annotator,
          CASE WHEN u3 < 0.125 THEN upper(CASE cat {first} END) ELSE cat END AS topic
   FROM topic_cat)"""
+
+
+# ---------------------------------------------------------------- recorded model answers
+
+# answers a chat model gives to the yes/no prompt, as decoded text
+ANSWERS_YES = ["Sì", "sì.", "Si", "Sì, è offensivo", "SÌ!"]
+ANSWERS_NO = ["No", "no.", "Direi di no", "No, non lo è", "sì? no"]
+ANSWERS_UNPARSEABLE = ["Forse", "", "non saprei", "sicuro"]
+MODEL_NOISE = {"mistral": 0.15, "gemma2": 0.25, "gemma3": 0.2}
+
+
+def model_answers(items: DataFrame, model_key: str, key: str = "doc_id", truth: str = "toxic") -> DataFrame:
+    """Adds ``answer``: the recorded free-text answer of ``model_key`` for each item.
+
+    One answer in twenty is unparseable; ``MODEL_NOISE[model_key]`` of them
+    give the wrong class; the wording is drawn from the lists above.
+    """
+    u = uniform(F.col(key), f"m:{model_key}")
+    w = uniform(F.col(key), f"w:{model_key}")
+    noise = MODEL_NOISE[model_key]
+    says_yes = F.when(u < 0.05 + noise, F.col(truth) == 0).otherwise(F.col(truth) == 1)
+    yes = pick(ANSWERS_YES, F.floor(w * 1000).cast("bigint"))
+    no = pick(ANSWERS_NO, F.floor(w * 1000).cast("bigint"))
+    bad = pick(ANSWERS_UNPARSEABLE, F.floor(w * 1000).cast("bigint"))
+    ans = F.when(u < 0.05, bad).when(says_yes, yes).otherwise(no)
+    return items.withColumn("answer", ans)
+
+
+def sql_model_answers(src: str, model_key: str, key: str = "doc_id", truth: str = "toxic") -> str:
+    u = sql_uniform(key, f"m:{model_key}")
+    w = f"CAST(floor({sql_uniform(key, f'w:{model_key}')} * 1000) AS BIGINT)"
+    noise = MODEL_NOISE[model_key]
+    yes, no, bad = sql_pick(ANSWERS_YES, w), sql_pick(ANSWERS_NO, w), sql_pick(ANSWERS_UNPARSEABLE, w)
+    says_yes = f"(CASE WHEN {u} < {0.05 + noise} THEN {truth} = 0 ELSE {truth} = 1 END)"
+    return (f"SELECT *, CASE WHEN {u} < 0.05 THEN {bad} WHEN {says_yes} THEN {yes} ELSE {no} END AS answer "
+            f"FROM {src}")
+
+
+def sql_parse_label(expr: str) -> str:
+    """DuckDB rendering of the label parser (RE2 has no Unicode ``\\b``)."""
+    t = f"lower(trim({expr}, ' \t\n\r'))"
+    last = r"(?s).*(?:^|[^\p{L}\p{N}_])(sì|no)(?:$|[^\p{L}\p{N}_])"
+    return (f"(CASE WHEN {expr} IS NULL OR {t} = '' THEN NULL "
+            f"WHEN regexp_matches({t}, '{last}') THEN "
+            f"(CASE regexp_extract({t}, '{last}', 1) WHEN 'sì' THEN 1 ELSE 0 END) "
+            f"WHEN regexp_matches({t}, '^si[.!]?$') THEN 1 END)::INTEGER")
