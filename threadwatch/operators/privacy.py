@@ -94,6 +94,8 @@ def replace_names(df: DataFrame, text_col: str, amap: DataFrame,
                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Every known author name in ``text_col`` -> ``@<pseudonym>``, longest names first."""
     spark = df.sparkSession
+    from threadwatch.session import ship_package
+    ship_package(spark)
     names = amap.select(F.col("author").alias("name"), F.concat(F.lit("@"), F.col("author_anon")).alias("repl")) \
                 .filter(F.col("name").isNotNull() & (F.col("name") != ""))
     sized = names.withColumn("_b", F.octet_length("name") + F.octet_length("repl") + F.lit(16))

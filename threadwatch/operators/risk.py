@@ -89,15 +89,27 @@ def build_dataset(meta_files: DataFrame, comment_rows: DataFrame, *, lambda1: fl
     kind, label)``, one row per comment.  Every id known to either side gets a
     row; a missing side gives empty text / zero counts.
     """
+    stats = comment_stats(comment_rows, KEYS + ["kind"])
+    return build_dataset_from_stats(meta_files, stats, lambda1=lambda1, threshold=threshold,
+                                    with_flags=with_flags)
+
+
+def build_dataset_from_stats(meta_files: DataFrame, comment_file_stats_: DataFrame, *, lambda1: float = LAMBDA,
+                             threshold: float = OFFENSIVE_THRESHOLD, with_flags: bool = False) -> DataFrame:
+    """R1-R6 from per-comment-file stats ``(newspaper, file_id, kind, num_comments, num_offensive_comments)``.
+
+    Use this with the file listing of a corpus scan, where header-only and
+    empty files are videos with zero comments.
+    """
     meta = pick_annotated(meta_files.select(*KEYS, "kind", "title", "description", "topic"))
     meta = meta.select(*KEYS, F.col("kind").alias("meta_type"),
                        F.trim(F.coalesce("title", F.lit(""))).alias("title"),
                        F.trim(F.coalesce("description", F.lit(""))).alias("description"),
                        F.nullif(F.col("topic"), F.lit("")).alias("topic"),
                        F.lit(True).alias("_has_meta"))
-    comm = comment_file_stats(comment_rows).select(
-        *KEYS, F.col("kind").alias("comm_type"), "num_comments", "num_offensive_comments",
-        F.lit(True).alias("_has_comm"))
+    comm = pick_annotated(comment_file_stats_.select(*KEYS, "kind", "num_comments", "num_offensive_comments"))
+    comm = comm.select(*KEYS, F.col("kind").alias("comm_type"), "num_comments", "num_offensive_comments",
+                       F.lit(True).alias("_has_comm"))
     joined = meta.join(comm, KEYS, "full_outer")
     out = joined.select(
         F.col("file_id").alias("video_id"), "newspaper",

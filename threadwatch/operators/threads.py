@@ -124,6 +124,8 @@ def thread_depth(comments: DataFrame, parent_col: str = "inferred_parent_id", ma
                                                   F.col("root").alias("root_id"))
     stuck = state.filter(~F.col("done")).select("video_id", "comment_id")
     cyc = stuck.join(nodes.select("video_id", "comment_id", F.col("p").alias("ptr")), ["video_id", "comment_id"])
+    from threadwatch.session import ship_package
+    ship_package(comments.sparkSession)
     walked = cyc.groupBy("video_id").applyInPandas(
         _walk_cycles, "video_id string, comment_id string, depth int, root_id string")
     return finished.withColumn("depth", F.col("depth").cast("int")).unionByName(walked)
