@@ -21,7 +21,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadwatch.functions.text import leading_mention, norm_handle
@@ -52,10 +52,18 @@ def resolve_mentions(comments: DataFrame, max_handle_len: int | None = None) ->
         F.max_by("handle", F.length("handle")).alias("target_handle"))
 
 
+def epoch_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since the epoch, independent of the session time zone for NTZ columns."""
+    dtype = df.schema[col].dataType.typeName()
+    if dtype == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
+    return F.unix_micros(F.col(col).cast("timestamp"))
+
+
 def infer_parents(comments: DataFrame, max_handle_len: int | None = None) -> DataFrame:
     """Adds ``inferred_parent_id`` (the parent unless a mention resolves to an earlier sibling)."""
     targets = resolve_mentions(comments, max_handle_len)
-    ts = F.unix_micros(F.col("published_at").cast("timestamp"))
+    ts = epoch_micros(comments, "published_at")
     rows = comments.select(
         "video_id", "comment_id", _thread_key().alias("tk"), ts.alias("t"),
         norm_handle(F.coalesce(F.col("author").cast("string"), F.lit("nan"))).alias("handle"))
