@@ -302,3 +302,44 @@ def model_dev_scores(spark, sf_dir):
 
 
 _ = BASELINES
+
+
+def trial_dump(spark, sf_dir):
+    """E2 + E10: the seeded trial sample, its comment prompt, label and every model's prediction."""
+    from threadwatch.functions.text import truncate_description
+    from threadwatch.operators.prompts import comment_prompt
+    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "toxic", "text", "source")
+    sample = metrics.seeded_sample(items, "doc_id")
+    sample = sample.withColumn("prompt", comment_prompt(F.col("source"), truncate_description(F.col("text")),
+                                                        F.lit(None), F.lit(None), F.col("text")))
+    parts = []
+    for key in MODEL_KEYS:
+        a = ad.model_answers(sample, key)
+        parts.append(a.select(F.lit(key).alias("model_key"), "doc_id", "prompt", F.col("toxic").alias("label"),
+                              parse_label(F.col("answer")).alias("pred")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _sql_trial() -> str:
+    from threadwatch.functions.prompt_text import COMMENT_PROMPT
+    from threadwatch.operators.prompts import sql_render
+    from threadwatch.plans.q_annotate import sql_truncate
+    prompt = sql_render(COMMENT_PROMPT, {
+        "video_title": "coalesce(source, 'N/A')", "video_description": f"coalesce({sql_truncate('text')}, 'N/A')",
+        "head_comment": "'N/A'", "previous_comment": "'N/A'", "target_comment": "coalesce(text, 'nan')"})
+    parts, ctes = [], []
+    for key in MODEL_KEYS:
+        ctes.append(f"a_{key} AS ({ad.sql_model_answers('smp', key)})")
+        parts.append(f"SELECT '{key}' AS model_key, doc_id, prompt, toxic AS label, "
+                     f"{ad.sql_parse_label('answer')} AS pred FROM a_{key}")
+    return f"""
+WITH smp AS (
+  SELECT doc_id, toxic, text, source, {prompt} AS prompt FROM labels JOIN documents USING (doc_id)
+  ORDER BY {sql_uniform('doc_id', 42)}, doc_id LIMIT 50),
+""" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(parts)
+
+
+query("trial_dump", _sql_trial())(trial_dump)
