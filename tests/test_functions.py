@@ -88,3 +88,13 @@ def test_offensive_score(spark):
 def test_uniform_matches_known_value(spark):
     df = spark.createDataFrame([("7",)], "k string")
     assert df.select(scoring.uniform(F.col("k"), 42)).first()[0] == pytest.approx(2903997543 / 2 ** 32)
+
+
+def test_topic_udf_path_agrees_with_expression(spark):
+    vals = ["politics and government", "coup d’etat", "La categoria è: sport.", "education e health",
+            "nulla", "", None, "  crime  ", "un disaster e un accident and emergency incident",
+            "law enforcement and justice and religion", "Weather Forecast oggi"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    a = [r[0] for r in df.orderBy("i").select(taxonomy.parse_topic(F.col("v"))).collect()]
+    b = [r[0] for r in taxonomy.with_parsed_topic(df, "v").orderBy("i").select("topic").collect()]
+    assert a == b
