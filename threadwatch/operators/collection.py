@@ -78,9 +78,13 @@ def comment_cap(comments: DataFrame, page: str = "page", cap: int = MAX_COMMENTS
                 video: str = "video_id") -> DataFrame:
     """Whole pages are kept while the rows of the earlier pages number fewer than ``cap``.
 
-    The window runs over per-page counts (one row per page), not over comments.
+    Every page has at least one row, so only a video's first ``cap`` pages can
+    be kept: a window group limit (local top-``cap`` before the shuffle) bounds
+    the running-sum window to ``cap`` page rows per video, however hot the video.
     """
     pages = comments.groupBy(video, page).agg(F.count(F.lit(1)).alias("_n"))
+    first = Window.partitionBy(video).orderBy(page)
+    pages = pages.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= cap).drop("_rn")
     w = Window.partitionBy(video).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     keep = pages.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))) \
                 .filter(F.col("_before") < cap).select(video, page)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 
 def _bucket(df: DataFrame, key: str, n_buckets: int, rel_err: float) -> DataFrame:
+    if n_buckets <= 1:
+        return df.withColumn("_bucket", F.lit(0.0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = sorted({c for c in df.approxQuantile(key, probs, rel_err) if c is not None})
     splits = [float("-inf")] + cuts + [float("inf")]

@@ -6,9 +6,12 @@
   prefixes (no longer than the longest handle) and equi-joined with the
   distinct handles of the thread, so work is linear in replies, not
   quadratic in thread size.
-* T3b (which of their comments): an as-of pick written as one window: probes
-  and candidate rows are unioned and the latest strictly-earlier candidate is
-  ``max(struct(ts, id))`` over ``rangeBetween(unboundedPreceding, -1)``.
+* T3b (which of their comments): an as-of pick (``operators.asof``): probes
+  and candidates are unioned, cut into time buckets at global quantiles, and
+  the latest strictly-earlier candidate is ``max(struct(ts, id))`` over
+  ``rangeBetween(unboundedPreceding, -1)`` inside a bucket, combined with a
+  prefix maximum over earlier buckets, so a hot author in a giant thread is
+  spread over all buckets instead of one task.
 * T4 (depth): pointer jumping; each round joins unfinished nodes to the node
   their pointer names, doubling the hop length, so chains of length L finish
   in about log2(L) rounds.  Every round is checkpointed to the shared
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadwatch.functions.text import leading_mention, norm_handle
+from threadwatch.operators.asof import asof_latest
 from threadwatch.session import cut_lineage
 
 ROOT_GROUP = "\u0000top"  # stands for a null parent in grouping keys
@@ -60,7 +64,7 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def infer_parents(comments: DataFrame, max_handle_len: int | None = None) -> DataFrame:
+def infer_parents(comments: DataFrame, max_handle_len: int | None = None, n_buckets: int = 64) -> DataFrame:
     """Adds ``inferred_parent_id`` (the parent unless a mention resolves to an earlier sibling)."""
     targets = resolve_mentions(comments, max_handle_len)
     ts = epoch_micros(comments, "published_at")
@@ -69,13 +73,10 @@ def infer_parents(comments: DataFrame, max_handle_len: int | None = None) -> Dat
         norm_handle(F.coalesce(F.col("author").cast("string"), F.lit("nan"))).alias("handle"))
     rows = rows.filter(F.col("t").isNotNull())
     probes = rows.join(targets, ["video_id", "comment_id"]).select(
-        "video_id", "tk", F.col("target_handle").alias("handle"), "t", "comment_id", F.lit(True).alias("probe"))
-    cands = rows.select("video_id", "tk", "handle", "t", "comment_id", F.lit(False).alias("probe"))
-    u = probes.unionByName(cands)
-    w = Window.partitionBy("video_id", "tk", "handle").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    best = F.max(F.when(~F.col("probe"), F.struct("t", "comment_id"))).over(w)
-    found = u.withColumn("_b", best).filter(F.col("probe") & F.col("_b").isNotNull()) \
-             .select("video_id", "comment_id", F.col("_b.comment_id").alias("_found"))
+        "video_id", "tk", F.col("target_handle").alias("handle"), "t", "comment_id")
+    cands = rows.select("video_id", "tk", "handle", "t", "comment_id")
+    found = asof_latest(probes, cands, ["video_id", "tk", "handle"], n_buckets=n_buckets) \
+        .select("video_id", "comment_id", F.col("found_id").alias("_found"))
     out = comments.join(found, ["video_id", "comment_id"], "left")
     return out.withColumn("inferred_parent_id", F.coalesce(F.col("_found"), F.col("parent_comment_id"))).drop("_found")
 
