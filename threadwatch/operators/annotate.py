@@ -131,3 +131,13 @@ def gold_videos(videos: DataFrame, topic_col: str = "topic") -> DataFrame:
     from threadwatch.functions.taxonomy import canonical_topic
     v = videos.filter(F.col(topic_col).isNotNull() & (F.trim(F.col(topic_col)) != ""))
     return v.withColumnRenamed(topic_col, "topic_raw").withColumn("topic", canonical_topic(F.col("topic_raw")))
+
+
+def outcome_counters(statuses: DataFrame, labelled: DataFrame, label_col: str, unparseable_value=None) -> DataFrame:
+    """A2 after scoring: skipped counts plus ``written`` and ``unparseable`` (a subset of written)."""
+    skips = statuses.filter(F.col("status").startswith("skipped_")).groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"))
+    bad = (F.col(label_col).isNull() if unparseable_value is None else (F.col(label_col) == unparseable_value))
+    out = labelled.agg(F.count(F.lit(1)).alias("written"), F.count_if(bad).alias("unparseable"))
+    out = out.unpivot([], ["written", "unparseable"], "status", "n")
+    return skips.unionByName(out)

@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket(df: DataFrame, key: str, n_buckets: int, rel_err: float) -> DataFrame:
+def _bucket(df: DataFrame, key: str, n_buckets: int, rel_err: float, sample: DataFrame | None = None) -> DataFrame:
+    """Adds ``_bucket``: value range of ``key`` cut at quantiles of ``sample`` (default: ``df``)."""
     if n_buckets <= 1:
         return df.withColumn("_bucket", F.lit(0.0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted({c for c in df.approxQuantile(key, probs, rel_err) if c is not None})
+    src = sample if sample is not None else df
+    cuts = sorted({c for c in src.approxQuantile(key, probs, rel_err) if c is not None})
     splits = [float("-inf")] + cuts + [float("inf")]
     if len(splits) < 3:
         return df.withColumn("_bucket", F.lit(0.0))

@@ -64,7 +64,8 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def infer_parents(comments: DataFrame, max_handle_len: int | None = None, n_buckets: int = 64) -> DataFrame:
+def infer_parents(comments: DataFrame, max_handle_len: int | None = None,
+                  n_buckets: int | None = None) -> DataFrame:
     """Adds ``inferred_parent_id`` (the parent unless a mention resolves to an earlier sibling)."""
     targets = resolve_mentions(comments, max_handle_len)
     ts = epoch_micros(comments, "published_at")
@@ -106,7 +107,7 @@ def thread_depth(comments: DataFrame, parent_col: str = "inferred_parent_id", ma
     n = nodes.join(known, ["video_id", "p"], "left")
     top = ~F.col("is_reply")
     state = n.select(
-        "video_id", "comment_id",
+        "video_id", "comment_id", "p",
         F.when(top | F.col("p").isNull() | F.col("_known").isNull(), F.lit(None)).otherwise(F.col("p")).alias("ptr"),
         F.when(top, 0).otherwise(1).alias("dist"),
         F.when(top | F.col("p").isNull(), F.col("comment_id")).when(F.col("_known").isNull(), F.col("p"))
@@ -123,7 +124,7 @@ def thread_depth(comments: DataFrame, parent_col: str = "inferred_parent_id", ma
                            F.col("dist").alias("n_dist"), F.col("root").alias("n_root"), F.col("done").alias("n_done"))
         todo = state.filter(~F.col("done")).join(nxt, ["video_id", "ptr"], "left")
         todo = todo.select(
-            "video_id", "comment_id",
+            "video_id", "comment_id", "p",
             F.when(F.col("n_done"), F.lit(None)).otherwise(F.col("n_ptr")).alias("ptr"),
             (F.col("dist") + F.col("n_dist")).alias("dist"),
             F.when(F.col("n_done"), F.col("n_root")).alias("root"),
@@ -131,8 +132,8 @@ def thread_depth(comments: DataFrame, parent_col: str = "inferred_parent_id", ma
         state = cut_lineage(state.filter(F.col("done")).unionByName(todo))
     finished = state.filter(F.col("done")).select("video_id", "comment_id", F.col("dist").alias("depth"),
                                                   F.col("root").alias("root_id"))
-    stuck = state.filter(~F.col("done")).select("video_id", "comment_id")
-    cyc = stuck.join(nodes.select("video_id", "comment_id", F.col("p").alias("ptr")), ["video_id", "comment_id"])
+    # the original parent travels in the (checkpointed) state: no recomputation of the input
+    cyc = state.filter(~F.col("done")).select("video_id", "comment_id", F.col("p").alias("ptr"))
     from threadwatch.session import ship_package
     ship_package(comments.sparkSession)
     walked = cyc.groupBy("video_id").applyInPandas(

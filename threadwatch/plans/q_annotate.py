@@ -201,3 +201,21 @@ def prompt_grid(spark, sf_dir):
     g = prompts.risk_prompt_grid(v)
     return g.select("video_key", F.col("prompt_id").cast("int").alias("prompt_id"), "model_key",
                     F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("silver_run_counters", SQL_DOC_SETS + f""",
+st AS (
+  SELECT CASE WHEN g.file_id IS NOT NULL THEN 'skipped_gold'
+              WHEN s.file_id IS NOT NULL THEN 'skipped_silver' END AS status
+  FROM raw
+  LEFT JOIN (SELECT DISTINCT newspaper, file_id FROM lab WHERE quality = 1) g USING (newspaper, file_id)
+  LEFT JOIN (SELECT DISTINCT newspaper, file_id FROM lab WHERE quality = 0) s USING (newspaper, file_id)),
+parsed AS ({sql_topic_select("pend", "newspaper, file_id", f"coalesce(nullif({sql_truncate('text')}, ''), 'N/A')")})
+SELECT status, count(*) AS n FROM st WHERE status IS NOT NULL GROUP BY status
+UNION ALL SELECT 'written', count(*) FROM parsed
+UNION ALL SELECT 'unparseable', count(*) FILTER (WHERE topic IS NULL) FROM parsed""")
+def silver_run_counters(spark, sf_dir):
+    """A1 + A2 + A3 + A8: run counters of a silver topic run (skips, written, unparseable)."""
+    raw, g, s = _doc_sets(spark, sf_dir)
+    st = annotate.status_table(raw.withColumn("_t", F.lit("x")), g, s, ["newspaper", "file_id"], "_t")
+    return annotate.outcome_counters(st, silver_topics(spark, sf_dir), "topic", "")
