@@ -67,10 +67,10 @@ def _div0(a, b):
 
 
 SQL_COUNTS = """
-  count(*) AS n_total, count_if(pred_label IS NULL) AS n_unparseable,
-  count_if(true_label = 1) AS n_pos, count_if(true_label = 0) AS n_neg,
-  count_if(true_label = 1 AND pred_label = 1) AS tp, count_if(true_label = 0 AND pred_label = 1) AS fp,
-  count_if(true_label = 1 AND pred_label = 0) AS fn, count_if(true_label = 0 AND pred_label = 0) AS tn"""
+  count(*) AS n_total, CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable,
+  CAST(count_if(true_label = 1) AS BIGINT) AS n_pos, CAST(count_if(true_label = 0) AS BIGINT) AS n_neg,
+  CAST(count_if(true_label = 1 AND pred_label = 1) AS BIGINT) AS tp, CAST(count_if(true_label = 0 AND pred_label = 1) AS BIGINT) AS fp,
+  CAST(count_if(true_label = 1 AND pred_label = 0) AS BIGINT) AS fn, CAST(count_if(true_label = 0 AND pred_label = 0) AS BIGINT) AS tn"""
 
 SQL_METRICS = f"""
 m1 AS (
@@ -127,7 +127,7 @@ bp_{model_key} AS (SELECT doc_id, lang, toxic AS true_label, {ad.sql_parse_label
 
 
 @query("binary_score", "WITH " + sql_binary_preds().strip() + f"""
-SELECT count(*) AS n_total, count_if(pred_label IS NULL) AS n_unparseable,
+SELECT count(*) AS n_total, CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable,
        {_div0('2 * count_if(true_label = 1 AND pred_label = 1)',
               '2 * count_if(true_label = 1 AND pred_label = 1) + count_if(true_label = 0 AND pred_label = 1)'
               ' + count_if(true_label = 1 AND pred_label = 0)')} AS f1_offensive
@@ -137,8 +137,8 @@ def binary_score(spark, sf_dir):
 
 
 @query("label_distribution", "WITH " + sql_binary_preds().strip() + """
-SELECT count(*) AS n_total, count_if(true_label = 1) AS n_pos, count_if(true_label = 0) AS n_neg,
-       count_if(pred_label IS NULL) AS n_unparseable FROM bp_gemma2""")
+SELECT count(*) AS n_total, CAST(count_if(true_label = 1) AS BIGINT) AS n_pos, CAST(count_if(true_label = 0) AS BIGINT) AS n_neg,
+       CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable FROM bp_gemma2""")
 def label_distribution(spark, sf_dir):
     return metrics.label_distribution(binary_preds(spark, sf_dir))
 
@@ -199,7 +199,7 @@ lp AS (
 
 
 @query("macro_f1_multiclass", SQL_LANG_PREDS + sql_report("lp", "true_label", "pred_label") + f"""
-SELECT (SELECT count(*) FROM lp) AS n_total, (SELECT count_if(pred_label IS NULL) FROM lp) AS n_unparseable,
+SELECT (SELECT count(*) FROM lp) AS n_total, (SELECT CAST(count_if(pred_label IS NULL) AS BIGINT) FROM lp) AS n_unparseable,
        coalesce(avg(f1), 0.0) AS macro_f1, count(*) AS n_classes FROM pc""")
 def macro_f1_multiclass(spark, sf_dir):
     return metrics.macro_f1(lang_preds(spark, sf_dir))
@@ -291,9 +291,9 @@ def _select_best_model(spark, sf_dir):
 
 
 @query("model_dev_scores", SQL_SPLIT + _sql_model_preds() + """
-SELECT model_key, split, count(*) AS n_total, count_if(pred_label IS NULL) AS n_unparseable,
-       count_if(true_label = 1 AND pred_label = 1) AS tp, count_if(true_label = 0 AND pred_label = 1) AS fp,
-       count_if(true_label = 1 AND pred_label = 0) AS fn
+SELECT model_key, split, count(*) AS n_total, CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable,
+       CAST(count_if(true_label = 1 AND pred_label = 1) AS BIGINT) AS tp, CAST(count_if(true_label = 0 AND pred_label = 1) AS BIGINT) AS fp,
+       CAST(count_if(true_label = 1 AND pred_label = 0) AS BIGINT) AS fn
 FROM mp GROUP BY 1, 2""")
 def model_dev_scores(spark, sf_dir):
     p = model_predictions(spark, sf_dir)

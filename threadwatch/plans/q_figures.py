@@ -29,9 +29,9 @@ m AS (SELECT DISTINCT newspaper, file_id, kind FROM video_files),
 f AS (SELECT coalesce(c.kind, m.kind) AS kind, coalesce(c.newspaper, m.newspaper) AS newspaper,
              c.file_id IS NOT NULL AS hc, m.file_id IS NOT NULL AS hm
       FROM c FULL OUTER JOIN m ON c.newspaper = m.newspaper AND c.file_id = m.file_id AND c.kind = m.kind)
-SELECT kind, newspaper, count_if(hc) AS comment_files, count_if(hm) AS metadata_files,
-       count_if(hc AND hm) AS matched,
-       count_if(hc AND hm) = count_if(hc) AND count_if(hc AND hm) = count_if(hm) AS one_to_one
+SELECT kind, newspaper, CAST(count_if(hc) AS BIGINT) AS comment_files, CAST(count_if(hm) AS BIGINT) AS metadata_files,
+       CAST(count_if(hc AND hm) AS BIGINT) AS matched,
+       count_if(hc AND hm) = count_if(hc) AND count_if(hc AND hm) = CAST(count_if(hm) AS BIGINT) AS one_to_one
 FROM f GROUP BY kind, newspaper""")
 def pairing_check(spark, sf_dir):
     return figures.pairing_check(ad.comment_rows(spark, sf_dir), ad.video_files(spark, sf_dir))

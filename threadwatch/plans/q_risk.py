@@ -83,8 +83,8 @@ query("risk_full_outer", SQL_DATASET_CTE + f"\nSELECT {DATASET_COLS} FROM datase
 
 
 @query("risk_missing_counts", SQL_DATASET_CTE + """
-SELECT count_if(NOT has_metadata) AS videos_without_metadata,
-       count_if(NOT has_comments) AS videos_without_comments FROM dataset""")
+SELECT CAST(count_if(NOT has_metadata) AS BIGINT) AS videos_without_metadata,
+       CAST(count_if(NOT has_comments) AS BIGINT) AS videos_without_comments FROM dataset""")
 def risk_missing_counts(spark, sf_dir):
     return risk.missing_counts(video_dataset(spark, sf_dir, with_flags=True))
 
