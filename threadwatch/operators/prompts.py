@@ -12,10 +12,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadwatch.functions.fixed import MISSING_FIELD, MODELS
+from threadwatch.functions.fixed import MODELS
 from threadwatch.functions.prompt_text import COMMENT_PROMPT, RISK_PROMPTS, TOPIC_PROMPT
 from threadwatch.functions.taxonomy import taxonomy_block
-from threadwatch.functions.text import coalesce_na, truncate_description  # noqa: F401
+from threadwatch.functions.text import coalesce_na
 
 
 def _parts(template: str):

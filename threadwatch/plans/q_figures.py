@@ -116,13 +116,11 @@ topic_random AS (
 
 @query("label_shares_true_pred", SQL_EVAL + sql_topic_random("[0]") + """
 SELECT video_topic AS topic,
-       try_divide? AS x FROM topic_random""".replace("""
-       try_divide? AS x FROM topic_random""", """
        count_if(true_label = 0) * 100.0 / nullif(count(true_label), 0) AS true_not_trig,
        count_if(true_label = 1) * 100.0 / nullif(count(true_label), 0) AS true_trig,
        count_if(pred_label = 0) * 100.0 / nullif(count(pred_label), 0) AS pred_not_trig,
        count_if(pred_label = 1) * 100.0 / nullif(count(pred_label), 0) AS pred_trig
-FROM topic_random WHERE video_topic IS NOT NULL GROUP BY video_topic"""))
+FROM topic_random WHERE video_topic IS NOT NULL GROUP BY video_topic""")
 def label_shares_true_pred(spark, sf_dir):
     pred = baselines.baseline_predictions(eval_dataset(spark, sf_dir), ["topic_majority_random"], n_runs=1)
     return figures.label_shares(pred)
