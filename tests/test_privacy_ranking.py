@@ -42,3 +42,17 @@ def test_replace_authors(spark):
     df = spark.createDataFrame([("@x",), ("@y",)], "author string")
     m = spark.createDataFrame([("@x", "author_9")], "author string, author_anon string")
     assert sorted(r[0] for r in privacy.replace_authors(df, m).collect()) == ["@y", "author_9"]
+
+
+def test_replace_handle_names_longest_prefix(spark):
+    names = spark.createDataFrame([("@bob", "author_1"), ("@bobby", "author_2"), ("@al", "author_3"),
+                                   ("free name", "author_4")], "author string, author_anon string")
+    texts = spark.createDataFrame([(1, "@bobby, ask @bob and @al!"), (2, "mail a@alice.it"), (3, None),
+                                   (4, "no handles"), (5, "@@bob@bobx @zed"), (6, "")], "i int, t string")
+    got = {r[0]: r[1] for r in privacy.replace_handle_names(texts, "t", names, "i").collect()}
+    assert got == {1: "@author_2, ask @author_1 and @author_3!", 2: "mail a@author_3ice.it", 3: None,
+                   4: "no handles", 5: "@@author_1@author_1x @zed", 6: ""}
+    # same result as the automaton path on @-names
+    at_only = names.filter("author LIKE '@%'")
+    via_ac = {r[0]: r[1] for r in privacy.replace_names(texts, "t", at_only).collect()}
+    assert via_ac == got

@@ -90,9 +90,47 @@ def _replace_fn(bc):
     return replace
 
 
+HANDLE_NAME = r"^@[^@\s]+$"
+
+
+def replace_handle_names(df: DataFrame, text_col: str, amap: DataFrame, id_col: str) -> DataFrame:
+    """P3 for ``@handle`` names (no inner ``@`` or whitespace), as joins only.
+
+    Such a name can only start at an ``@``: the text is split at every ``@``;
+    each piece's prefixes (no longer than the longest name) are equi-joined
+    with the names; the longest hit is replaced and the pieces are joined back
+    in order.  No dictionary is broadcast or collected, so the map may be as
+    large as the corpus.  ``id_col`` must identify the rows of ``df``.
+    """
+    names = amap.select(F.col("author").alias("_name"), F.concat(F.lit("@"), F.col("author_anon")).alias("_repl")) \
+                .filter(F.col("_name").rlike(HANDLE_NAME))
+    max_len = names.agg(F.max(F.length("_name"))).first()[0] or 0
+    seg = df.select(id_col, F.posexplode(F.split(F.col(text_col), "@", -1)).alias("_pos", "_seg"))
+    cand = seg.filter(F.col("_pos") >= 1).select(
+        id_col, "_pos", F.explode(F.sequence(F.lit(1), F.least(F.length("_seg"), F.lit(max(max_len - 1, 1)))))
+        .alias("_k"), "_seg")
+    cand = cand.filter(F.col("_k") <= F.length("_seg")).withColumn(
+        "_pref", F.concat(F.lit("@"), F.substring(F.col("_seg"), F.lit(1), F.col("_k"))))
+    hits = cand.join(names, cand["_pref"] == names["_name"], "inner").groupBy(id_col, "_pos").agg(
+        F.max_by(F.struct("_k", "_repl"), F.col("_k")).alias("_best"))
+    seg = seg.join(hits, [id_col, "_pos"], "left")
+    piece = (F.when(F.col("_pos") == 0, F.col("_seg"))
+             .when(F.col("_best").isNull(), F.concat(F.lit("@"), F.col("_seg")))
+             .otherwise(F.concat(F.col("_best._repl"), F.substring(F.col("_seg"), F.col("_best._k") + 1, 1 << 30))))
+    rebuilt = seg.groupBy(id_col).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("_pos"), piece.alias("p")))), lambda x: x["p"]), "")
+        .alias("_new"))
+    out = df.join(rebuilt, id_col, "left")
+    return out.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(F.col("_new"))) \
+              .drop("_new")
+
+
 def replace_names(df: DataFrame, text_col: str, amap: DataFrame,
                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Every known author name in ``text_col`` -> ``@<pseudonym>``, longest names first."""
+    """Every known author name in ``text_col`` -> ``@<pseudonym>``, longest names first.
+
+    For maps of ``@handle`` names prefer ``replace_handle_names`` (joins only).
+    """
     spark = df.sparkSession
     from threadwatch.session import ship_package
     ship_package(spark)

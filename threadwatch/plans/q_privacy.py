@@ -77,3 +77,17 @@ FROM documents""")
 def clean_text_q(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", clean_text(F.col("text")).alias("text"))
+
+
+@query("replace_handles", "WITH " + ad.SQL_EVENT_COMMENTS.strip() + ",\n" + SQL_MAP.strip()[len("WITH "):] + """,
+t AS (SELECT comment_id, text, strpos(text, '@') AS p FROM event_comments),
+c AS (SELECT t.comment_id, arg_max(m.author, length(m.author)) AS name, arg_max(m.author_anon, length(m.author)) AS anon
+      FROM t JOIN amap m ON t.p > 0 AND starts_with(substr(t.text, t.p), m.author) GROUP BY 1)
+SELECT t.comment_id,
+       CASE WHEN c.name IS NULL THEN t.text
+            ELSE substr(t.text, 1, t.p - 1) || '@' || c.anon || substr(t.text, t.p + length(c.name)) END AS text
+FROM t LEFT JOIN c USING (comment_id)""")
+def replace_handles(spark, sf_dir):
+    """P3 on comment texts with the pseudonym map of ``@handle`` authors (join path, no broadcast)."""
+    c = ad.event_comments(spark, sf_dir).select("comment_id", "text")
+    return privacy.replace_handle_names(c, "text", author_map(spark, sf_dir), "comment_id")
