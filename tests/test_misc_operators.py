@@ -56,3 +56,18 @@ def test_epoch_parse(spark):
     df = spark.createDataFrame([("1704067207.179575",), ("n/a",), (None,)], "t string")
     got = [r[0] for r in df.select(collection.epoch_to_ntz(F.col("t"))).collect()]
     assert got == [dt.datetime(2024, 1, 1, 0, 0, 7, 179575), None, None]
+
+
+def test_figures_row_and_file_aggregate_paths_agree(spark):
+    rows = [("gold", "np1", "f1", 1), ("gold", "np1", "f1", 0), ("gold", "np1", "f1", None),
+            ("silver", "np2", "f2", 1), ("silver", "np2", "f3", None), ("silver", "np1", "f4", 0)]
+    c = spark.createDataFrame(rows, "kind string, newspaper string, file_id string, label int")
+    m = spark.createDataFrame([("gold", "np1", "f1", "sport"), ("silver", "np2", "f2", "sport"),
+                               ("silver", "np2", "f3", None), ("silver", "np1", "f4", "health")],
+                              "kind string, newspaper string, file_id string, topic string")
+    by_rows = figures.join_topics(c, m)
+    by_files = figures.join_topics_agg(c, m)
+    for fn in (figures.topic_stats, figures.newspaper_rates, figures.topic_stats_by_kind, figures.axis_labels):
+        a = sorted(map(tuple, fn(by_rows).collect()), key=str)
+        b = sorted(map(tuple, fn(by_files).collect()), key=str)
+        assert a == b, fn.__name__

@@ -36,11 +36,42 @@ def join_topics(comments: DataFrame, meta_files: DataFrame) -> DataFrame:
     return comments.join(m, FILE_KEYS, "inner")
 
 
+def file_aggregates(comments: DataFrame) -> DataFrame:
+    """Pre-aggregate comments per file: rows, labelled rows, label sum (map-side combined).
+
+    Every figure statistic decomposes into these three sums, so the topic join
+    runs on one row per file instead of one per comment.
+    """
+    return comments.groupBy(*FILE_KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"),
+        F.sum("label").cast("bigint").alias("sum_label"))
+
+
+def join_topics_agg(comments: DataFrame, meta_files: DataFrame) -> DataFrame:
+    """V1 + V2 on per-file aggregates: ``(kind, newspaper, file_id, topic, n, n_labelled, sum_label)``."""
+    return join_topics(file_aggregates(comments), meta_files)
+
+
+def _is_agg(df: DataFrame) -> bool:
+    return "n_labelled" in df.columns
+
+
+def _sums(df: DataFrame):
+    """(rows, labelled rows, label sum) as aggregate expressions for comment rows or file aggregates."""
+    if _is_agg(df):
+        return F.sum("n"), F.sum("n_labelled"), F.sum("sum_label")
+    return F.count(F.lit(1)), F.count("label"), F.sum("label")
+
+
 def newspaper_rates(comments: DataFrame) -> DataFrame:
-    """V3: per kind, overall and per-newspaper count and offensive % (sum / rows, rounded 3)."""
+    """V3: per kind, overall and per-newspaper count and offensive % (sum / rows, rounded 3).
+
+    Accepts comment rows or ``file_aggregates`` (with topics joined).
+    """
+    n, _, s = _sums(comments)
     agg = comments.rollup("kind", "newspaper").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.coalesce(F.sum("label"), F.lit(0)) / F.count(F.lit(1)) * 100, 3).alias("offensive_pct"),
+        n.cast("bigint").alias("n"),
+        F.round(F.coalesce(s, F.lit(0)) / n * 100, 3).alias("offensive_pct"),
         F.grouping_id().alias("_g"))
     return agg.filter(F.col("_g") < 3).select(
         "kind", F.coalesce("newspaper", F.lit("ALL")).alias("newspaper"), "n", "offensive_pct")
@@ -51,8 +82,9 @@ def topic_stats(comments: DataFrame) -> DataFrame:
 
     ``Total`` counts null-topic rows; the per-topic rows drop them.
     """
+    n, nl, s = _sums(comments)
     agg = comments.rollup("topic").agg(
-        (F.avg("label") * 100).alias("offensive"), F.count(F.lit(1)).alias("n"),
+        (F.try_divide(s.cast("double"), nl) * 100).alias("offensive"), n.cast("bigint").alias("n"),
         F.grouping_id().alias("_g"))
     agg = agg.filter((F.col("_g") == 1) | F.col("topic").isNotNull())
     return agg.select(F.when(F.col("_g") == 1, F.lit("Total")).otherwise(F.col("topic")).alias("topic"),
@@ -64,8 +96,10 @@ def topic_stats_by_kind(comments: DataFrame) -> DataFrame:
 
     One ``cube(kind, topic)`` pass; the pivot runs on its (topics x kinds) output.
     """
+    n, nl, s = _sums(comments)
     c = comments.cube("kind", "topic").agg(
-        (F.avg("label") * 100).alias("off"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
+        (F.try_divide(s.cast("double"), nl) * 100).alias("off"), n.cast("bigint").alias("n"),
+        F.grouping_id().alias("_g"))
     # _g bit 1 = kind rolled up, bit 0 = topic rolled up
     c = c.filter(((F.col("_g") % 2) == 1) | F.col("topic").isNotNull())
     c = c.withColumn("t", F.when((F.col("_g") % 2) == 1, F.lit("Total")).otherwise(F.col("topic")))
@@ -82,7 +116,8 @@ def topic_stats_by_kind(comments: DataFrame) -> DataFrame:
 
 def axis_labels(comments: DataFrame) -> DataFrame:
     """V6: ``topic\\n(n=1,234)`` for every non-null topic."""
-    t = comments.filter(F.col("topic").isNotNull()).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    n, _, _ = _sums(comments)
+    t = comments.filter(F.col("topic").isNotNull()).groupBy("topic").agg(n.cast("bigint").alias("n"))
     return t.withColumn("axis_label", F.concat(F.col("topic"), F.lit("\n(n="),
                                                F.format_number(F.col("n"), 0), F.lit(")")))
 

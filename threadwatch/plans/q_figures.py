@@ -11,7 +11,8 @@ from threadwatch.sources.dataset import load_dataset
 
 
 def comments_with_topics(spark, sf_dir):
-    return figures.join_topics(ad.comment_rows(spark, sf_dir), ad.video_files(spark, sf_dir))
+    """Per comment file: rows, labelled rows and label sum, with the video's topic (pre-aggregated join)."""
+    return figures.join_topics_agg(ad.comment_rows(spark, sf_dir), ad.video_files(spark, sf_dir))
 
 
 SQL_JOINED = f"""
