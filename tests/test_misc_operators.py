@@ -71,3 +71,15 @@ def test_figures_row_and_file_aggregate_paths_agree(spark):
         a = sorted(map(tuple, fn(by_rows).collect()), key=str)
         b = sorted(map(tuple, fn(by_files).collect()), key=str)
         assert a == b, fn.__name__
+
+
+def test_annotator_tree_listing(spark):
+    import os
+    base = tempfile.mkdtemp(prefix="tw-ann-")
+    for ann, np_, fid in [("A1", "lastampa", "_x1"), ("A2", "lastampa", "_x1"), ("A1", "repubblica", "y2")]:
+        d = os.path.join(base, ann, "VideosComments/youtube/annotated_comments", np_)
+        os.makedirs(d, exist_ok=True)
+        open(os.path.join(d, f"{fid}.csv"), "w").write("comment_id,label\nc1,1\n")
+    got = sorted((r["annotator"], r["newspaper"], r["file_id"])
+                 for r in corpus.annotator_files(spark, base, ".csv").collect())
+    assert got == [("A1", "lastampa", "_x1"), ("A1", "repubblica", "y2"), ("A2", "lastampa", "_x1")]

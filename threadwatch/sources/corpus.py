@@ -1,9 +1,10 @@
 """Readers for the landed corpus tree ``{stage}/{newspaper}/{file_id}[_gold|_silver].{csv,json}``.
 
 Spark's file index silently skips names that start with ``_`` (and video ids
-may), so files are *listed* through the Hadoop FileSystem API on the driver
-(names only) and *read* on the executors by ``mapInPandas`` over a
-DataFrame of paths, with ``pyarrow.fs`` (local, HDFS, object stores).  The
+may), so files are listed and read without it: the driver lists only the
+top-level folders (the newspapers); each folder is listed by an executor task
+with ``pyarrow.fs`` and every file is read by ``mapInPandas`` over the
+resulting DataFrame of paths, so no file list passes through the driver.  The
 result is one typed table per stage; land it as Parquet once and run every
 later stage from there.
 """
@@ -43,9 +44,52 @@ def list_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
     return sorted(out)
 
 
-def _paths_df(spark: SparkSession, paths: list[str]) -> DataFrame:
+def list_dirs(spark: SparkSession, root: str) -> list[str]:
+    """Immediate sub-folders of ``root`` (the newspapers): the only listing done on the driver."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(st.getPath().toString() for st in fs.listStatus(path) if st.isDirectory())
+
+
+def _local_or_uri(path: str):
+    from pyarrow import fs as pafs
+    if path.startswith("file:") or "://" not in path:
+        local = "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
+        return pafs.LocalFileSystem(), local, "file:"
+    filesystem, p = pafs.FileSystem.from_uri(path)
+    return filesystem, p, path[:path.index("://") + 3]
+
+
+def _list_on_executors(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """Files under every sub-folder of ``root``, listed by the executors (one task per folder)."""
+    from threadwatch.session import ship_package
+    ship_package(spark)
+    dirs = list_dirs(spark, root)
+    top = [(root, False)] + [(d, True) for d in dirs]
+    df = spark.createDataFrame(top, "dir string, recursive boolean").repartition(max(1, len(top)))
+
+    def ls(batches):
+        from pyarrow import fs as pafs
+        for pdf in batches:
+            out = []
+            for d, rec in zip(pdf["dir"], pdf["recursive"]):
+                filesystem, p, scheme = _local_or_uri(d)
+                for info in filesystem.get_file_info(pafs.FileSelector(p, recursive=bool(rec))):
+                    if info.type == pafs.FileType.File and info.path.endswith(suffix):
+                        out.append(("file:" + info.path) if scheme == "file:" else scheme + info.path)
+            yield pd.DataFrame({"path": out}, dtype=object)
+
+    return df.mapInPandas(ls, "path string")
+
+
+def _paths_df(spark: SparkSession, paths) -> DataFrame:
     from threadwatch.session import ship_package
     ship_package(spark)
+    if isinstance(paths, DataFrame):
+        return paths.repartition(spark.sparkContext.defaultParallelism * 4)
     n = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
 
@@ -80,7 +124,7 @@ def read_comment_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     status (``ok``, ``empty`` for a 0-byte file, ``error``), so header-only
     and empty files still count as videos with zero comments.
     """
-    paths = list_files(spark, root, ".csv")
+    paths = _list_on_executors(spark, root, ".csv")
     row_schema = ", ".join(f"{c} string" for c in COMMENT_FIELDS) + ", path string, row_no long"
     file_schema = "path string, n_rows long, n_columns int, status string"
 
@@ -128,7 +172,7 @@ def read_metadata_files(spark: SparkSession, root: str) -> DataFrame:
 
     A list-valued topic keeps its first element; an empty list is null.
     """
-    paths = list_files(spark, root, ".json")
+    paths = _list_on_executors(spark, root, ".json")
     schema = ", ".join(f"{c} string" for c in META_FIELDS) + ", path string, status string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,11 +220,13 @@ def typed_comments(rows: DataFrame) -> DataFrame:
 
 def annotator_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """The annotators' workload tree ``root/<annotator>/.../<newspaper>/<file>``, long form."""
-    paths = list_files(spark, root, suffix)
-    rel = [p.split(root.rstrip("/") + "/", 1)[-1] for p in paths]
-    rows = [(r.split("/")[0], *_path_parts(p), p) for p, r in zip(paths, rel)]
-    df = spark.createDataFrame(rows, "annotator string, newspaper string, filename string, path string")
-    return df.withColumn("file_id", F.regexp_extract("filename", r"^([^.]+)", 1))
+    paths = _list_on_executors(spark, root, suffix)
+    rel = F.regexp_extract("path", r"^.*?" + root.rstrip("/").split("/")[-1] + r"/(.*)$", 1)
+    return paths.select(
+        F.split(rel, "/").getItem(0).alias("annotator"),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("newspaper"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "path") \
+        .withColumn("file_id", F.regexp_extract("filename", r"^([^.]+)", 1))
 
 
 def comment_file_table(rows: DataFrame, files: DataFrame) -> DataFrame:
