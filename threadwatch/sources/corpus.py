@@ -28,22 +28,6 @@ META_FIELDS = ["video_id", "title", "channel", "published_at", "description", "t
                "like_count", "comment_count", "topic", "type", "annotator_number"]
 
 
-def list_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
-    """Every file under ``root`` ending in ``suffix`` (hidden-name filter not applied)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    it = fs.listFiles(path, True)
-    out = []
-    while it.hasNext():
-        p = it.next().getPath().toString()
-        if p.endswith(suffix):
-            out.append(p)
-    return sorted(out)
-
-
 def list_dirs(spark: SparkSession, root: str) -> list[str]:
     """Immediate sub-folders of ``root`` (the newspapers): the only listing done on the driver."""
     jvm = spark.sparkContext._jvm
