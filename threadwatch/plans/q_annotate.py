@@ -13,6 +13,7 @@ from threadwatch.operators import annotate, gold, prompts, threads
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset
 from threadwatch.plans.registry import query
+from threadwatch.session import cut_lineage
 
 
 def sql_truncate(x: str, n: int = 1000) -> str:
@@ -219,3 +220,101 @@ def silver_run_counters(spark, sf_dir):
     raw, g, s = _doc_sets(spark, sf_dir)
     st = annotate.status_table(raw.withColumn("_t", F.lit("x")), g, s, ["newspaper", "file_id"], "_t")
     return annotate.outcome_counters(st, silver_topics(spark, sf_dir), "topic", "")
+
+
+# ---------------------------------------------------------------- topic classifier selection (E9 on topics)
+
+TOPIC_MODEL_NOISE = {"mistral": 0.3, "gemma2": 0.45, "gemma3": 0.35}
+
+
+def topic_answers(items, model_key: str):
+    """Recorded free-text topic answers: 5 % junk, ``noise`` a drawn category, else the true topic in a sentence."""
+    from threadwatch.functions.taxonomy import CATEGORIES
+    u = ad.uniform(F.col("file_id"), f"tm:{model_key}")
+    w = ad.uniform(F.col("file_id"), f"tw:{model_key}")
+    drawn = ad.pick(CATEGORIES, F.floor(w * 17).cast("bigint"))
+    ans = (F.when(u < 0.05, F.lit("non saprei"))
+           .when(u < 0.05 + TOPIC_MODEL_NOISE[model_key], drawn)
+           .otherwise(F.concat(F.lit("Categoria: "), F.upper(F.col("topic")))))
+    return items.withColumn("answer", ans)
+
+
+def sql_topic_answers(src: str, model_key: str) -> str:
+    from threadwatch.functions.scoring import sql_uniform
+    from threadwatch.functions.taxonomy import CATEGORIES
+    u = sql_uniform("file_id", f"tm:{model_key}")
+    w = sql_uniform("file_id", f"tw:{model_key}")
+    drawn = ad.sql_pick(CATEGORIES, f"CAST(floor({w} * 17) AS BIGINT)")
+    return (f"SELECT *, CASE WHEN {u} < 0.05 THEN 'non saprei' "
+            f"WHEN {u} < {0.05 + TOPIC_MODEL_NOISE[model_key]} THEN {drawn} "
+            f"ELSE 'Categoria: ' || upper(topic) END AS answer FROM {src}")
+
+
+def select_best_topic_model(spark, sf_dir):
+    """A10 -> E1 -> A6 -> E4 -> E9: macro-F1 of every model on dev, first maximum, scored once on test."""
+    from threadwatch.operators import metrics
+    g = gold.majority_topic(ad.topic_annotations(spark, sf_dir), ["newspaper", "file_id"])
+    gv = annotate.gold_videos(g.select("newspaper", "file_id", "topic")).select("file_id", "topic")
+    # the split feeds one branch per model: materialise it once (reliable checkpoint)
+    s = cut_lineage(metrics.dev_test_split(gv, "file_id", "topic"))
+    parts = []
+    for i, key in enumerate(MODEL_KEYS):
+        a = with_parsed_topic(topic_answers(s, key), "answer", "pred_label")
+        parts.append(a.select(F.lit(key).alias("model_key"), F.lit(i).alias("ordinal"), "file_id", "split",
+                              F.col("topic").alias("true_label"), "pred_label"))
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
+    scores = metrics.macro_f1(preds, ["model_key", "ordinal", "split"])
+    best = scores.filter(F.col("split") == "dev").orderBy(F.col("macro_f1").desc(), "ordinal").limit(1)
+    test = scores.filter(F.col("split") == "test").select("model_key", F.col("macro_f1").alias("test_macro_f1"))
+    return best.join(test, "model_key").select(F.col("model_key").alias("best_model"),
+                                               F.col("macro_f1").alias("dev_macro_f1"), "test_macro_f1")
+
+
+def _sql_select_best_topic_model() -> str:
+    from threadwatch.functions.scoring import sql_uniform
+    ctes = [f"""gv AS (SELECT file_id, {sql_canonical_topic('topic')} AS topic FROM gt
+          WHERE topic IS NOT NULL AND trim(topic) <> '')""",
+            "counts AS (SELECT topic, count(*) AS c FROM gv GROUP BY topic)",
+            "tot AS (SELECT sum(c) AS n, CAST(ceil(0.4::DOUBLE * sum(c)) AS BIGINT) AS n_test, min(c) AS minc FROM counts)",
+            "q AS (SELECT topic, c, c * (n - n_test) / n AS cont FROM counts, tot)",
+            "q2 AS (SELECT topic, c, floor(cont) AS fl, cont - floor(cont) AS rem FROM q)",
+            "need AS (SELECT (SELECT n - n_test FROM tot) - sum(fl) AS need FROM q2)",
+            "ranked AS (SELECT q2.*, row_number() OVER (ORDER BY rem DESC, topic) AS r FROM q2)",
+            "quota AS (SELECT topic, c - (fl + CASE WHEN r <= (SELECT need FROM need) THEN 1 ELSE 0 END) AS quota FROM ranked)",
+            f"uu AS (SELECT file_id, topic, {sql_uniform('file_id', 42)} AS u FROM gv)",
+            """sp AS (
+  SELECT uu.file_id, uu.topic,
+         CASE WHEN (SELECT minc FROM tot) >= 2
+              THEN CASE WHEN row_number() OVER (PARTITION BY uu.topic ORDER BY u, file_id) - 1 < quota.quota
+                        THEN 'test' ELSE 'dev' END
+              ELSE CASE WHEN row_number() OVER (ORDER BY u, file_id) - 1 < (SELECT n_test FROM tot)
+                        THEN 'test' ELSE 'dev' END END AS split
+  FROM uu JOIN quota USING (topic))"""]
+    parts = []
+    for i, key in enumerate(MODEL_KEYS):
+        ctes.append(f"ta_{key} AS ({sql_topic_answers('sp', key)})")
+        ctes.append(f"tp_{key} AS ({sql_topic_select(f'ta_{key}', 'file_id, split, topic', 'answer', 'pred')})")
+        parts.append(f"SELECT '{key}' AS model_key, {i} AS ordinal, file_id, split, topic AS t, pred AS p "
+                     f"FROM tp_{key}")
+    ctes.append("mp AS (" + " UNION ALL ".join(parts) + ")")
+    ctes.append("""conf AS (SELECT model_key, ordinal, split, t, p, count(*) AS n FROM mp WHERE p IS NOT NULL GROUP BY ALL)""")
+    ctes.append("""sides AS (
+  SELECT model_key, ordinal, split, t AS label, CASE WHEN t = p THEN n ELSE 0 END AS tp, 0 AS fp,
+         CASE WHEN t <> p THEN n ELSE 0 END AS fn FROM conf
+  UNION ALL
+  SELECT model_key, ordinal, split, p, 0, CASE WHEN t <> p THEN n ELSE 0 END, 0 FROM conf)""")
+    ctes.append("""pc AS (SELECT model_key, ordinal, split, label,
+  coalesce(CAST(2 * sum(tp) AS DOUBLE) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0.0) AS f1
+  FROM sides GROUP BY ALL)""")
+    ctes.append("""ms AS (SELECT m.model_key, m.ordinal, m.split, coalesce(avg(pc.f1), 0.0) AS macro_f1
+  FROM (SELECT DISTINCT model_key, ordinal, split FROM mp) m LEFT JOIN pc USING (model_key, ordinal, split)
+  GROUP BY ALL)""")
+    ctes.append("best AS (SELECT * FROM ms WHERE split = 'dev' ORDER BY macro_f1 DESC, ordinal LIMIT 1)")
+    return SQL_GOLD_TOPICS + ",\n" + ",\n".join(ctes) + """
+SELECT best.model_key AS best_model, best.macro_f1 AS dev_macro_f1, t.macro_f1 AS test_macro_f1
+FROM best JOIN ms t ON t.model_key = best.model_key AND t.split = 'test'"""
+
+
+query("select_best_topic_model", _sql_select_best_topic_model())(select_best_topic_model)

@@ -11,6 +11,7 @@ from threadwatch.operators import baselines, metrics
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset, sql_topic_random
 from threadwatch.plans.registry import query
+from threadwatch.session import cut_lineage
 
 PRED_COLS = "baseline, run, video_key, video_topic, true_label, pred_label"
 MODEL_KEYS = [m[0] for m in MODELS]
@@ -244,7 +245,8 @@ def seeded_sample(spark, sf_dir):
 
 def model_predictions(spark, sf_dir):
     """Dev/test split x every model in the catalogue, parsed answers, long form."""
-    s = split_items(spark, sf_dir)
+    # the split feeds one branch per model: materialise it once (reliable checkpoint)
+    s = cut_lineage(split_items(spark, sf_dir))
     parts = []
     for i, key in enumerate(MODEL_KEYS):
         a = ad.model_answers(s, key)
