@@ -83,3 +83,19 @@ def test_annotator_tree_listing(spark):
     got = sorted((r["annotator"], r["newspaper"], r["file_id"])
                  for r in corpus.annotator_files(spark, base, ".csv").collect())
     assert got == [("A1", "lastampa", "_x1"), ("A1", "repubblica", "y2"), ("A2", "lastampa", "_x1")]
+
+
+def test_sinks_roundtrip(spark):
+    from threadwatch.sources import sinks
+    base = tempfile.mkdtemp(prefix="tw-sink-")
+    df = spark.createDataFrame([("np1", "gold", "c1", 'line one\nline "two"'), ("np2", "silver", "c2", "plain")],
+                               "newspaper string, kind string, comment_id string, text string")
+    sinks.write_table(df, f"{base}/parquet")
+    back = spark.read.parquet(f"{base}/parquet")
+    assert sorted(map(tuple, back.select("newspaper", "kind", "comment_id", "text").collect())) == \
+        sorted(map(tuple, df.collect()))
+    sinks.export_csv(df, f"{base}/csv")
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{base}/csv")
+    assert sorted(r["text"] for r in csv.collect()) == sorted(r["text"] for r in df.collect())
+    with pytest.raises(Exception):
+        sinks.write_table(df, f"{base}/parquet")   # never overwrite silently
