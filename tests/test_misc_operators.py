@@ -99,3 +99,12 @@ def test_sinks_roundtrip(spark):
     assert sorted(r["text"] for r in csv.collect()) == sorted(r["text"] for r in df.collect())
     with pytest.raises(Exception):
         sinks.write_table(df, f"{base}/parquet")   # never overwrite silently
+
+
+def test_channel_shortfall(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    vids = spark.createDataFrame([("a", f"v{i}", t0) for i in range(3)] + [("b", f"w{i}", t0) for i in range(6)],
+                                 "newspaper string, video_id string, published_at timestamp_ntz")
+    e = collection.eligible_videos(vids, "2024-01-05 00:00:00", max_per_channel=5)
+    short = {r[0]: r[1] for r in collection.channel_shortfall(e, max_per_channel=5).collect()}
+    assert short == {"a": 3}
