@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from threadwatch.llm.op2_substring import OP2_SQL, op2_substring_dedup
+from threadwatch.llm.op5_token_counts import op5_token_counts
+from threadwatch.llm.op6_near_dup import OP6_SQL, op6_minhash_near_dedup
+from threadwatch.llm.op9_packing import op9_best_fit_packing
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
+    "op6_minhash_near_dedup": OP6_SQL,
 }
