@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from threadwatch.llm.op1_decontamination import op1_benchmark_decontamination
 from threadwatch.llm.op2_substring import OP2_SQL, op2_substring_dedup
+from threadwatch.llm.op3_quality import op3_quality_classifier
+from threadwatch.llm.op4_licenses import op4_license_scan
 from threadwatch.llm.op5_token_counts import op5_token_counts
 from threadwatch.llm.op6_near_dup import OP6_SQL, op6_minhash_near_dedup
 from threadwatch.llm.op9_packing import op9_best_fit_packing
+from threadwatch.llm.op10_url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op10_url_filters": OP10_SQL,
 }
