@@ -8,6 +8,8 @@ from threadwatch.llm.op3_quality import op3_quality_classifier
 from threadwatch.llm.op4_licenses import op4_license_scan
 from threadwatch.llm.op5_token_counts import op5_token_counts
 from threadwatch.llm.op6_near_dup import OP6_SQL, op6_minhash_near_dedup
+from threadwatch.llm.op7_main_text import op7_min_cut_main_text
+from threadwatch.llm.op8_ann import op8_rotated_codes_ann
 from threadwatch.llm.op9_packing import op9_best_fit_packing
 from threadwatch.llm.op10_url_filters import OP10_SQL, op10_url_filters
 
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_min_cut_main_text": op7_min_cut_main_text,
+    "op8_rotated_codes_ann": op8_rotated_codes_ann,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filters": op10_url_filters,
 }
