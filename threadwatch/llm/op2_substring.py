@@ -139,7 +139,15 @@ def _answer(key, table):
     return pa.table(rows, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
 
-def _apply(n_buckets: int, window: int, schema: pa.Schema, with_spans: bool):
+def _cut_out(text: bytes, gone: np.ndarray, start: np.ndarray) -> bytes:
+    """The text without the removed words, each with the white space after it."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8)))
+    place = np.append(start, len(text))[edge].tolist()
+    parts = [text[a:b] for a, b in zip([0, *place[1::2]], [*place[::2], len(text)])]
+    return b"".join(parts)
+
+
+def _apply(n_buckets: int, window: int, schema: pa.Schema, with_spans: bool, keep_layout: bool):
     def apply(key, docs, answers):
         if docs.num_rows == 0:
             return schema.empty_table()
@@ -157,13 +165,18 @@ def _apply(n_buckets: int, window: int, schema: pa.Schema, with_spans: bool):
         np.subtract.at(change, later + window, 1)
         removed = np.cumsum(change[:-1]) > 0
         at, texts, n_removed, spans = chunk.words.first.tolist(), [], [], []
-        raw = chunk.table.column("_text").cast(pa.large_binary()).fill_null(b"").to_pylist()
+        raw = chunk.table.column("_text").cast(pa.large_binary()).to_pylist()
         for d, text in enumerate(raw):
             gone = removed[at[d]:at[d + 1]]
             n = int(gone.sum())
             n_removed.append(n)
-            words = text.split()
-            texts.append(b" ".join(compress(words, (~gone).tolist()) if n else words))
+            if not keep_layout:
+                words = (text or b"").split()
+                texts.append(b" ".join(compress(words, (~gone).tolist()) if n else words))
+            elif not n:
+                texts.append(text)
+            else:
+                texts.append(_cut_out(text, gone, chunk.words.start[at[d]:at[d + 1]] - chunk.words.offsets[d]))
             if with_spans:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
@@ -184,7 +197,7 @@ def chunk_count(texts: DataFrame, column: str, chunk_bytes: int) -> tuple[int, i
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   carry: tuple[str, ...] = (), spans: bool = True, chunk_bytes: int = CHUNK_BYTES,
+                   carry: tuple[str, ...] = (), spans: bool = True, keep_layout: bool = False, chunk_bytes: int = CHUNK_BYTES,
                    bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """Remove every word covered by a window whose word sequence starts earlier elsewhere.
 
@@ -194,7 +207,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     word positions, end exclusive).  Earlier is: smaller id; rows without an id come
     before all others, ordered by a hash of their text; rows that share an id are ordered
     by text; of equal rows one keeps its words.  A null or empty text has no words and
-    gives an empty ``kept_text``.  An empty table gives an empty result.
+    gives an empty ``kept_text``.  An empty table gives an empty result.  With ``keep_layout``
+    a text without removals stays as it is (null too), and others keep their white space.
     """
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
@@ -212,7 +226,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     schema = T.StructType(fields)
     from pyspark.sql.pandas.types import to_arrow_schema
     result = source.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _apply(n_buckets, window, to_arrow_schema(schema), spans), schema)
+        _apply(n_buckets, window, to_arrow_schema(schema), spans, keep_layout), schema)
     return result.select(F.col("_id").alias(id_col), *[F.col("_rest")[c].alias(c) for c in carry],
                          "kept_text", "n_words", "n_removed", *(["removed"] if spans else []))
 
