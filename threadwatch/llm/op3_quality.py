@@ -175,11 +175,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets, index, value, stats = features(batch.column("_text"))
             off = pa.array(offsets, pa.int32())
             yield pa.RecordBatch.from_arrays([
-                batch.column("label"), pa.ListArray.from_arrays(off, pa.array(index, pa.int32())),
+                batch.column("_id"), batch.column("label"), pa.ListArray.from_arrays(off, pa.array(index, pa.int32())),
                 pa.ListArray.from_arrays(off, pa.array(value, pa.float32())),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * stats.shape[1], pa.int32()),
                                          pa.array(stats.reshape(-1)))],
-                names=["label", "idx", "val", "stats"])
+                names=["_id", "label", "idx", "val", "stats"])
 
 
 def training_ids(labels: DataFrame, sample: int, fold: int = 5) -> DataFrame:
@@ -198,8 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(training_ids(labels, sample).withColumnRenamed("doc_id", "_id"))  # at most ``sample`` rows
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")) \
         .join(chosen, "_id").select("_id", "label", "_text")
-    table = rows.select("label", "_text").mapInArrow(
-        _extract, "label int, idx array<int>, val array<float>, stats array<double>").toArrow().combine_chunks()
+    table = rows.mapInArrow(
+        _extract, "_id long, label int, idx array<int>, val array<float>, stats array<double>").toArrow().combine_chunks()
     if table.num_rows == 0:
         return None
     idx, val, st = (table.column(c).combine_chunks() for c in ("idx", "val", "stats"))
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     index, value = np.asarray(idx.values, np.int64), np.asarray(val.values, np.float64)
     stats = np.asarray(st.values, np.float64).reshape(table.num_rows, -1)
     y = table.column("label").to_numpy().astype(np.float64)
-    order = np.lexsort((*stats.T, y))  # the same fit whatever order the rows arrive in
+    order = np.lexsort((*stats.T, table.column("_id").to_numpy()))  # the same fit whatever order the rows arrive in
     counts = np.diff(offsets)[order]
     pick = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - offsets[order], counts)
     index, value, stats, y = index[pick], value[pick], stats[order], y[order]
