@@ -100,18 +100,18 @@ def judge_urls(urls: DataFrame, *, url_col: str = "url", patterns: list[str] = B
         .withColumn("_tokens", url_tokens("_url"))
     whole = lower_az(F.coalesce("_url", F.lit("")))
     keyed = {t: rs for t, rs in index.items() if t}
-    always = index.get("", [])
+
+    def listed(rules):
+        return F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.regex).alias("regex")) for r in rules]) \
+            .cast("array<struct<pattern:string,regex:string>>")
+
+    candidates = listed(index.get("", []))  # rules without a whole token are candidates of every URL
     if keyed:
-        files = F.create_map(*[x for t, rs in keyed.items() for x in (F.lit(t), F.array(*[
-            F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.regex).alias("regex")) for r in rs]))])
+        files = F.create_map(*[x for t, rs in keyed.items() for x in (F.lit(t), listed(rs))])
         held = F.array_intersect("_tokens", F.array(*[F.lit(t) for t in keyed]))
-        candidates = F.flatten(F.transform(held, lambda t: files[t]))
-        fitting = F.filter(candidates, lambda r: F.regexp_like(whole, r["regex"]))
-        fits = F.transform(fitting, lambda r: r["pattern"])
-    else:
-        fits = F.array().cast("array<string>")
-    for r in always:
-        fits = F.when(F.regexp_like(whole, F.lit(r.regex)), F.concat(fits, F.array(F.lit(r.pattern)))).otherwise(fits)
+        candidates = F.concat(candidates, F.flatten(F.transform(held, lambda t: files[t])))
+    fitting = F.filter(candidates, lambda r: F.regexp_like(whole, r["regex"]))
+    fits = F.transform(fitting, lambda r: r["pattern"])
     row = row.withColumn("pattern", F.array_min(fits))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("pattern").isNotNull(), "block").otherwise("allow")
     for action, host, path in sorted(host_rules, key=lambda r: len(r[1] + r[2])):  # the longest comes last and wins
