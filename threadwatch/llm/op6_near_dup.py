@@ -5,8 +5,10 @@ hashes and a signature of the low four bits of every minimum, packed sixteen to
 Documents with the same set form a class and are never compared.  Classes that share a
 band are candidates; inside a band each class is held against a pivot, never against all
 others.  Bit counts of two signatures give the similarity corrected for chance collisions;
-what can reach the threshold is confirmed on the full sets.  Bands whose classes did not
-all join one component are then searched pairwise in blocks, across components only.
+what can reach the threshold is confirmed on the full sets.  Where the classes of a band did
+not all join one component, components with a plausible pair form a region, and a region's
+members are compared on the full sets, block by block, across components; only links that
+join components leave a task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ PER_LONG = 64 // LOW_BITS
 #: standard errors below the threshold at which a candidate is given up
 SLACK = 6.0
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
 #: bits of the filter that tells which texts are read again; its size does not depend on the input
 FILTER_BITS = 26
 
@@ -227,9 +230,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = stored(confirmed(best.select("a", "b")))
         links = found if links is None else links.union(found)
         roots = components(links)
-    rest = stored(across(apart(shared, roots), wanted.select("key", "sig"), threshold, n_hashes))
-    if not rest.isEmpty():
-        roots = components(links.union(confirmed(rest)))
+    families = family_edges(apart(shared, roots), wanted.select("key", "sig"), threshold, n_hashes)
+    families = stored(families)
+    if not families.isEmpty():
+        region = components(families).select(F.col("node").alias("root"), F.col("root").alias("region"))
+        members = sets.join(roots.select(F.col("node").alias("key"), "root"), "key", "left") \
+            .withColumn("root", F.coalesce("root", "key")).join(region, "root")
+        roots = components(links.union(links_within(members, percent)))
     grouped = signed.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left") \
         .withColumn("root", F.coalesce("root", "set_key"))
     least = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -254,47 +261,106 @@ def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(split, "band")
 
 
-def across(rows: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
-    """Pairs (a, b) of one band but different components whose estimate can reach the threshold.
+def dealt_pairwise(rows: DataFrame, blocks) -> DataFrame:
+    """``rows`` dealt into ``blocks`` and sent to every pair (p, q) of them."""
+    return rows.withColumn("x", F.pmod(F.xxhash64("key"), blocks).cast("int")) \
+        .withColumn("y", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))) \
+        .withColumn("p", F.least("x", "y")).withColumn("q", F.greatest("x", "y")).drop("y")
 
-    A band's classes are dealt into blocks; each task compares two blocks of at most
-    about ``BLOCK`` rows, so no band is gathered in one place.
+
+class Merging:
+    """Union-find over the components met in a task."""
+
+    def __init__(self, roots: list):
+        number: dict = {}
+        self.of = np.array([number.setdefault(r, len(number)) for r in roots], np.int64)
+
+    def link(self, a: int, b: int) -> None:
+        self.of[self.of == self.of[b]] = self.of[a]
+
+    def new_links(self, i: int, others: np.ndarray) -> Iterator[int]:
+        """Those of ``others`` that join another component to that of i, one for each."""
+        while True:
+            others = others[self.of[others] != self.of[i]]
+            if not len(others):
+                return
+            yield int(others[0])
+            self.link(i, int(others[0]))
+
+
+def family_edges(rows: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
+    """(a, b): roots of components that hold a pair of one band whose estimate can reach the threshold.
+
+    A task compares two blocks of a band, about ``BLOCK`` rows each, by bit counts, and
+    returns no more than a spanning forest of the components it meets.
     """
     low = threshold - SLACK * standard_error(threshold, n_hashes)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("x", F.pmod(F.xxhash64("key"), blocks).cast("int")) \
-        .withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))) \
-        .select("band", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "key", "root") \
-        .join(sigs, "key")
+    chance = 2.0 ** -LOW_BITS
+    most = math.floor((1 - (low * (1 - chance) + chance)) * n_hashes + 1e-9)  # unequal values at most
+    dealt = dealt_pairwise(rows, F.ceil(F.col("size") / BLOCK)) \
+        .select("band", "p", "q", "x", "key", "root").join(sigs, "key")
 
     def compare(group, table):
         sig = np.array(table.column("sig").to_pylist(), np.int64).view(U64)
-        root, key = table.column("root").to_pylist(), table.column("key").to_pylist()
-        number = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        comp = np.array([number[r] for r in root])
+        root = table.column("root").to_pylist()
+        merging = Merging(root)
         block = table.column("x").to_numpy()
-        p, q = group[1].as_py(), group[2].as_py()
-        left = np.flatnonzero(block == p)
-        right = np.flatnonzero(block == q)
-        chance = 2.0 ** -LOW_BITS
-        out_a, out_b = [], []
-        for i in left:
-            others = right[comp[right] != comp[i]]
-            if p == q:
-                others = others[others > i]
+        right = np.flatnonzero(block == group[2].as_py())
+        out = []
+        for i in np.flatnonzero(block == group[1].as_py()):
+            others = right[merging.of[right] != merging.of[i]]
+            if not len(others):
+                continue
             z = sig[others] ^ sig[i]
             z |= z >> U64(2)
             z |= z >> U64(1)
             unequal = np.bitwise_count(z & U64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
-            est = (1 - unequal / n_hashes - chance) / (1 - chance)
-            for j in others[est >= low]:
-                out_a.append(min(key[i], key[j]))
-                out_b.append(max(key[i], key[j]))
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+            out += [(root[i], root[j]) for j in merging.new_links(i, others[unequal <= most])]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return dealt.groupBy("band", "p", "q").applyInArrow(compare, "a binary, b binary").distinct()
 
 
+def links_within(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each region, by the full sets of all its members.
+
+    ``members(region, root, key, n, shingles)``; a region's members are dealt into blocks
+    of about ``BLOCK_SHINGLES`` shingles and a task compares two of them.  It returns links
+    that join components, at most one fewer than the components it meets; no pairs.
+    """
+    sizes = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = dealt_pairwise(members.join(sizes, "region"), F.col("blocks")) \
+        .select("region", "p", "q", "x", "key", "root", "shingles")
+
+    def compare(group, table):
+        shingles = table.column("shingles").combine_chunks()
+        shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
+        offsets = np.asarray(shingles.offsets, np.int64)
+        sizes = np.diff(offsets)
+        vocabulary, ids = np.unique(np.asarray(shingles.values)[offsets[0]:offsets[-1]], return_inverse=True)
+        offsets = offsets - offsets[0]
+        key = table.column("key").to_pylist()
+        merging = Merging(table.column("root").to_pylist())
+        block = table.column("x").to_numpy()
+        right = np.flatnonzero(block == group[2].as_py())
+        inside = np.concatenate([ids[offsets[j]:offsets[j + 1]] for j in right]) if len(right) else ids[:0]
+        starts = np.concatenate([[0], np.cumsum(sizes[right])])[:-1]
+        held = np.zeros(len(vocabulary), np.uint8)
+        out = []
+        for i in np.flatnonzero(block == group[1].as_py()):
+            if (merging.of[right] == merging.of[i]).all():
+                continue
+            mine = ids[offsets[i]:offsets[i + 1]]
+            held[mine] = 1
+            common = np.add.reduceat(held[inside], starts, dtype=np.int64)
+            held[mine] = 0
+            linked = right[100 * common >= percent * (sizes[i] + sizes[right] - common)]
+            out += [(key[i], key[j]) for j in merging.new_links(i, linked)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return dealt.groupBy("region", "p", "q").applyInArrow(compare, "a binary, b binary")
+
+
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles, 85 percent, over every whole text of ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
