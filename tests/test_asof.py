@@ -29,9 +29,3 @@ def test_asof_matches_brute_force(spark, n_buckets):
     pdf = spark.createDataFrame(probes, "k string, t long, comment_id string")
     got = {r["comment_id"]: r["found_id"] for r in asof_latest(pdf, cdf, ["k"], n_buckets=n_buckets).collect()}
     assert got == brute(probes, cands)
-
-
-def test_auto_buckets_small_input_is_one(spark):
-    from threadwatch.operators.asof import auto_buckets
-    assert auto_buckets(spark.range(10)) == 1
-    assert auto_buckets(spark.range(10), target_bytes=8) > 1

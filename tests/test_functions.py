@@ -34,7 +34,8 @@ def test_parse_topic_cases(spark):
         "": None,
         "  crime  ": "crime, law and justice",
     }
-    got = one_col(spark, list(cases), taxonomy.parse_topic)
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, v string")
+    got = [r[0] for r in taxonomy.with_parsed_topic(df, "v").orderBy("i").select("topic").collect()]
     assert got == list(cases.values())
 
 
@@ -60,7 +61,7 @@ def test_truncate_description(spark):
     d1000 = "a" * 999 + "."
     d1001_dot = "x" * 500 + "." + "y" * 500
     d1001_nodot = "z" * 1001
-    got = one_col(spark, [d1000, d1001_dot, d1001_nodot, None], text.truncate_description)
+    got = one_col(spark, [d1000, d1001_dot, d1001_nodot, None], lambda c: text.truncate_description(c, 1000))
     assert got == [d1000, "x" * 500 + ".", "z" * 1000, None]
 
 
@@ -95,6 +96,16 @@ def test_topic_udf_path_agrees_with_expression(spark):
             "nulla", "", None, "  crime  ", "un disaster e un accident and emergency incident",
             "law enforcement and justice and religion", "Weather Forecast oggi"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
-    a = [r[0] for r in df.orderBy("i").select(taxonomy.parse_topic(F.col("v"))).collect()]
+    keys = [(k, c) for _, k, c in taxonomy._decision_order()]
+    a = []
+    for v in vals:
+        t = " ".join((v or "").lower().replace("\u2019", "'").split())
+        exact = taxonomy.CAT_BY_KEY.get(t) or taxonomy.INST_BY_KEY.get(t)
+        a.append(exact or next((c for k, c in keys if t and k in t), None))
     b = [r[0] for r in taxonomy.with_parsed_topic(df, "v").orderBy("i").select("topic").collect()]
     assert a == b
+
+
+def test_taxonomy_keys_are_normalised():
+    for _, key, _ in taxonomy._decision_order():
+        assert key == " ".join(key.lower().split()) and "\u2019" not in key

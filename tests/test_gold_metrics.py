@@ -129,6 +129,6 @@ def test_largest_remainder():
 
 def test_seeded_sample_is_partition_invariant(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
-    a = [r[0] for r in metrics.seeded_sample(df.repartition(1), "k").collect()]
-    b = [r[0] for r in metrics.seeded_sample(df.repartition(7), "k").collect()]
+    a = [r[0] for r in metrics.seeded_sample(df.repartition(1), "k", 50).collect()]
+    b = [r[0] for r in metrics.seeded_sample(df.repartition(7), "k", 50).collect()]
     assert a == b and len(a) == 50

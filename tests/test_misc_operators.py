@@ -108,3 +108,52 @@ def test_channel_shortfall(spark):
     e = collection.eligible_videos(vids, "2024-01-05 00:00:00", max_per_channel=5)
     short = {r[0]: r[1] for r in collection.channel_shortfall(e, max_per_channel=5).collect()}
     assert short == {"a": 3}
+
+
+def test_scrape_rows_last_to_arrive_counts(spark):
+    api = spark.createDataFrame([("v", "c1", None, False, "a", None, None, 0, "t")], "video_id string, comment_id string, "
+                                "parent_comment_id string, is_reply boolean, author string, published_at timestamp_ntz, "
+                                "updated_at timestamp_ntz, like_count long, text string")
+    scraped = spark.createDataFrame([("v", "c1", "zz", "1", "a", 1, "t", 0), ("v", "c1", "aa", "1", "a", 1, "t", 1),
+                                     ("v", " \n", "aa", "1", "a", 1, "t", 2)], "video_id string, id string, parent string, "
+                                    "timestamp string, author string, like_count long, text string, arrival int")
+    got = collection.merge_sources(api, scraped).collect()
+    assert [(r.comment_id, r.parent_comment_id) for r in got] == [("c1", "aa")]
+
+
+def test_unreadable_author_map_raises(spark, tmp_path):
+    from threadwatch.sources import corpus
+    assert corpus.load_author_map(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        corpus.load_author_map(spark, str(tmp_path / "bad")).count()
+
+
+def test_gold_videos_need_a_topic(spark):
+    from threadwatch.operators import annotate
+    df = spark.createDataFrame([("a", "Sport"), ("b", " \n\u00a0"), ("c", None)], "file_id string, topic string")
+    assert [r.topic for r in annotate.gold_videos(df).collect()] == ["sport"]
+    assert tuple(annotate.dropped_topics(df).first()) == (1, 2)
+    with pytest.raises(ValueError):
+        annotate.gold_videos(df.filter("file_id <> 'a'"))
+
+
+def test_rules_follow_the_text(spark):
+    from threadwatch.operators import lexicon
+    long = "a text of ordinary words that goes on for long enough to be judged, "
+    cases = {long: "Direi di no", long + "idiot": "SÌ!", long + "IDIOT moron": "Sì, è offensivo", "short": "non saprei",
+             long + "trash": "Direi di no", None: ""}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [r[0] for r in df.select(lexicon.offensive_answer(F.col("t"), "gemma2")).collect()] == list(cases.values())
+    rule = lexicon.OffensiveRule("gemma2", "<", ">")
+    assert rule([f"idiot <{t}> moron" for t in cases if t]) == [a for t, a in cases.items() if t]
+
+
+def test_comment_rule_reads_the_target_only():
+    from threadwatch.functions.prompt_text import COMMENT_PROMPT
+    from threadwatch.operators import lexicon, prompts
+    fields = dict(video_title="idiot", video_description="moron", head_comment="scum", previous_comment="trash")
+    rule = lexicon.OffensiveRule("mistral", *prompts.around(COMMENT_PROMPT, "target_comment"))
+    calm = "nothing but calm words here, and quite a lot of them so that there is enough"
+    assert rule([COMMENT_PROMPT.format(**fields, target_comment=t) for t in (calm, calm + " you clown")]) == ["Direi di no", "SÌ!"]

@@ -12,7 +12,7 @@ def test_rank_within_matches_row_number_under_skew(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 5 < 2, F.lit("hot")).otherwise((F.col("id") % 37).cast("string")).alias("g"),
         (F.col("id") % 97).cast("double").alias("v"), F.col("id"))
-    got = rank_within(df, F.col("v"), ["id"], ["g"], "r", n_buckets=16)
+    got = rank_within(df, F.col("v"), ["id"], ["g"], "r")
     w = Window.partitionBy("g").orderBy("v", "id")
     exp = df.withColumn("r2", F.row_number().over(w) - 1)
     bad = got.join(exp, ["g", "id"]).filter(F.col("r") != F.col("r2")).count()
@@ -56,3 +56,39 @@ def test_replace_handle_names_longest_prefix(spark):
     at_only = names.filter("author LIKE '@%'")
     via_ac = {r[0]: r[1] for r in privacy.replace_names(texts, "t", at_only).collect()}
     assert via_ac == got
+
+
+def test_no_author_is_lost_and_keys_keep_their_type(spark):
+    big = 2 ** 60
+    rows = [(f"a{i:03d}", big + 200 - i) for i in range(200)] + [("nobody", None), ("b", big + 7), ("c", big + 7)]
+    df = spark.createDataFrame(rows, "author string, published_at long")
+    got = {r.author: int(r.author_anon.split("_")[1]) for r in privacy.assign_pseudonyms(privacy.first_appearance(df)).collect()}
+    expected = sorted({a for a, _ in rows}, key=lambda a: (dict(rows)[a] is None, dict(rows)[a] or 0, a))
+    assert got == {a: n for n, a in enumerate(expected)}
+    existing = spark.createDataFrame([("c", "author_0")], "author string, author_anon string")
+    more = {r.author: r.author_anon for r in privacy.assign_pseudonyms(privacy.first_appearance(df), existing).collect()}
+    assert len(more) == 203 and len(set(more.values())) == 203 and more["c"] == "author_0" and more["nobody"] == "author_202"
+
+
+def test_one_tied_key_and_one_hot_group_spread_over_tasks(spark):
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.col("id"), F.when(F.col("id") % 3 == 0, "hot")
+                                  .otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"))
+    flat = rank_within(df, F.col("k"), ["id"], None, "r")
+    assert [r.r for r in flat.orderBy("id").collect()] == list(range(4000))
+    parts = rank_within(df, F.col("k"), ["id"], ["g"], "r").collect()
+    seen = {}
+    for r in sorted(parts, key=lambda r: r.id):
+        assert r.r == seen.get(r.g, 0)
+        seen[r.g] = r.r + 1
+
+
+def test_names_are_replaced_alike_for_any_chunk_size(spark):
+    names = spark.createDataFrame([("Anna Maria", "author_1"), ("Maria Rossi Bianchi", "author_2"), ("Giovanni Verdi", "author_7"),
+                                   ("author", "author_8"), ("", "author_9"), ("Ann", "author_3")], "author string, author_anon string")
+    texts = spark.createDataFrame([(0, "ciao Anna Maria Rossi Bianchi"), (1, "Giovanni Verdi e author"), (2, None),
+                                   (3, "AnnAnna MariaAnn")], "i int, t string")
+    expected = {0: "ciao Anna @author_2".replace("Anna", "@author_3a"), 1: "@author_7 e @author_8", 2: None,
+                3: "@author_3@author_1@author_3"}
+    for size in (1 << 20, 60, 1):
+        got = {r.i: r.t for r in privacy.replace_names(texts, "t", names, max_broadcast_bytes=size).collect()}
+        assert got == expected, size

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadwatch.operators import threads
@@ -104,3 +105,46 @@ def test_context_columns(spark):
     ctx = threads.context_columns(df, threads.thread_depth(df))
     got = {r["comment_id"]: (r["head_comment_text"], r["previous_comment_text"]) for r in ctx.collect()}
     assert got == {"t": (None, None), "a": ("head", None), "b": ("head", "A"), "o": (None, None)}
+
+
+def walked_depth(rows):
+    """Hops along parents until a top-level comment, an unknown id or a repeat; where the walk stops."""
+    by_id = {c: (p, r) for c, p, r in rows}
+    out = {}
+    for c, p, r in rows:
+        cur, seen, d = c, set(), 0
+        while cur in by_id and by_id[cur][1] and by_id[cur][0] is not None and cur not in seen:
+            seen.add(cur)
+            cur, d = by_id[cur][0], d + 1
+        out[c] = (d, cur)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_depths_of_random_graphs_with_cycles(spark, seed):
+    import random
+    rng = random.Random(seed)
+    n = 60
+    rows = [(f"c{i}", rng.choice([None, "gone"]) if rng.random() < 0.1 else f"c{rng.randrange(n)}", rng.random() < 0.93)
+            for i in range(n)]
+    rows = [(c, p, r and p is not None) for c, p, r in rows]
+    df = spark.createDataFrame([("v", c, p, r) for c, p, r in rows], "video_id string, comment_id string, "
+                               "inferred_parent_id string, is_reply boolean")
+    got = {r.comment_id: (r.depth, r.root_id) for r in threads.thread_depth(df).collect()}
+    assert got == walked_depth(rows)
+
+
+def test_long_chain_into_a_long_cycle(spark):
+    rows = [(f"c{i:04d}", f"c{i - 1:04d}", True) for i in range(1, 300)] + [("c0000", "c0100", True)]
+    df = spark.createDataFrame([("v", c, p, r) for c, p, r in rows], "video_id string, comment_id string, "
+                               "inferred_parent_id string, is_reply boolean")
+    got = {r.comment_id: (r.depth, r.root_id) for r in threads.thread_depth(df).collect()}
+    assert got == walked_depth(rows)
+
+
+def test_last_row_of_a_repeated_id_counts(spark):
+    df = spark.createDataFrame([("v", "a", None, False, "z old", 1), ("v", "a", None, False, "b new", 2),
+                                ("v", "b", "a", True, "reply", 3)],
+                               "video_id string, comment_id string, inferred_parent_id string, is_reply boolean, text string, n int")
+    ctx = threads.context_columns(df, threads.thread_depth(df, arrival="n"), arrival="n")
+    assert {r.head_comment_text for r in ctx.filter("comment_id = 'b'").collect()} == {"b new"}

@@ -11,8 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from threadwatch.functions.fixed import (
-    DESCRIPTION_MAX_CHARS, HANDLE_TRAILING_CHARS, ZERO_WIDTH_CHARS)
+from threadwatch.functions.fixed import HANDLE_TRAILING_CHARS, ZERO_WIDTH_CHARS
 
 # Java regexes; (?U) makes \s, \b and \w Unicode-aware like Python's str regexes.
 _LEADING_MENTION = r"(?U)^\s*@([^\s,.:;!?]+)"
@@ -69,13 +68,7 @@ def clean_text(text: Column) -> Column:
     return unicode_strip(t)
 
 
-def clean_text_jvm(text: Column) -> Column:
-    """The JVM part of ``clean_text`` (for text known to need no NFKC)."""
-    t = F.regexp_replace(text, "[" + ZERO_WIDTH_CHARS + "]", "")
-    return unicode_strip(F.regexp_replace(t, r"(?U)\s+", " "))
-
-
-def truncate_description(d: Column, max_chars: int = DESCRIPTION_MAX_CHARS) -> Column:
+def truncate_description(d: Column, max_chars: int) -> Column:
     """Over ``max_chars``: cut after the last '.' in the first ``max_chars``, else hard cut."""
     head = F.substring(d, 1, max_chars)
     upto_dot = F.regexp_extract(head, r"(?s)^.*\.", 0)

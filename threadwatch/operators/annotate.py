@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadwatch.functions.fixed import INFERENCE_BATCH_SIZE, MAX_NEW_TOKENS, MODELS
+from threadwatch.functions.text import unicode_strip
 from threadwatch.session import cut_lineage
 
 Predictor = Callable[[list[str]], list[str]]
@@ -83,32 +84,24 @@ def score_prompts(df: DataFrame, key_cols: list[str], prompt_col: str,
     return cut_lineage(scored) if checkpoint else scored
 
 
-class DescriptionEcho:
-    """Default plug-in predictor: answers with the prompt's article description.
-
-    Deterministic and model-free, so the topic parser downstream decides the
-    label from the description text alone.  Real deployments pass a factory
-    that loads a model instead.
-    """
+def attach_silver_topic(items: DataFrame, parsed_topic: str = "parsed_topic") -> DataFrame:
+    """A8 (videos): unparseable topic is stored as the empty string."""
+    return items.withColumn("topic", F.coalesce(F.col(parsed_topic), F.lit("")))
 
-    marker = "ARTICLE DESCRIPTION:\n"
-    end = "\n\nFORMATO OUTPUT"
 
-    def __call__(self, prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            i = p.find(self.marker)
-            if i < 0:
-                out.append("")
-                continue
-            j = p.find(self.end, i)
-            out.append(p[i + len(self.marker): j if j >= 0 else len(p)])
-        return out
+def attach_silver_label(items: DataFrame, answer: str = "raw_answer") -> DataFrame:
+    """A8 (comments): the parsed ``label`` (null if unparseable) after the columns that were there."""
+    from threadwatch.functions.text import parse_label
+    return items.withColumn("label", parse_label(F.col(answer))).drop(answer)
 
 
-def attach_silver_topic(items: DataFrame, parsed_topic: str = "parsed_topic") -> DataFrame:
-    """A8 (videos): unparseable topic is stored as the empty string."""
-    return items.withColumn("topic", F.coalesce(F.col(parsed_topic), F.lit("")))
+def annotation_counters(statuses: DataFrame, labelled: DataFrame, label_col: str, unparseable_value=None) -> DataFrame:
+    """A2 for a whole run: ``outcome_counters`` and ``errors``, the pending items that got no answer row."""
+    out = outcome_counters(statuses, labelled, label_col, unparseable_value)
+    asked = statuses.filter(F.col("status") == "pending").agg(F.count(F.lit(1)).alias("asked"))
+    got = labelled.agg(F.count(F.lit(1)).alias("got"))
+    errors = asked.join(got).select(F.lit("errors").alias("status"), (F.col("asked") - F.col("got")).alias("n"))
+    return out.unionByName(errors)
 
 
 def attach_metadata(comments: DataFrame, meta: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -127,12 +120,26 @@ def attach_metadata(comments: DataFrame, meta: DataFrame, keys: list[str], stric
 
 
 def gold_videos(videos: DataFrame, topic_col: str = "topic") -> DataFrame:
-    """A10: drop null / blank topics, keep ``topic_raw``, add the canonical ``topic``."""
+    """A10: drop null / blank topics, keep ``topic_raw``, add the canonical ``topic``.
+
+    Raises if no video has a topic; ``dropped_topics`` counts those without.
+    """
     from threadwatch.functions.taxonomy import canonical_topic
-    v = videos.filter(F.col(topic_col).isNotNull() & (F.trim(F.col(topic_col)) != ""))
+    v = videos.filter(~_no_topic(topic_col))
+    if v.isEmpty():
+        raise ValueError("no gold video has a topic")
     return v.withColumnRenamed(topic_col, "topic_raw").withColumn("topic", canonical_topic(F.col("topic_raw")))
 
 
+def _no_topic(topic_col: str):
+    return F.col(topic_col).isNull() | (unicode_strip(F.col(topic_col)) == "")
+
+
+def dropped_topics(videos: DataFrame, topic_col: str = "topic") -> DataFrame:
+    """A10: how many videos ``gold_videos`` keeps and drops."""
+    return videos.agg(F.count_if(~_no_topic(topic_col)).alias("kept"), F.count_if(_no_topic(topic_col)).alias("dropped"))
+
+
 def outcome_counters(statuses: DataFrame, labelled: DataFrame, label_col: str, unparseable_value=None) -> DataFrame:
     """A2 after scoring: skipped counts plus ``written`` and ``unparseable`` (a subset of written)."""
     skips = statuses.filter(F.col("status").startswith("skipped_")).groupBy("status").agg(

@@ -22,21 +22,8 @@ from pyspark.sql import functions as F
 from threadwatch.operators.ranking import _bucket
 
 
-def auto_buckets(df: DataFrame, target_bytes: int = 128 * 1024 * 1024, max_buckets: int = 4096) -> int:
-    """Bucket count from the optimizer's size estimate of ``df`` (no job runs).
-
-    Enough buckets that even a key holding *all* rows leaves about
-    ``target_bytes`` per window partition; 1 (a plain window) for small inputs.
-    """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable: stay safe
-        return 64
-    return int(max(1, min(max_buckets, -(-size // target_bytes))))
-
-
 def asof_latest(probes: DataFrame, candidates: DataFrame, keys: list[str], t: str = "t", cid: str = "comment_id",
-                n_buckets: int | None = None, rel_err: float = 0.001) -> DataFrame:
+                n_buckets: int | None = None) -> DataFrame:
     """``probes(keys.., t, cid)`` x ``candidates(keys.., t, cid)`` -> ``(keys.., cid, found_id)``.
 
     ``found_id`` is the ``cid`` of the candidate with the greatest ``t`` below the
@@ -45,15 +32,10 @@ def asof_latest(probes: DataFrame, candidates: DataFrame, keys: list[str], t: st
     """
     u = probes.select(*keys, t, cid, F.lit(True).alias("_probe")).unionByName(
         candidates.select(*keys, t, cid, F.lit(False).alias("_probe")))
-    if n_buckets is None:
-        n_buckets = auto_buckets(candidates)
-    if n_buckets <= 1:
-        w = Window.partitionBy(*keys).orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-        best = F.max(F.when(~F.col("_probe"), F.struct(F.col(t).alias("t"), F.col(cid).alias("id")))).over(w)
-        one = u.withColumn("_best", best).filter(F.col("_probe") & F.col("_best").isNotNull())
-        return one.select(*keys, cid, F.col("_best.id").alias("found_id"))
+    if n_buckets is None:  # as many as tasks, at every size of the input
+        n_buckets = max(2, int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # cut points from the candidates' times only (a cheap projection); probes reuse them
-    u = _bucket(u.withColumn("_tb", F.col(t).cast("double")), "_tb", n_buckets, rel_err,
+    u = _bucket(u.withColumn("_tb", F.col(t).cast("double")), "_tb", n_buckets, 1 / (4 * n_buckets),
                 sample=candidates.select(F.col(t).cast("double").alias("_tb"))).drop("_tb")
     cand = F.when(~F.col("_probe"), F.struct(F.col(t).alias("t"), F.col(cid).alias("id")))
     w_in = Window.partitionBy(*keys, "_bucket").orderBy(t).rangeBetween(Window.unboundedPreceding, -1)

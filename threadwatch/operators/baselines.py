@@ -57,7 +57,7 @@ def baseline_predictions(df: DataFrame, baselines: list[str] | None = None,
     wanted = baselines or list(specs)
     needs_topic = any(specs[b][4] for b in wanted)
     if needs_topic and topic_col not in df.columns:
-        raise KeyError(f"Dataset is missing required column(s): ['{topic_col}']. Found columns: {df.columns}")
+        raise KeyError(f"the topic baselines need the column {topic_col!r}")
     if topic_col not in df.columns:
         df = df.withColumn(topic_col, F.lit(None).cast("string"))
     base = df.select("video_key", topic_col, "true_label")

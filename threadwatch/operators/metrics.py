@@ -29,7 +29,7 @@ def _div0(a: Column, b: Column) -> Column:
 # ------------------------------------------------------------------ splits / samples
 
 def dev_test_split(items: DataFrame, key: str, strata: str | None = "topic", test_size: float = TEST_SIZE,
-                   seed: int = SPLIT_SEED, n_buckets: int = 64) -> DataFrame:
+                   seed: int = SPLIT_SEED) -> DataFrame:
     """Adds ``split`` = dev / test; ``ceil(test_size * n)`` rows go to test.
 
     Stratified on ``strata``: the dev share of every stratum is the
@@ -49,13 +49,13 @@ def dev_test_split(items: DataFrame, key: str, strata: str | None = "topic", tes
     stratified = bool(strata) and rows and min(r["_c"] for r in rows) >= 2
     d = items.withColumn("_u", u)
     if not stratified:
-        ranked = rank_within(d, F.col("_u"), [key], [], "_r", n_buckets)
+        ranked = rank_within(d, F.col("_u"), [key], None, "_r")
         return ranked.withColumn("split", F.when(F.col("_r") < n_test, "test").otherwise("dev")).drop("_u", "_r")
     quotas = largest_remainder({r[strata]: r["_c"] for r in rows}, n_dev)
     q = d.sparkSession.createDataFrame([(k, rows_c - quotas[k]) for k, rows_c in
                                         ((r[strata], r["_c"]) for r in rows)],
                                        f"{strata} string, _quota long")
-    ranked = rank_within(d, F.col("_u"), [key], [strata], "_r", n_buckets)
+    ranked = rank_within(d, F.col("_u"), [key], [strata], "_r")
     j = ranked.join(F.broadcast(q), ranked[strata].eqNullSafe(q[strata]), "left").drop(q[strata])
     return j.withColumn("split", F.when(F.col("_r") < F.col("_quota"), "test").otherwise("dev")) \
             .drop("_u", "_r", "_quota")
@@ -73,8 +73,10 @@ def largest_remainder(counts: dict, total: int) -> dict:
     return fl
 
 
-def seeded_sample(items: DataFrame, key: str, n: int = TRIAL_SAMPLE_SIZE, seed: int = SPLIT_SEED) -> DataFrame:
-    """``min(n, rows)`` rows with the smallest md5 draws (top-k, no global sort)."""
+def seeded_sample(items: DataFrame, key: str, n: int | None = None, seed: int = SPLIT_SEED) -> DataFrame:
+    """``min(n, rows)`` rows with the smallest md5 draws (top-k, no global sort); all rows without ``n``."""
+    if n is None:
+        return items
     return items.withColumn("_u", uniform(F.col(key), seed)).orderBy("_u", key).limit(n).drop("_u")
 
 

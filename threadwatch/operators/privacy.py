@@ -1,15 +1,13 @@
 """Pseudonymisation and text scrubbing.
 
 * P1 dense pseudonyms ``author_<k>`` by first appearance, continuing an
-  existing map: new authors are ranked with ``rank_within`` (quantile
-  buckets + offsets), never with a one-partition window.
+  existing map: new authors are ranked with ``rank_within`` (range partitions
+  and their offsets), never with a one-partition window.
 * P2 is a left join with the map.
-* P3 replaces every known name occurring anywhere in a text.  The name
-  dictionary is broadcast as an Aho-Corasick automaton *only* when its size
-  is under ``max_broadcast_bytes`` (checked with one aggregate); a larger
-  dictionary is cut, longest names first, into bounded chunks applied one
-  after the other, which keeps the longest-first order of the original
-  sequential replacement.
+* P3 replaces every known name occurring anywhere in a text, longest names
+  first: names claim spans of the text in one total order.  The dictionary is
+  broadcast as an Aho-Corasick automaton in chunks of a checked size; claims
+  are carried from chunk to chunk, so any chunk size gives the same result.
 * P4 / P5 are regular expressions plus one Arrow-batched NFKC step.
 """
 
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 
 from threadwatch.functions.fixed import PSEUDONYM_PREFIX
 from threadwatch.operators.ranking import rank_within
+from threadwatch.session import cut_lineage
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -37,7 +36,8 @@ def assign_pseudonyms(first_seen: DataFrame, existing: DataFrame | None = None,
     """The full map ``(author, author_anon)``; existing entries keep their pseudonym.
 
     New authors get ``prefix + k`` with k = size of the existing map + their
-    rank by ``(first_key, author)``.
+    rank by ``(first_key, author)``; the key is compared in its own type, and
+    authors without one come last.  No author is left out.
     """
     key = order_key if order_key is not None else F.col("first_key")
     if existing is None:
@@ -45,7 +45,7 @@ def assign_pseudonyms(first_seen: DataFrame, existing: DataFrame | None = None,
     else:
         new = first_seen.join(existing.select(author), author, "left_anti")
         offset = existing.count()  # one scalar
-    ranked = rank_within(new.withColumn("_k", key.cast("double")), F.col("_k"), [author], None, "_r")
+    ranked = rank_within(new, key, [author], None, "_r")
     fresh = ranked.select(author, F.concat(F.lit(prefix), (F.col("_r") + offset).cast("string")).alias("author_anon"))
     return fresh if existing is None else existing.select(author, "author_anon").unionByName(fresh)
 
@@ -57,8 +57,8 @@ def replace_authors(df: DataFrame, amap: DataFrame, author: str = "author") -> D
     return j.withColumn(author, F.coalesce(F.col("_anon"), F.col(author))).drop("_a", "_anon")
 
 
-def _replace_fn(bc):
-    """mapInPandas body: leftmost-longest replacement with an automaton built once per worker."""
+def _claim_fn(bc):
+    """Claims of a text by a chunk of names: an automaton built once per worker."""
     cache: dict = {}
 
     def automaton():
@@ -66,28 +66,38 @@ def _replace_fn(bc):
             import ahocorasick
             a = ahocorasick.Automaton()
             for name, repl in bc.value:
-                if name:
-                    a.add_word(name, (len(name), repl))
+                a.add_word(name, (name, repl))
             a.make_automaton()
             cache["a"] = a
         return cache["a"]
 
-    def replace(text):
-        if text is None or not isinstance(text, str):
-            return text
+    def claim(text, claims):
+        """``claims`` (start, end, replacement) and those that this chunk adds to them."""
+        claims = [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in claims]
         a = automaton()
-        if len(a) == 0:
-            return text
-        out, pos = [], 0
-        for end, (n, repl) in a.iter_long(text):
-            start = end - n + 1
-            out.append(text[pos:start])
-            out.append(repl)
-            pos = end + 1
-        out.append(text[pos:])
-        return "".join(out)
-
-    return replace
+        if not isinstance(text, str) or len(a) == 0:
+            return claims
+        found = sorted((-len(name), name, end + 1 - len(name), repl) for end, (name, repl) in a.iter(text))
+        taken = bytearray(len(text))
+        for s, e, _ in claims:
+            taken[s:e] = b"\x01" * (e - s)
+        for n, _, s, repl in found:
+            if not any(taken[s:s - n]):
+                taken[s:s - n] = b"\x01" * -n
+                claims.append((s, s - n, repl))
+        return claims
+
+    return claim
+
+
+def _apply_claims(text, claims):
+    if not isinstance(text, str) or not claims:
+        return text
+    out, at = [], 0
+    for s, e, repl in sorted(claims):
+        out += [text[at:s], repl]
+        at = e
+    return "".join([*out, text[at:]])
 
 
 HANDLE_NAME = r"^@[^@\s]+$"
@@ -129,33 +139,44 @@ def replace_names(df: DataFrame, text_col: str, amap: DataFrame,
                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Every known author name in ``text_col`` -> ``@<pseudonym>``, longest names first.
 
-    For maps of ``@handle`` names prefer ``replace_handle_names`` (joins only).
+    Names claim spans of the original text in the order (longer, then by name), each from
+    left to right; a span that a longer name holds is closed to shorter ones, and what was
+    put in is never read again.  The names are broadcast in chunks of that order of at most
+    about ``max_broadcast_bytes``; claims travel with the row, so the size of the chunks
+    changes nothing in the result.  A name that stands for several pseudonyms gets the
+    smallest.  For maps of ``@handle`` names prefer ``replace_handle_names`` (joins only).
     """
     spark = df.sparkSession
     from threadwatch.session import ship_package
     ship_package(spark)
     names = amap.select(F.col("author").alias("name"), F.concat(F.lit("@"), F.col("author_anon")).alias("repl")) \
-                .filter(F.col("name").isNotNull() & (F.col("name") != ""))
+                .filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("repl").isNotNull()) \
+                .groupBy("name").agg(F.min("repl").alias("repl"))
     sized = names.withColumn("_b", F.octet_length("name") + F.octet_length("repl") + F.lit(16))
-    total = sized.agg(F.coalesce(F.sum("_b"), F.lit(0))).first()[0]
-    n_chunks = max(1, -(-int(total) // max_broadcast_bytes))
-    # chunk by name length, longest first, so later chunks never pre-empt a longer name
+    total, count = sized.agg(F.coalesce(F.sum("_b"), F.lit(0)), F.count("*")).first()
+    n_chunks = max(1, min(-(-int(total) // max_broadcast_bytes), count))
     chunks = [names]
     if n_chunks > 1:
-        ranked = rank_within(sized.withColumn("_l", -F.length("name")), F.col("_l"), ["name"], None, "_r")
-        per = -(-names.count() // n_chunks)
+        ranked = rank_within(names, -F.length("name"), ["name"], None, "_r")
+        per = -(-count // n_chunks)
         chunks = [ranked.filter((F.col("_r") >= i * per) & (F.col("_r") < (i + 1) * per)).select("name", "repl")
                   for i in range(n_chunks)]
-    out = df
-    schema = df.schema
-    for chunk in chunks:
+    out = df.withColumn("_claims", F.array().cast("array<struct<s:int,e:int,r:string>>"))
+    schema = out.schema
+    for i, chunk in enumerate(chunks):
         pairs = [(r["name"], r["repl"]) for r in chunk.toLocalIterator()]  # bounded by max_broadcast_bytes
-        bc = spark.sparkContext.broadcast(pairs)
-        fn = _replace_fn(bc)
+        fn = _claim_fn(spark.sparkContext.broadcast(pairs))
+        last = i == len(chunks) - 1
 
-        def run(it: Iterator[pd.DataFrame], fn=fn) -> Iterator[pd.DataFrame]:
+        def run(it: Iterator[pd.DataFrame], fn=fn, last=last) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                pdf[text_col] = pdf[text_col].map(fn)
+                claims = [fn(t, c) for t, c in zip(pdf[text_col], pdf["_claims"])]
+                if last:
+                    pdf[text_col] = [_apply_claims(t, c) for t, c in zip(pdf[text_col], claims)]
+                    claims = [[] for _ in claims]
+                pdf["_claims"] = [[{"s": s, "e": e, "r": r} for s, e, r in c] for c in claims]
                 yield pdf
         out = out.mapInPandas(run, schema)
-    return out
+        if i % 8 == 7 and not last:  # a long chain of passes would make one deep plan
+            out = cut_lineage(out)
+    return out.drop("_claims")

@@ -33,6 +33,13 @@ def render(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
+def around(template: str, field: str) -> tuple[str, str]:
+    """The literal text just before and just after ``{field}`` in a template."""
+    parts = _parts(template)
+    at = next(i for i, (_, f) in enumerate(parts) if f == field)
+    return parts[at][0], parts[at + 1][0] if at + 1 < len(parts) else ""
+
+
 def sql_render(template: str, fields: dict[str, str]) -> str:
     pieces = []
     for lit, field in _parts(template):

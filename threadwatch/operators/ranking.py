@@ -1,13 +1,12 @@
 """Exact row ranks without a single-partition window.
 
 ``Window.orderBy(...)`` without ``partitionBy`` moves every row to one task.
-Instead the ordering key is cut into value buckets at approximate quantiles
-(``approxQuantile``: one pass, a bounded list of cut points on the driver),
-each row is numbered inside its ``(group, bucket)`` window, and the sizes of
-the lower buckets are added from a small ``(group, bucket) -> count``
-table.  The cut points only affect balance, never the result: equal keys
-always share a bucket, so ranks are exact.  A hot group is spread over all
-buckets, so no task holds more than about ``rows / n_buckets`` rows.
+Instead the rows are range-partitioned and sorted by the whole order, tie
+columns included, so equal keys spread over partitions like any others.  The
+sorted table is checkpointed with each row's partition and place in it; the
+sizes of the partitions before are added from a table of one row a partition.
+Ranks within groups are ranks in the order (group, key) less the group's first
+rank, so a group of any size is spread, too.
 """
 
 from __future__ import annotations
@@ -16,6 +15,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadwatch.session import cut_lineage
+
+_PLACE_BITS = 33  # of monotonically_increasing_id: partition above, place in it below
+
 
 def _bucket(df: DataFrame, key: str, n_buckets: int, rel_err: float, sample: DataFrame | None = None) -> DataFrame:
     """Adds ``_bucket``: value range of ``key`` cut at quantiles of ``sample`` (default: ``df``)."""
@@ -32,20 +35,29 @@ def _bucket(df: DataFrame, key: str, n_buckets: int, rel_err: float, sample: Dat
 
 
 def rank_within(df: DataFrame, order_key: Column, tie_cols: list[str], group_cols: list[str] | None = None,
-                out_col: str = "rank", n_buckets: int = 64, rel_err: float = 0.001) -> DataFrame:
+                out_col: str = "rank") -> DataFrame:
     """Add ``out_col`` = 0-based position of the row inside ``group_cols`` by ``(order_key, *tie_cols)``.
 
-    ``order_key`` must be numeric and non-null; ``tie_cols`` must make the order total.
+    ``order_key`` may have any orderable type and is compared as it is; rows where it is
+    null come last.  ``tie_cols`` must make the order total.  Every row of ``df`` is ranked;
+    rows with null groups form a group.
     """
     group_cols = list(group_cols or [])
-    d = df.withColumn("_okey", order_key.cast("double"))
-    d = _bucket(d, "_okey", n_buckets, rel_err)
-    counts = d.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group_cols).orderBy("_bucket") if group_cols else \
-        Window.partitionBy(F.lit(0)).orderBy("_bucket")  # at most n_buckets rows
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(offsets.drop("_n"), group_cols + ["_bucket"], "inner")
-    inner = Window.partitionBy(*group_cols, "_bucket").orderBy("_okey", *tie_cols)
-    return d.withColumn(out_col, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint")) \
-            .drop("_okey", "_bucket", "_off")
+    order = [F.col(c).asc_nulls_first() for c in group_cols] + [F.col("_okey").asc_nulls_last()] + \
+        [F.col(c).asc_nulls_last() for c in tie_cols]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.withColumn("_okey", order_key).repartitionByRange(parts, *order)
+                         .sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+                         .withColumn("_part", F.shiftright("_at", _PLACE_BITS)).drop("_okey"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")
+                              .rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
+    place = F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    ranked = placed.join(offsets, "_part").withColumn(out_col, place.cast("bigint")).drop("_part", "_at", "_off")
+    if not group_cols:
+        return ranked
+    first = ranked.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group_cols]).agg(F.min(out_col).alias("_first"))
+    same = [ranked[c].eqNullSafe(first[f"_g_{c}"]) for c in group_cols]
+    return ranked.join(first, same).withColumn(out_col, F.col(out_col) - F.col("_first")) \
+        .drop("_first", *[f"_g_{c}" for c in group_cols])

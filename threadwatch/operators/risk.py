@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadwatch.functions.fixed import LAMBDA, OFFENSIVE_THRESHOLD
 from threadwatch.functions.scoring import offensive_score, offensive_trigger
+from threadwatch.functions.text import unicode_strip
 
 KEYS = ["newspaper", "file_id"]
 DATASET_COLUMNS = [
@@ -103,8 +104,8 @@ def build_dataset_from_stats(meta_files: DataFrame, comment_file_stats_: DataFra
     """
     meta = pick_annotated(meta_files.select(*KEYS, "kind", "title", "description", "topic"))
     meta = meta.select(*KEYS, F.col("kind").alias("meta_type"),
-                       F.trim(F.coalesce("title", F.lit(""))).alias("title"),
-                       F.trim(F.coalesce("description", F.lit(""))).alias("description"),
+                       unicode_strip(F.coalesce("title", F.lit(""))).alias("title"),
+                       unicode_strip(F.coalesce("description", F.lit(""))).alias("description"),
                        F.nullif(F.col("topic"), F.lit("")).alias("topic"),
                        F.lit(True).alias("_has_meta"))
     comm = pick_annotated(comment_file_stats_.select(*KEYS, "kind", "num_comments", "num_offensive_comments"))

@@ -12,18 +12,16 @@
   ``rangeBetween(unboundedPreceding, -1)`` inside a bucket, combined with a
   prefix maximum over earlier buckets, so a hot author in a giant thread is
   spread over all buckets instead of one task.
-* T4 (depth): pointer jumping; each round joins unfinished nodes to the node
-  their pointer names, doubling the hop length, so chains of length L finish
-  in about log2(L) rounds.  Every round is checkpointed to the shared
-  checkpoint folder.  Rows that never finish sit on or lead into a cycle;
-  only those rows are resolved per video in ``applyInPandas`` with the
-  original walk (stop at the first repeated node).
+* T4 (depth): pointer jumping; each round joins the rows still on their way
+  to the node their pointer names, doubling the hop length, so chains of
+  length L finish in about log2(L) rounds; finished rows are not written
+  again.  Rows that never finish lead into a cycle: doubling finds the
+  cycles' nodes and names, and the others follow their pointers to those.
 * T5 (context): two left joins on ``(video_id, comment_id)``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,68 +80,98 @@ def infer_parents(comments: DataFrame, max_handle_len: int | None = None,
     return out.withColumn("inferred_parent_id", F.coalesce(F.col("_found"), F.col("parent_comment_id"))).drop("_found")
 
 
-def _walk_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The original hop-count walk, for the rows of one video that pointer jumping could not finish."""
-    parent = dict(zip(pdf["comment_id"], pdf["ptr"]))
-    rows = []
-    for cid in pdf["comment_id"]:
-        d, seen, cur = 0, set(), cid
-        while cur in parent and cur not in seen:
-            seen.add(cur)
-            cur = parent[cur]
-            d += 1
-        rows.append((pdf["video_id"].iloc[0], cid, d, cur))
-    return pd.DataFrame(rows, columns=["video_id", "comment_id", "depth", "root_id"])
+def _last_rows(comments: DataFrame, cols: list[str], arrival: str | None) -> DataFrame:
+    """One row for each ``(video_id, comment_id)``: the last by ``arrival``, else the greatest."""
+    keys = ["video_id", "comment_id"]
+    row = F.struct(*cols)
+    best = F.max(row) if arrival is None else F.max_by(row, F.struct(F.col(arrival), row))
+    return comments.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
-def thread_depth(comments: DataFrame, parent_col: str = "inferred_parent_id", max_rounds: int = 64) -> DataFrame:
+def _follow(pending: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pointer jumping: ``pending(video_id, comment_id, p, ptr, dist)`` towards ``done(.., dist, root)``.
+
+    Each round joins the rows still on their way with the node their pointer names and
+    doubles the hops; rows that arrive are added to ``done`` and not written again.
+    Returns (done, rows that never arrive), after at most log2 of a video's rows rounds.
+    """
+    keys = ["video_id", "comment_id"]
+    pending = cut_lineage(pending)
+    longest = pending.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
+    hops, n = 1, longest
+    while n:
+        ends = done.select("video_id", F.col("comment_id").alias("ptr"), F.col("dist").alias("d_end"), "root")
+        steps = pending.select("video_id", F.col("comment_id").alias("ptr"), F.col("ptr").alias("n_ptr"),
+                               F.col("dist").alias("n_dist"))
+        moved = cut_lineage(pending.join(ends, ["video_id", "ptr"], "left").join(steps, ["video_id", "ptr"], "left").select(
+            *keys, "p", "n_ptr", F.coalesce("d_end", "n_dist").alias("add"), "dist", "root",
+            F.col("d_end").isNotNull().alias("arrived")))
+        total = (F.col("dist") + F.col("add")).alias("dist")
+        done = done.unionByName(moved.filter("arrived").select(*keys, total, "root"))
+        pending = moved.filter("not arrived").select(*keys, "p", F.col("n_ptr").alias("ptr"), total)
+        n = pending.count()
+        hops *= 2
+        if hops > longest:  # no path among a video's rows is longer: what is left leads into a cycle
+            break
+    return done, pending if n else None
+
+
+def _cycles(nodes: DataFrame) -> DataFrame:
+    """``(video_id, comment_id, dist, root)`` of the nodes on cycles among ``nodes(.., p)``, all of which lead into one.
+
+    After as many hops as there are nodes every walk is on its cycle, so the ends of the
+    walks are the cycles' nodes; their smallest id along the way names the cycle.
+    """
+    walk = cut_lineage(nodes.select("video_id", "comment_id", F.col("p").alias("ptr"), F.least("comment_id", "p").alias("least")))
+    longest = walk.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
+    hops = 1
+    while hops < longest:
+        nxt = walk.select("video_id", F.col("comment_id").alias("ptr"), F.col("ptr").alias("n_ptr"), F.col("least").alias("n_least"))
+        walk = cut_lineage(walk.join(nxt, ["video_id", "ptr"]).select(
+            "video_id", "comment_id", F.col("n_ptr").alias("ptr"), F.least("least", "n_least").alias("least")))
+        hops *= 2
+    on = walk.select("video_id", F.col("ptr").alias("comment_id")).distinct()
+    named = on.join(walk.select("video_id", "comment_id", "least"), ["video_id", "comment_id"])
+    sizes = named.groupBy("video_id", "least").agg(F.count("*").cast("int").alias("dist"))
+    return named.join(sizes, ["video_id", "least"]).select("video_id", "comment_id", "dist", F.col("comment_id").alias("root"))
+
+
+def thread_depth(comments: DataFrame, parent_col: str = "inferred_parent_id", arrival: str | None = None) -> DataFrame:
     """T4: ``depth`` (hops to a top-level comment, an unknown id, or a repeat) and ``root_id``.
 
-    ``root_id`` is where the walk along parents stops (used for the head text).
+    ``root_id`` is where the walk along parents stops (used for the head text).  A walk
+    into a cycle stops at the first repeated node: a node of a cycle of L nodes has depth L
+    and itself as root; one that leads into it at h hops has depth h + L and the node where
+    it enters as root.  Of rows with one id the last by ``arrival`` counts.
     """
-    nodes = comments.select("video_id", "comment_id", F.col(parent_col).alias("p"), "is_reply") \
-                    .dropDuplicates(["video_id", "comment_id"])
+    nodes = _last_rows(comments.select("video_id", "comment_id", F.col(parent_col).alias("p"), "is_reply",
+                                       *([arrival] if arrival else [])), ["p", "is_reply"], arrival)
     known = nodes.select("video_id", F.col("comment_id").alias("p"), F.lit(True).alias("_known"))
-    n = nodes.join(known, ["video_id", "p"], "left")
-    top = ~F.col("is_reply")
-    state = n.select(
-        "video_id", "comment_id", "p",
-        F.when(top | F.col("p").isNull() | F.col("_known").isNull(), F.lit(None)).otherwise(F.col("p")).alias("ptr"),
-        F.when(top, 0).otherwise(1).alias("dist"),
-        F.when(top | F.col("p").isNull(), F.col("comment_id")).when(F.col("_known").isNull(), F.col("p"))
-         .alias("root"),
-        (top | F.col("p").isNull() | F.col("_known").isNull()).alias("done"))
-    state = cut_lineage(state)
-    last = None
-    for _ in range(max_rounds):
-        pending = state.filter(~F.col("done")).count()
-        if pending == 0 or pending == last:
-            break
-        last = pending
-        nxt = state.select("video_id", F.col("comment_id").alias("ptr"), F.col("ptr").alias("n_ptr"),
-                           F.col("dist").alias("n_dist"), F.col("root").alias("n_root"), F.col("done").alias("n_done"))
-        todo = state.filter(~F.col("done")).join(nxt, ["video_id", "ptr"], "left")
-        todo = todo.select(
-            "video_id", "comment_id", "p",
-            F.when(F.col("n_done"), F.lit(None)).otherwise(F.col("n_ptr")).alias("ptr"),
-            (F.col("dist") + F.col("n_dist")).alias("dist"),
-            F.when(F.col("n_done"), F.col("n_root")).alias("root"),
-            F.col("n_done").alias("done"))
-        state = cut_lineage(state.filter(F.col("done")).unionByName(todo))
-    finished = state.filter(F.col("done")).select("video_id", "comment_id", F.col("dist").alias("depth"),
-                                                  F.col("root").alias("root_id"))
-    # the original parent travels in the (checkpointed) state: no recomputation of the input
-    cyc = state.filter(~F.col("done")).select("video_id", "comment_id", F.col("p").alias("ptr"))
-    from threadwatch.session import ship_package
-    ship_package(comments.sparkSession)
-    walked = cyc.groupBy("video_id").applyInPandas(
-        _walk_cycles, "video_id string, comment_id string, depth int, root_id string")
-    return finished.withColumn("depth", F.col("depth").cast("int")).unionByName(walked)
-
-
-def context_columns(comments: DataFrame, depths: DataFrame, parent_col: str = "inferred_parent_id") -> DataFrame:
-    """T5: ``head_comment_text`` (root's text, depth >= 1) and ``previous_comment_text`` (parent's, depth >= 2)."""
-    texts = comments.select("video_id", "comment_id", "text").dropDuplicates(["video_id", "comment_id"])
+    n = cut_lineage(nodes.join(known, ["video_id", "p"], "left"))
+    top = ~F.coalesce(F.col("is_reply"), F.lit(False))
+    ends = top | F.col("p").isNull() | F.col("_known").isNull()
+    done = n.filter(ends).select(
+        "video_id", "comment_id", F.when(top, 0).otherwise(1).cast("int").alias("dist"),
+        F.when(top | F.col("p").isNull(), F.col("comment_id")).otherwise(F.col("p")).alias("root"))
+    pending = n.filter(~ends).select("video_id", "comment_id", "p", F.col("p").alias("ptr"), F.lit(1).alias("dist"))
+    done, circling = _follow(pending, done)
+    if circling is not None:
+        walkers = circling.select("video_id", "comment_id", "p")
+        cycles = cut_lineage(_cycles(walkers))
+        tails = walkers.join(cycles.select("video_id", "comment_id"), ["video_id", "comment_id"], "left_anti") \
+            .select("video_id", "comment_id", "p", F.col("p").alias("ptr"), F.lit(1).alias("dist"))
+        entered, _ = _follow(tails, cycles)
+        done = done.unionByName(entered)
+    return done.select("video_id", "comment_id", F.col("dist").cast("int").alias("depth"), F.col("root").alias("root_id"))
+
+
+def context_columns(comments: DataFrame, depths: DataFrame, parent_col: str = "inferred_parent_id",
+                    arrival: str | None = None) -> DataFrame:
+    """T5: ``head_comment_text`` (root's text, depth >= 1) and ``previous_comment_text`` (parent's, depth >= 2).
+
+    Of rows with one id the last by ``arrival`` lends its text (without it, the greatest text).
+    """
+    texts = _last_rows(comments, ["text"], arrival)
     c = comments.join(depths, ["video_id", "comment_id"], "left")
     root_t = texts.select("video_id", F.col("comment_id").alias("root_id"), F.col("text").alias("_head"))
     par_t = texts.select("video_id", F.col("comment_id").alias(parent_col), F.col("text").alias("_prev"))
@@ -151,10 +179,3 @@ def context_columns(comments: DataFrame, depths: DataFrame, parent_col: str = "i
     return c.withColumn("head_comment_text", F.when(F.col("depth") >= 1, F.col("_head"))) \
             .withColumn("previous_comment_text", F.when(F.col("depth") >= 2, F.col("_prev"))) \
             .drop("_head", "_prev")
-
-
-def thread(comments: DataFrame) -> DataFrame:
-    """T3 + T4: inferred parents and depth for a comment table."""
-    c = infer_parents(comments)
-    d = thread_depth(c)
-    return c.join(d, ["video_id", "comment_id"], "left")

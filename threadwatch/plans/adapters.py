@@ -21,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadwatch.functions.fixed import ANNOTATORS, NEWSPAPERS
+from threadwatch.functions.fixed import ANNOTATORS, MODELS, NEWSPAPERS
 from threadwatch.functions.scoring import sql_uniform, uniform  # noqa: F401
 from threadwatch.functions.taxonomy import CATEGORIES, TAXONOMY
+from threadwatch.operators import lexicon
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -235,105 +236,95 @@ annotation_files AS (
 def comment_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long annotation table for comments ``(newspaper, file_id, comment_id, annotator, label, text)``.
 
-    Each annotator of a video labels every labelled document of it; the label
-    is ``toxic`` flipped for one answer in five and missing for one in thirty.
+    Each annotator of a video labels every labelled document of it by their own rule over
+    its text (``lexicon.ANNOTATOR_RULES``); very short texts get no label.
     """
     items = labelled_docs(spark, sf_dir).select(
         F.concat(F.lit("d"), F.floor(F.col("doc_id") / 8).cast("bigint").cast("string")).alias("file_id"),
-        F.col("doc_id").cast("string").alias("comment_id"), "toxic", "text")
+        F.col("doc_id").cast("string").alias("comment_id"), "text")
     files = annotation_files(spark, sf_dir)
     a = files.join(items, "file_id")
-    u = uniform(F.concat(F.col("comment_id"), F.col("annotator")), 11)
-    label = F.when(u < 0.03, F.lit(None)).when(u < 0.23, 1 - F.col("toxic")).otherwise(F.col("toxic"))
-    return a.select("newspaper", "file_id", "comment_id", "annotator", label.cast("int").alias("label"), "text")
+    label = lexicon.annotator_label(F.col("text"), F.col("annotator"))
+    return a.select("newspaper", "file_id", "comment_id", "annotator", label.alias("label"), "text")
 
 
 SQL_COMMENT_ANNOTATIONS = SQL_ANNOTATION_FILES + f""",
 ann_items AS (
-  SELECT 'd' || CAST(floor(l.doc_id / 8) AS BIGINT) AS file_id, CAST(l.doc_id AS VARCHAR) AS comment_id,
-         l.toxic, d.text
+  SELECT 'd' || CAST(floor(l.doc_id / 8) AS BIGINT) AS file_id, CAST(l.doc_id AS VARCHAR) AS comment_id, d.text
   FROM labels l JOIN documents d USING (doc_id)),
 comment_annotations AS (
   SELECT f.newspaper, f.file_id, i.comment_id, f.annotator,
-         CAST(CASE WHEN {sql_uniform("i.comment_id || f.annotator", 11)} < 0.03 THEN NULL
-                   WHEN {sql_uniform("i.comment_id || f.annotator", 11)} < 0.23 THEN 1 - i.toxic
-                   ELSE i.toxic END AS INTEGER) AS label,
-         i.text
+         {lexicon.sql_annotator_label('i.text', 'f.annotator')} AS label, i.text
   FROM annotation_files f JOIN ann_items i USING (file_id))"""
 
 
+LETTERS = [f"l{i}" for i in range(len(lexicon.TOPIC_LETTERS))]
+
+
+def doc_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, vnum, l0..l16)``: weighted letter counts of every whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", F.floor(F.col("doc_id") / 8).cast("bigint").alias("vnum"),
+                    *[w.cast("bigint").alias(n) for w, n in zip(lexicon.letter_weights(F.col("text")), LETTERS)])
+
+
+SQL_DOC_LETTERS = "doc_letters AS (SELECT doc_id, CAST(floor(doc_id / 8) AS BIGINT) AS vnum, " + ", ".join(
+    f"CAST({w} AS BIGINT) AS {n}" for w, n in zip(lexicon.sql_letter_weights("text"), LETTERS)) + " FROM documents)"
+
+
 def topic_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Video topics per annotator ``(newspaper, file_id, annotator, topic)``.
 
-    Half the answers give the video's reference category, the rest a drawn
-    category; one in eight is written as an example instance of the category.
+    An annotator reads all documents of the video but one, which differs from annotator to
+    annotator, and names the category of the letter that weighs most in them; where the
+    weights' sum is a multiple of eight, the category's first instance in upper case.
     """
-    files = annotation_files(spark, sf_dir)
-    vnum = F.regexp_extract("file_id", r"^d(\d+)$", 1).cast("bigint")
-    u = uniform(F.concat(F.col("file_id"), F.col("annotator")), 13)
-    base = pick(CATEGORIES, vnum)
-    drawn = pick(CATEGORIES, F.floor(uniform(F.concat(F.col("file_id"), F.col("annotator")), 17) * 17).cast("bigint"))
-    cat = F.when(u < 0.5, base).otherwise(drawn)
+    files = annotation_files(spark, sf_dir).withColumn("vnum", F.regexp_extract("file_id", r"^d(\d+)$", 1).cast("bigint"))
+    skip = F.array_position(F.array(*[F.lit(a) for a in ANNOTATORS]), F.col("annotator")) - 1
+    pairs = files.select("vnum", "annotator").distinct().withColumn("skip", skip)
+    sums = pairs.join(doc_letters(spark, sf_dir), "vnum").filter(F.pmod("doc_id", F.lit(8)) != F.col("skip")) \
+        .groupBy("vnum", "annotator").agg(*[F.sum(n).alias(n) for n in LETTERS])
+    cols = [F.col(n) for n in LETTERS]
+    cat = lexicon.top_category(cols, CATEGORIES)
     first_instance = F.create_map(*[F.lit(x) for c, insts in TAXONOMY.items() for x in (c, insts[0])])
-    topic = F.when(uniform(F.concat(F.col("file_id"), F.col("annotator")), 19) < 0.125,
-                   F.upper(F.element_at(first_instance, cat))).otherwise(cat)
-    return files.select("newspaper", "file_id", "annotator", topic.alias("topic"))
+    total = sum(cols[1:], cols[0])
+    topic = F.when(F.pmod(total, F.lit(8)) == 0, F.upper(F.element_at(first_instance, cat))).otherwise(cat)
+    named = sums.select("vnum", "annotator", topic.alias("topic"))
+    return files.join(named, ["vnum", "annotator"], "left").select("newspaper", "file_id", "annotator", "topic")
 
 
 def sql_topic_annotations() -> str:
     first = " ".join(f"WHEN '{c.replace(chr(39), chr(39)*2)}' THEN '{insts[0].replace(chr(39), chr(39)*2)}'"
                      for c, insts in TAXONOMY.items())
-    u = sql_uniform("file_id || annotator", 13)
-    u2 = sql_uniform("file_id || annotator", 17)
-    u3 = sql_uniform("file_id || annotator", 19)
-    base = sql_pick(CATEGORIES, "CAST(substr(file_id, 2) AS BIGINT)")
-    drawn = sql_pick(CATEGORIES, f"CAST(floor({u2} * 17) AS BIGINT)")
+    cat = lexicon.sql_top_category(LETTERS, CATEGORIES)
     return SQL_ANNOTATION_FILES + f""",
-topic_cat AS (
-  SELECT newspaper, file_id, annotator,
-         CASE WHEN {u} < 0.5 THEN {base} ELSE {drawn} END AS cat,
-         {u3} AS u3
-  FROM annotation_files),
+{SQL_DOC_LETTERS},
+topic_sums AS (
+  SELECT p.vnum, p.annotator, {", ".join(f"sum({n}) AS {n}" for n in LETTERS)}
+  FROM (SELECT DISTINCT CAST(substr(file_id, 2) AS BIGINT) AS vnum, annotator FROM annotation_files) p
+  JOIN doc_letters d ON d.vnum = p.vnum AND d.doc_id % 8 <> list_position({_sql_list(ANNOTATORS)}, p.annotator) - 1
+  GROUP BY p.vnum, p.annotator),
+topic_cat AS (SELECT vnum, annotator, {cat} AS cat, ({" + ".join(LETTERS)}) % 8 AS rest FROM topic_sums),
 topic_annotations AS (
-  SELECT newspaper, file_id, annotator,
-         CASE WHEN u3 < 0.125 THEN upper(CASE cat {first} END) ELSE cat END AS topic
-  FROM topic_cat)"""
+  SELECT f.newspaper, f.file_id, f.annotator,
+         CASE WHEN c.rest = 0 THEN upper(CASE c.cat {first} END) ELSE c.cat END AS topic
+  FROM annotation_files f
+  LEFT JOIN topic_cat c ON c.vnum = CAST(substr(f.file_id, 2) AS BIGINT) AND c.annotator = f.annotator)"""
 
 
-# ---------------------------------------------------------------- recorded model answers
+# ---------------------------------------------------------------- answers of the text rules
 
-# answers a chat model gives to the yes/no prompt, as decoded text
-ANSWERS_YES = ["Sì", "sì.", "Si", "Sì, è offensivo", "SÌ!"]
-ANSWERS_NO = ["No", "no.", "Direi di no", "No, non lo è", "sì? no"]
-ANSWERS_UNPARSEABLE = ["Forse", "", "non saprei", "sicuro"]
-MODEL_NOISE = {"mistral": 0.15, "gemma2": 0.25, "gemma3": 0.2}
+def model_answers(items: DataFrame, text: str = "text") -> DataFrame:
+    """One row per item and model of the catalogue: adds ``model_key``, ``ordinal``, ``answer``; ``text`` goes."""
+    each = F.array(*[F.struct(F.lit(m[0]).alias("model_key"), F.lit(i).alias("ordinal"),
+                              lexicon.offensive_answer(F.col(text), m[0]).alias("answer")) for i, m in enumerate(MODELS)])
+    return items.withColumn("_m", F.explode(each)).select(*[c for c in items.columns if c != text], "_m.*")
 
 
-def model_answers(items: DataFrame, model_key: str, key: str = "doc_id", truth: str = "toxic") -> DataFrame:
-    """Adds ``answer``: the recorded free-text answer of ``model_key`` for each item.
-
-    One answer in twenty is unparseable; ``MODEL_NOISE[model_key]`` of them
-    give the wrong class; the wording is drawn from the lists above.
-    """
-    u = uniform(F.col(key), f"m:{model_key}")
-    w = uniform(F.col(key), f"w:{model_key}")
-    noise = MODEL_NOISE[model_key]
-    says_yes = F.when(u < 0.05 + noise, F.col(truth) == 0).otherwise(F.col(truth) == 1)
-    yes = pick(ANSWERS_YES, F.floor(w * 1000).cast("bigint"))
-    no = pick(ANSWERS_NO, F.floor(w * 1000).cast("bigint"))
-    bad = pick(ANSWERS_UNPARSEABLE, F.floor(w * 1000).cast("bigint"))
-    ans = F.when(u < 0.05, bad).when(says_yes, yes).otherwise(no)
-    return items.withColumn("answer", ans)
-
-
-def sql_model_answers(src: str, model_key: str, key: str = "doc_id", truth: str = "toxic") -> str:
-    u = sql_uniform(key, f"m:{model_key}")
-    w = f"CAST(floor({sql_uniform(key, f'w:{model_key}')} * 1000) AS BIGINT)"
-    noise = MODEL_NOISE[model_key]
-    yes, no, bad = sql_pick(ANSWERS_YES, w), sql_pick(ANSWERS_NO, w), sql_pick(ANSWERS_UNPARSEABLE, w)
-    says_yes = f"(CASE WHEN {u} < {0.05 + noise} THEN {truth} = 0 ELSE {truth} = 1 END)"
-    return (f"SELECT *, CASE WHEN {u} < 0.05 THEN {bad} WHEN {says_yes} THEN {yes} ELSE {no} END AS answer "
-            f"FROM {src}")
+def sql_model_answers(src: str, keep: str, text: str = "text") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {keep}, '{m[0]}' AS model_key, {i} AS ordinal, {lexicon.sql_offensive_answer(text, m[0])} AS answer FROM {src}"
+        for i, m in enumerate(MODELS))
 
 
 def sql_parse_label(expr: str) -> str:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadwatch.functions.fixed import MODELS
+from threadwatch.functions.fixed import DESCRIPTION_MAX_CHARS, MODELS
 from threadwatch.functions.prompt_text import COMMENT_PROMPT, RISK_PROMPTS, TOPIC_PROMPT
-from threadwatch.functions.taxonomy import (canonical_topic, sql_canonical_topic, sql_topic_select,
+from threadwatch.functions.taxonomy import (CATEGORIES, canonical_topic, sql_canonical_topic, sql_topic_select,
                                             taxonomy_block, with_parsed_topic)
-from threadwatch.functions.text import parse_label, truncate_description
-from threadwatch.operators import annotate, gold, prompts, threads
+from threadwatch.functions.text import parse_label, truncate_description, unicode_strip
+from threadwatch.operators import annotate, gold, lexicon, prompts, threads
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset
 from threadwatch.plans.registry import query
@@ -25,19 +25,33 @@ def sql_truncate(x: str, n: int = 1000) -> str:
 @query("truncate_description", f"SELECT doc_id, {sql_truncate('text')} AS description FROM documents")
 def truncate_description_q(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", truncate_description(F.col("text")).alias("description"))
+    return d.select("doc_id", truncate_description(F.col("text"), DESCRIPTION_MAX_CHARS).alias("description"))
 
 
-@query("parse_label", f"SELECT doc_id, {ad.sql_parse_label('text')} AS label FROM documents")
-def parse_label_q(spark, sf_dir):
+def answered_documents(spark, sf_dir):
+    """Every document after an answer that its id picks: labels, categories, instances or nothing before the text."""
     d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", parse_label(F.col("text")).alias("label"))
+    lead = F.element_at(F.array(*[F.lit(x) for x in ANSWER_LEADS]), (F.pmod("doc_id", F.lit(len(ANSWER_LEADS))) + 1).cast("int"))
+    return d.select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, lead).otherwise(F.concat(lead, F.lit("\n"), "text"))
+                    .alias("answer"))
+
+
+#: what answers look like; each reaches a branch of the parsers
+ANSWER_LEADS = ["Sì", "no.", "Sì, anzi no", "si!", "  SÌ\t", "forse", "", "così", "Sport", "COUP D’ETAT", "La categoria: sport",
+                "parla di climate change", "education e health", "  crime  "]
+SQL_ANSWERED = "answered AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lead ELSE lead || chr(10) || text END AS answer FROM (" \
+    "SELECT doc_id, text, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in ANSWER_LEADS) + \
+    f"][doc_id % {len(ANSWER_LEADS)} + 1] AS lead FROM documents))"
+
+
+@query("parse_label", f"WITH {SQL_ANSWERED} SELECT doc_id, {ad.sql_parse_label('answer')} AS label FROM answered")
+def parse_label_q(spark, sf_dir):
+    return answered_documents(spark, sf_dir).select("doc_id", parse_label(F.col("answer")).alias("label"))
 
 
-@query("parse_topic", sql_topic_select("documents", "doc_id", "text"))
+@query("parse_topic", f"WITH {SQL_ANSWERED} " + sql_topic_select("answered", "doc_id", "answer"))
 def parse_topic_q(spark, sf_dir):
-    d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_parsed_topic(d, "text").select("doc_id", "topic")
+    return with_parsed_topic(answered_documents(spark, sf_dir), "answer").select("doc_id", "topic")
 
 
 @query("canonical_topic", "WITH " + ad.sql_topic_annotations().strip() + f"""
@@ -105,22 +119,84 @@ def run_counters(spark, sf_dir):
 
 
 def silver_topics(spark, sf_dir):
-    """A1 -> P6/P8 -> A3 (plug-in predictor) -> A6 -> A8 for the pending documents."""
+    """A1 -> P8 -> A3 (text rule) -> A6 -> A8 for the pending documents."""
     raw, g, s = _doc_sets(spark, sf_dir)
     p = annotate.pending(raw, g, s, ["newspaper", "file_id"])
-    p = p.withColumn("prompt", prompts.topic_prompt(F.col("source"), truncate_description(F.col("text"))))
-    scored = annotate.score_prompts(p, ["newspaper", "file_id"], "prompt", annotate.DescriptionEcho)
+    p = p.withColumn("prompt", prompts.topic_prompt(F.col("source"), F.col("text")))
+    rule = lexicon.TopicRule(CATEGORIES, *prompts.around(TOPIC_PROMPT, "article_description"))
+    scored = annotate.score_prompts(p, ["newspaper", "file_id"], "prompt", lambda: rule)
     out = with_parsed_topic(scored, "raw_answer", "parsed_topic")
     return annotate.attach_silver_topic(out).select("newspaper", "file_id", "topic")
 
 
-@query("annotate_silver", SQL_DOC_SETS + f""",
-parsed AS ({sql_topic_select("pend", "newspaper, file_id", f"coalesce(nullif({sql_truncate('text')}, ''), 'N/A')")})
+SQL_SILVER = f""",
+described AS (SELECT newspaper, file_id, coalesce(nullif(text, ''), 'N/A') AS description FROM pend),
+answered AS (
+  SELECT newspaper, file_id,
+         coalesce('Categoria: ' || upper({lexicon.sql_top_category(lexicon.sql_letter_weights('description'), CATEGORIES)}),
+                  'non saprei') AS answer FROM described),
+parsed AS ({sql_topic_select("answered", "newspaper, file_id", "answer")})"""
+
+
+@query("annotate_silver", SQL_DOC_SETS + SQL_SILVER + """
 SELECT newspaper, file_id, coalesce(topic, '') AS topic FROM parsed""")
 def annotate_silver(spark, sf_dir):
     return silver_topics(spark, sf_dir)
 
 
+# ---------------------------------------------------------------- the comment annotation job
+
+COMMENT_MODEL = "gemma3"
+
+
+def silver_comments(spark, sf_dir):
+    """A1 -> T5 -> A9 -> P7 -> A3 -> A5 -> A8: labels of the conversation comments that have none yet.
+
+    Videos whose document is labelled of quality 1 are gold, of 0 silver; the others' comments
+    with a text are pending.  Returns (statuses, labelled).
+    """
+    c = ad.conversation_comments(spark, sf_dir).withColumn("inferred_parent_id", F.col("parent_comment_id"))
+    lab = ad.table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("conv"), F.col("doc_id").cast("string")).alias("video_id"), "quality")
+    g, s = lab.filter("quality = 1"), lab.filter("quality = 0")
+    statuses = annotate.status_table(c.select("video_id", "comment_id", "text"), g, s, ["video_id"], "text")
+    ctx = threads.context_columns(c, threads.thread_depth(c))
+    d = ad.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("conv"), F.col("doc_id").cast("string")).alias("video_id"),
+        F.col("source").alias("title"), F.col("text").alias("description"))
+    asked = annotate.pending(ctx, g, s, ["video_id"]).filter("text <> ''")
+    asked = annotate.attach_metadata(asked, d, ["video_id"]).withColumn("prompt", prompts.comment_prompt(
+        F.col("title"), F.col("description"), F.col("head_comment_text"), F.col("previous_comment_text"), F.col("text")))
+    rule = lexicon.OffensiveRule(COMMENT_MODEL, *prompts.around(COMMENT_PROMPT, "target_comment"))
+    scored = annotate.score_prompts(asked, ["video_id", "comment_id"], "prompt", lambda: rule)
+    return statuses, annotate.attach_silver_label(scored)
+
+
+SQL_COMMENT_JOB = "WITH " + ad.SQL_CONVERSATION_COMMENTS.strip() + f""",
+lab AS (SELECT 'conv' || doc_id AS video_id, quality FROM labels),
+st AS (SELECT c.*, CASE WHEN c.video_id IN (SELECT video_id FROM lab WHERE quality = 1) THEN 'skipped_gold'
+                        WHEN c.video_id IN (SELECT video_id FROM lab WHERE quality = 0) THEN 'skipped_silver'
+                        WHEN text IS NULL OR text = '' THEN 'skipped_empty' ELSE 'pending' END AS status FROM conv_comments c),
+ans AS (SELECT video_id, comment_id, {lexicon.sql_offensive_answer('text', COMMENT_MODEL)} AS answer
+        FROM st WHERE status = 'pending'),
+lbl AS (SELECT video_id, comment_id, {ad.sql_parse_label('answer')} AS label FROM ans)"""
+
+
+@query("annotate_comments", SQL_COMMENT_JOB + "\nSELECT video_id, comment_id, label FROM lbl")
+def annotate_comments(spark, sf_dir):
+    return silver_comments(spark, sf_dir)[1].select("video_id", "comment_id", "label")
+
+
+@query("comment_run_counters", SQL_COMMENT_JOB + """
+SELECT status, count(*) AS n FROM st WHERE status LIKE 'skipped_%' GROUP BY status
+UNION ALL SELECT 'written', count(*) FROM lbl
+UNION ALL SELECT 'unparseable', count(*) FILTER (WHERE label IS NULL) FROM lbl
+UNION ALL SELECT 'errors', (SELECT count(*) FROM st WHERE status = 'pending') - (SELECT count(*) FROM lbl)""")
+def comment_run_counters(spark, sf_dir):
+    statuses, labelled = silver_comments(spark, sf_dir)
+    return annotate.annotation_counters(statuses, labelled, "label")
+
+
 # ---------------------------------------------------------------- prompts
 
 def _sql_str(s: str) -> str:
@@ -131,11 +207,11 @@ def _sql_str(s: str) -> str:
 SELECT doc_id, {prompts.sql_render(TOPIC_PROMPT, {
     "taxonomy": _sql_str(taxonomy_block()),
     "article_title": "coalesce(nullif(source, ''), 'N/A')",
-    "article_description": f"coalesce(nullif({sql_truncate('text')}, ''), 'N/A')"})} AS prompt
+    "article_description": f"coalesce(nullif(text, ''), 'N/A')"})} AS prompt
 FROM documents""")
 def topic_prompts(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return d.select("doc_id", prompts.topic_prompt(F.col("source"), truncate_description(F.col("text")))
+    return d.select("doc_id", prompts.topic_prompt(F.col("source"), F.col("text"))
                     .alias("prompt"))
 
 
@@ -145,7 +221,7 @@ def comment_prompts(spark, sf_dir):
     ctx = threads.context_columns(c, threads.thread_depth(c))
     d = ad.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("conv"), F.col("doc_id").cast("string")).alias("video_id"),
-        F.col("source").alias("title"), truncate_description(F.col("text")).alias("description"))
+        F.col("source").alias("title"), F.col("text").alias("description"))
     j = annotate.attach_metadata(ctx, d, ["video_id"])
     return j.select("video_id", "comment_id", prompts.comment_prompt(
         F.col("title"), F.col("description"), F.col("head_comment_text"), F.col("previous_comment_text"),
@@ -155,7 +231,7 @@ def comment_prompts(spark, sf_dir):
 def _sql_comment_prompts() -> str:
     from threadwatch.plans.q_threads import SQL_CONTEXT
     return SQL_CONTEXT + f""",
-meta AS (SELECT 'conv' || doc_id AS video_id, source AS title, {sql_truncate('text')} AS description FROM documents),
+meta AS (SELECT 'conv' || doc_id AS video_id, source AS title, text AS description FROM documents),
 j AS (SELECT ctx.*, coalesce(meta.title, '') AS title, coalesce(meta.description, '') AS description
       FROM ctx LEFT JOIN meta USING (video_id))
 SELECT video_id, comment_id, {prompts.sql_render(COMMENT_PROMPT, {
@@ -170,14 +246,14 @@ query("render_prompts", _sql_comment_prompts())(comment_prompts)
 
 
 @query("attach_metadata", "WITH " + ad.SQL_CONVERSATION_COMMENTS.strip() + f""",
-meta AS (SELECT 'conv' || doc_id AS video_id, source AS title, {sql_truncate('text')} AS description FROM documents)
+meta AS (SELECT 'conv' || doc_id AS video_id, source AS title, text AS description FROM documents)
 SELECT c.video_id, c.comment_id, coalesce(m.title, '') AS title, coalesce(m.description, '') AS description
 FROM conv_comments c LEFT JOIN meta m USING (video_id)""")
 def attach_metadata_q(spark, sf_dir):
     c = ad.conversation_comments(spark, sf_dir)
     d = ad.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("conv"), F.col("doc_id").cast("string")).alias("video_id"),
-        F.col("source").alias("title"), truncate_description(F.col("text")).alias("description"))
+        F.col("source").alias("title"), F.col("text").alias("description"))
     return annotate.attach_metadata(c, d, ["video_id"]).select("video_id", "comment_id", "title", "description")
 
 
@@ -185,8 +261,8 @@ MODEL_KEYS = [m[0] for m in MODELS]
 
 
 @query("prompt_grid", SQL_EVAL + """,
-v AS (SELECT video_key, coalesce(nullif(trim(video_text), ''), 'N/A') AS title,
-             coalesce(nullif(trim(video_description), ''), 'N/A') AS description FROM ev),
+v AS (SELECT video_key, coalesce(nullif(trim(video_text, ' \t\n\r\x0b\x0c'), ''), 'N/A') AS title,
+             coalesce(nullif(trim(video_description, ' \t\n\r\x0b\x0c'), ''), 'N/A') AS description FROM ev),
 t AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {_sql_str(tpl)})" for i, tpl in enumerate(RISK_PROMPTS)) + """
 ) AS x(prompt_id, tpl)),
 m AS (SELECT unnest(""" + "[" + ", ".join(_sql_str(k) for k in MODEL_KEYS) + "]" + """) AS model_key),
@@ -197,21 +273,20 @@ SELECT video_key, prompt_id, model_key, length(prompt) AS prompt_chars, md5(prom
 def prompt_grid(spark, sf_dir):
     v = eval_dataset(spark, sf_dir)
     v = v.select("video_key",
-                 F.coalesce(F.nullif(F.trim("video_text"), F.lit("")), F.lit("N/A")).alias("title"),
-                 F.coalesce(F.nullif(F.trim("video_description"), F.lit("")), F.lit("N/A")).alias("description"))
+                 F.coalesce(F.nullif(unicode_strip(F.col("video_text")), F.lit("")), F.lit("N/A")).alias("title"),
+                 F.coalesce(F.nullif(unicode_strip(F.col("video_description")), F.lit("")), F.lit("N/A")).alias("description"))
     g = prompts.risk_prompt_grid(v)
     return g.select("video_key", F.col("prompt_id").cast("int").alias("prompt_id"), "model_key",
                     F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
-@query("silver_run_counters", SQL_DOC_SETS + f""",
+@query("silver_run_counters", SQL_DOC_SETS + """,
 st AS (
   SELECT CASE WHEN g.file_id IS NOT NULL THEN 'skipped_gold'
               WHEN s.file_id IS NOT NULL THEN 'skipped_silver' END AS status
   FROM raw
   LEFT JOIN (SELECT DISTINCT newspaper, file_id FROM lab WHERE quality = 1) g USING (newspaper, file_id)
-  LEFT JOIN (SELECT DISTINCT newspaper, file_id FROM lab WHERE quality = 0) s USING (newspaper, file_id)),
-parsed AS ({sql_topic_select("pend", "newspaper, file_id", f"coalesce(nullif({sql_truncate('text')}, ''), 'N/A')")})
+  LEFT JOIN (SELECT DISTINCT newspaper, file_id FROM lab WHERE quality = 0) s USING (newspaper, file_id))""" + SQL_SILVER + """
 SELECT status, count(*) AS n FROM st WHERE status IS NOT NULL GROUP BY status
 UNION ALL SELECT 'written', count(*) FROM parsed
 UNION ALL SELECT 'unparseable', count(*) FILTER (WHERE topic IS NULL) FROM parsed""")
@@ -224,47 +299,30 @@ def silver_run_counters(spark, sf_dir):
 
 # ---------------------------------------------------------------- topic classifier selection (E9 on topics)
 
-TOPIC_MODEL_NOISE = {"mistral": 0.3, "gemma2": 0.45, "gemma3": 0.35}
+#: which documents of a video a model reads, as a condition on the document's place in it
+TOPIC_MODELS_READ = {"mistral": "doc_id % 2 = 0", "gemma2": "doc_id % 8 < 3", "gemma3": "doc_id % 8 <> 5"}
 
 
-def topic_answers(items, model_key: str):
-    """Recorded free-text topic answers: 5 % junk, ``noise`` a drawn category, else the true topic in a sentence."""
-    from threadwatch.functions.taxonomy import CATEGORIES
-    u = ad.uniform(F.col("file_id"), f"tm:{model_key}")
-    w = ad.uniform(F.col("file_id"), f"tw:{model_key}")
-    drawn = ad.pick(CATEGORIES, F.floor(w * 17).cast("bigint"))
-    ans = (F.when(u < 0.05, F.lit("non saprei"))
-           .when(u < 0.05 + TOPIC_MODEL_NOISE[model_key], drawn)
-           .otherwise(F.concat(F.lit("Categoria: "), F.upper(F.col("topic")))))
-    return items.withColumn("answer", ans)
-
-
-def sql_topic_answers(src: str, model_key: str) -> str:
-    from threadwatch.functions.scoring import sql_uniform
-    from threadwatch.functions.taxonomy import CATEGORIES
-    u = sql_uniform("file_id", f"tm:{model_key}")
-    w = sql_uniform("file_id", f"tw:{model_key}")
-    drawn = ad.sql_pick(CATEGORIES, f"CAST(floor({w} * 17) AS BIGINT)")
-    return (f"SELECT *, CASE WHEN {u} < 0.05 THEN 'non saprei' "
-            f"WHEN {u} < {0.05 + TOPIC_MODEL_NOISE[model_key]} THEN {drawn} "
-            f"ELSE 'Categoria: ' || upper(topic) END AS answer FROM {src}")
+def topic_answers(spark, sf_dir):
+    """``(file_id, model_key, ordinal, answer)``: each model names the weightiest letter's category in what it reads."""
+    letters = ad.doc_letters(spark, sf_dir)
+    sums = letters.groupBy("vnum").agg(*[
+        F.sum(F.when(F.expr(cond), F.col(n)).otherwise(0)).alias(f"{key}_{n}")
+        for key, cond in TOPIC_MODELS_READ.items() for n in ad.LETTERS])
+    cats = [lexicon.top_category([F.col(f"{key}_{n}") for n in ad.LETTERS], CATEGORIES) for key in MODEL_KEYS]
+    each = F.array(*[F.coalesce(F.concat(F.lit("Categoria: "), F.upper(c)), F.lit("non saprei")) for c in cats])
+    long = sums.select(F.concat(F.lit("d"), F.col("vnum").cast("string")).alias("file_id"), F.posexplode(each).alias("ordinal", "answer"))
+    return long.withColumn("model_key", F.element_at(F.array(*[F.lit(k) for k in MODEL_KEYS]), F.col("ordinal") + 1))
 
 
 def select_best_topic_model(spark, sf_dir):
     """A10 -> E1 -> A6 -> E4 -> E9: macro-F1 of every model on dev, first maximum, scored once on test."""
     from threadwatch.operators import metrics
     g = gold.majority_topic(ad.topic_annotations(spark, sf_dir), ["newspaper", "file_id"])
-    gv = annotate.gold_videos(g.select("newspaper", "file_id", "topic")).select("file_id", "topic")
-    # the split feeds one branch per model: materialise it once (reliable checkpoint)
-    s = cut_lineage(metrics.dev_test_split(gv, "file_id", "topic"))
-    parts = []
-    for i, key in enumerate(MODEL_KEYS):
-        a = with_parsed_topic(topic_answers(s, key), "answer", "pred_label")
-        parts.append(a.select(F.lit(key).alias("model_key"), F.lit(i).alias("ordinal"), "file_id", "split",
-                              F.col("topic").alias("true_label"), "pred_label"))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
+    gv = cut_lineage(annotate.gold_videos(g.select("newspaper", "file_id", "topic")).select("file_id", "topic"))
+    s = metrics.dev_test_split(gv, "file_id", "topic")
+    asked = s.withColumnRenamed("topic", "true_label").join(topic_answers(spark, sf_dir), "file_id")
+    preds = cut_lineage(with_parsed_topic(asked, "answer", "pred_label").drop("answer"))
     scores = metrics.macro_f1(preds, ["model_key", "ordinal", "split"])
     best = scores.filter(F.col("split") == "dev").orderBy(F.col("macro_f1").desc(), "ordinal").limit(1)
     test = scores.filter(F.col("split") == "test").select("model_key", F.col("macro_f1").alias("test_macro_f1"))
@@ -294,7 +352,12 @@ def _sql_select_best_topic_model() -> str:
   FROM uu JOIN quota USING (topic))"""]
     parts = []
     for i, key in enumerate(MODEL_KEYS):
-        ctes.append(f"ta_{key} AS ({sql_topic_answers('sp', key)})")
+        sums = [f"sum(CASE WHEN {TOPIC_MODELS_READ[key]} THEN {n} ELSE 0 END)" for n in ad.LETTERS]
+        ctes.append(f"tl_{key} AS (SELECT 'd' || vnum AS file_id, {', '.join(f'{x} AS {n}' for x, n in zip(sums, ad.LETTERS))} "
+                    f"FROM doc_letters GROUP BY vnum)")
+        ctes.append(f"ta_{key} AS (SELECT sp.file_id, split, topic, coalesce('Categoria: ' || upper("
+                    f"{lexicon.sql_top_category(ad.LETTERS, CATEGORIES)}), 'non saprei') AS answer "
+                    f"FROM sp JOIN tl_{key} USING (file_id))")
         ctes.append(f"tp_{key} AS ({sql_topic_select(f'ta_{key}', 'file_id, split, topic', 'answer', 'pred')})")
         parts.append(f"SELECT '{key}' AS model_key, {i} AS ordinal, file_id, split, topic AS t, pred AS p "
                      f"FROM tp_{key}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadwatch.functions.fixed import MAX_VIDEOS_PER_CHANNEL
 from threadwatch.operators import collection
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.registry import query
@@ -27,7 +28,8 @@ SELECT * FROM (
          CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, 'e' || event_id) AS INTEGER) AS position
   FROM events WHERE ts <= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) WHERE position <= 100""")
 def eligible_videos(spark, sf_dir):
-    return collection.eligible_videos(event_videos(spark, sf_dir), AS_OF).withColumn(
+    return collection.eligible_videos(event_videos(spark, sf_dir), AS_OF,
+                                      max_per_channel=MAX_VIDEOS_PER_CHANNEL).withColumn(
         "position", F.col("position").cast("int"))
 
 
@@ -60,7 +62,7 @@ def api_and_scrape(spark, sf_dir):
         F.when(F.pmod("user_id", F.lit(17)) == 0, F.lit("n/a")).otherwise(epoch_text).alias("timestamp"),
         F.concat(F.lit("@U"), F.col("user_id").cast("string")).alias("author"),
         F.when(F.pmod("user_id", F.lit(5)) != 0, F.floor("value").cast("bigint")).alias("like_count"),
-        F.when(F.pmod("user_id", F.lit(7)) != 0, F.col("props")).alias("text"))
+        F.when(F.pmod("user_id", F.lit(7)) != 0, F.col("props")).alias("text"), F.lit(1).alias("arrival"))
     return api, scraped
 
 
@@ -96,7 +98,11 @@ SELECT s.video_id, s.id, CASE WHEN s.parent <> 'root' THEN s.parent END, coalesc
 FROM scraped s WHERE NOT EXISTS (SELECT 1 FROM api a WHERE a.video_id = s.video_id AND a.comment_id = s.id)""")
 def merge_sources(spark, sf_dir):
     api, scraped = api_and_scrape(spark, sf_dir)
-    return collection.merge_sources(api, scraped)
+    # every third comment was scraped once before, as a reply to something greater; the later row counts
+    stale = scraped.filter(F.pmod(F.substring("id", 2, 20).cast("bigint"), F.lit(3)) == 0) \
+        .withColumn("parent", F.lit("zz")).withColumn("text", F.lit("stale")).withColumn("arrival", F.lit(0))
+    blank = scraped.withColumn("id", F.lit(" \n"))
+    return collection.merge_sources(api, stale.unionByName(scraped).unionByName(blank))
 
 
 @query("epoch_to_ts", SQL_SOURCES + f"\nSELECT id, {SQL_TS} AS published_at FROM scraped")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadwatch.functions.fixed import MODELS
+from threadwatch.functions.fixed import MODELS, TRIAL_SAMPLE_SIZE
 from threadwatch.functions.scoring import sql_uniform
-from threadwatch.functions.text import parse_label
-from threadwatch.operators import baselines, metrics
+from threadwatch.functions.text import parse_label, unicode_strip
+from threadwatch.operators import baselines, lexicon, metrics
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset, sql_topic_random
 from threadwatch.plans.registry import query
-from threadwatch.session import cut_lineage
 
 PRED_COLS = "baseline, run, video_key, video_topic, true_label, pred_label"
 MODEL_KEYS = [m[0] for m in MODELS]
@@ -113,35 +112,35 @@ def metrics_mean_std(spark, sf_dir):
 
 # ------------------------------------------------------------ classifier evaluation on labelled docs
 
-def binary_preds(spark, sf_dir, model_key="gemma2"):
-    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "toxic", "lang")
-    a = ad.model_answers(items, model_key)
-    return a.select("doc_id", "lang", F.col("toxic").alias("true_label"), parse_label(F.col("answer")).alias("pred_label"))
+def binary_preds(spark, sf_dir):
+    """Every model's parsed answers about every labelled document, long form."""
+    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "toxic", "lang", "text")
+    return ad.model_answers(items).select("model_key", "doc_id", "lang", F.col("toxic").alias("true_label"),
+                                          parse_label(F.col("answer")).alias("pred_label"))
 
 
-def sql_binary_preds(model_key="gemma2") -> str:
-    items = "(SELECT doc_id, toxic, lang FROM labels JOIN documents USING (doc_id))"
+def sql_binary_preds() -> str:
+    items = "(SELECT doc_id, toxic, lang, text FROM labels JOIN documents USING (doc_id))"
     return f"""
-ans_{model_key} AS ({ad.sql_model_answers(items, model_key)}),
-bp_{model_key} AS (SELECT doc_id, lang, toxic AS true_label, {ad.sql_parse_label('answer')} AS pred_label
-                   FROM ans_{model_key})"""
+answers AS ({ad.sql_model_answers(items, "doc_id, toxic, lang")}),
+bp AS (SELECT model_key, doc_id, lang, toxic AS true_label, {ad.sql_parse_label('answer')} AS pred_label FROM answers)"""
 
 
 @query("binary_score", "WITH " + sql_binary_preds().strip() + f"""
-SELECT count(*) AS n_total, CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable,
+SELECT model_key, count(*) AS n_total, CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable,
        {_div0('2 * count_if(true_label = 1 AND pred_label = 1)',
               '2 * count_if(true_label = 1 AND pred_label = 1) + count_if(true_label = 0 AND pred_label = 1)'
               ' + count_if(true_label = 1 AND pred_label = 0)')} AS f1_offensive
-FROM bp_gemma2""")
+FROM bp GROUP BY model_key""")
 def binary_score(spark, sf_dir):
-    return metrics.binary_score(binary_preds(spark, sf_dir))
+    return metrics.binary_score(binary_preds(spark, sf_dir), ["model_key"])
 
 
 @query("label_distribution", "WITH " + sql_binary_preds().strip() + """
-SELECT count(*) AS n_total, CAST(count_if(true_label = 1) AS BIGINT) AS n_pos, CAST(count_if(true_label = 0) AS BIGINT) AS n_neg,
-       CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable FROM bp_gemma2""")
+SELECT model_key, count(*) AS n_total, CAST(count_if(true_label = 1) AS BIGINT) AS n_pos, CAST(count_if(true_label = 0) AS BIGINT) AS n_neg,
+       CAST(count_if(pred_label IS NULL) AS BIGINT) AS n_unparseable FROM bp GROUP BY model_key""")
 def label_distribution(spark, sf_dir):
-    return metrics.label_distribution(binary_preds(spark, sf_dir))
+    return metrics.label_distribution(binary_preds(spark, sf_dir), ["model_key"])
 
 
 def sql_report(src: str, t: str, p: str) -> str:
@@ -171,32 +170,22 @@ UNION ALL SELECT 'macro avg', mp, mr, mf, CAST(sup AS BIGINT) FROM tot
 UNION ALL SELECT 'weighted avg', wp, wr, wf, CAST(sup AS BIGINT) FROM tot"""
 
 
-@query("binary_report", "WITH " + sql_binary_preds().strip() + sql_report("bp_gemma2", "true_label", "pred_label")
+@query("binary_report", "WITH " + sql_binary_preds().strip() + sql_report("bp", "true_label", "pred_label")
        + SQL_REPORT_TAIL)
 def binary_report(spark, sf_dir):
     return metrics.classification_report(binary_preds(spark, sf_dir))
 
 
-LANGS_FIXED = ["de", "en", "es", "fr"]
-
-
 def lang_preds(spark, sf_dir):
-    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "lang")
-    u = ad.uniform(F.col("doc_id"), "lang")
-    guess = ad.pick(LANGS_FIXED, F.floor(ad.uniform(F.col("doc_id"), "lang2") * 4).cast("bigint"))
-    pred = F.when(u < 0.05, F.lit(None)).when(u < 0.35, guess).otherwise(F.col("lang"))
-    return items.select("doc_id", F.col("lang").alias("true_label"), pred.alias("pred_label"))
+    """Language by its most frequent words, against the documents' own."""
+    items = ad.labelled_docs(spark, sf_dir)
+    return items.select("doc_id", F.col("lang").alias("true_label"), lexicon.language(F.col("text")).alias("pred_label"))
 
 
 SQL_LANG_PREDS = f"""
-WITH items AS (SELECT doc_id, lang FROM labels JOIN documents USING (doc_id)),
-lp AS (
-  SELECT doc_id, lang AS true_label,
-         CASE WHEN {sql_uniform('doc_id', 'lang')} < 0.05 THEN NULL
-              WHEN {sql_uniform('doc_id', 'lang')} < 0.35
-                THEN {ad.sql_pick(LANGS_FIXED, f"CAST(floor({sql_uniform('doc_id', 'lang2')} * 4) AS BIGINT)")}
-              ELSE lang END AS pred_label
-  FROM items)"""
+WITH lp AS (
+  SELECT doc_id, lang AS true_label, {lexicon.sql_language('text')} AS pred_label
+  FROM labels JOIN documents USING (doc_id))"""
 
 
 @query("macro_f1_multiclass", SQL_LANG_PREDS + sql_report("lp", "true_label", "pred_label") + f"""
@@ -240,22 +229,21 @@ SELECT doc_id, lang, toxic FROM labels JOIN documents USING (doc_id)
 ORDER BY {sql_uniform('doc_id', 42)}, doc_id LIMIT 50""")
 def seeded_sample(spark, sf_dir):
     items = ad.labelled_docs(spark, sf_dir).select("doc_id", "lang", "toxic")
-    return metrics.seeded_sample(items, "doc_id")
+    return metrics.seeded_sample(items, "doc_id", TRIAL_SAMPLE_SIZE)
 
 
 def model_predictions(spark, sf_dir):
-    """Dev/test split x every model in the catalogue, parsed answers, long form."""
-    # the split feeds one branch per model: materialise it once (reliable checkpoint)
-    s = cut_lineage(split_items(spark, sf_dir))
-    parts = []
-    for i, key in enumerate(MODEL_KEYS):
-        a = ad.model_answers(s, key)
-        parts.append(a.select(F.lit(key).alias("model_key"), F.lit(i).alias("ordinal"), "doc_id", "split",
-                              F.col("toxic").alias("true_label"), parse_label(F.col("answer")).alias("pred_label")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Dev/test split x every model in the catalogue, parsed answers, long form.
+
+    The texts are read once; the split takes the three short answers along.
+    """
+    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "lang", "toxic", F.array(
+        *[lexicon.offensive_answer(F.col("text"), k) for k in MODEL_KEYS]).alias("answers"))
+    s = metrics.dev_test_split(items, "doc_id", "lang")
+    long = s.select("doc_id", "split", "toxic", F.posexplode("answers").alias("ordinal", "answer"))
+    return long.select(F.element_at(F.array(*[F.lit(k) for k in MODEL_KEYS]), F.col("ordinal") + 1).alias("model_key"),
+                       "ordinal", "doc_id", "split", F.col("toxic").alias("true_label"),
+                       parse_label(F.col("answer")).alias("pred_label"))
 
 
 def select_best_model(spark, sf_dir):
@@ -270,12 +258,11 @@ def select_best_model(spark, sf_dir):
 
 
 def _sql_model_preds() -> str:
-    parts, ctes = [], []
-    for i, key in enumerate(MODEL_KEYS):
-        ctes.append(f"a_{key} AS ({ad.sql_model_answers('split', key)})")
-        parts.append(f"SELECT '{key}' AS model_key, {i} AS ordinal, doc_id, split, toxic AS true_label, "
-                     f"{ad.sql_parse_label('answer')} AS pred_label FROM a_{key}")
-    return ",\n" + ",\n".join(ctes) + ",\nmp AS (" + " UNION ALL ".join(parts) + ")"
+    src = "(SELECT doc_id, split, toxic, text FROM split JOIN (SELECT doc_id, text FROM documents) USING (doc_id))"
+    return f""",
+answers AS ({ad.sql_model_answers(src, "doc_id, split, toxic")}),
+mp AS (SELECT model_key, ordinal, doc_id, split, toxic AS true_label, {ad.sql_parse_label('answer')} AS pred_label
+       FROM answers)"""
 
 
 @query("select_best_model", SQL_SPLIT + _sql_model_preds() + f""",
@@ -303,43 +290,75 @@ def model_dev_scores(spark, sf_dir):
         "model_key", "split", "n_total", "n_unparseable", "tp", "fp", "fn")
 
 
-
 def trial_dump(spark, sf_dir):
     """E2 + E10: the seeded trial sample, its comment prompt, label and every model's prediction."""
-    from threadwatch.functions.text import truncate_description
     from threadwatch.operators.prompts import comment_prompt
     items = ad.labelled_docs(spark, sf_dir).select("doc_id", "toxic", "text", "source")
-    sample = metrics.seeded_sample(items, "doc_id")
-    sample = sample.withColumn("prompt", comment_prompt(F.col("source"), truncate_description(F.col("text")),
-                                                        F.lit(None), F.lit(None), F.col("text")))
-    parts = []
-    for key in MODEL_KEYS:
-        a = ad.model_answers(sample, key)
-        parts.append(a.select(F.lit(key).alias("model_key"), "doc_id", "prompt", F.col("toxic").alias("label"),
-                              parse_label(F.col("answer")).alias("pred")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sample = metrics.seeded_sample(items, "doc_id", TRIAL_SAMPLE_SIZE)
+    sample = sample.withColumn("prompt", comment_prompt(F.col("source"), F.col("text"), F.lit(None), F.lit(None), F.col("text")))
+    return ad.model_answers(sample.drop("source")).select("model_key", "doc_id", "prompt", F.col("toxic").alias("label"),
+                                                          parse_label(F.col("answer")).alias("pred"))
 
 
 def _sql_trial() -> str:
     from threadwatch.functions.prompt_text import COMMENT_PROMPT
     from threadwatch.operators.prompts import sql_render
-    from threadwatch.plans.q_annotate import sql_truncate
     prompt = sql_render(COMMENT_PROMPT, {
-        "video_title": "coalesce(source, 'N/A')", "video_description": f"coalesce({sql_truncate('text')}, 'N/A')",
+        "video_title": "coalesce(source, 'N/A')", "video_description": "coalesce(text, 'N/A')",
         "head_comment": "'N/A'", "previous_comment": "'N/A'", "target_comment": "coalesce(text, 'nan')"})
-    parts, ctes = [], []
-    for key in MODEL_KEYS:
-        ctes.append(f"a_{key} AS ({ad.sql_model_answers('smp', key)})")
-        parts.append(f"SELECT '{key}' AS model_key, doc_id, prompt, toxic AS label, "
-                     f"{ad.sql_parse_label('answer')} AS pred FROM a_{key}")
     return f"""
 WITH smp AS (
   SELECT doc_id, toxic, text, source, {prompt} AS prompt FROM labels JOIN documents USING (doc_id)
   ORDER BY {sql_uniform('doc_id', 42)}, doc_id LIMIT 50),
-""" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(parts)
+answers AS ({ad.sql_model_answers('smp', 'doc_id, prompt, toxic')})
+SELECT model_key, doc_id, prompt, toxic AS label, {ad.sql_parse_label('answer')} AS pred FROM answers"""
 
 
 query("trial_dump", _sql_trial())(trial_dump)
+
+
+# ------------------------------------------------------------ risk prompts: every model and prompt scored
+
+def risk_predictions(spark, sf_dir):
+    """P10 -> A3 -> A5: every video x prompt x model scored in batches, parsed, with its true label."""
+    from threadwatch.operators import annotate, prompts
+    v = eval_dataset(spark, sf_dir)
+    v = v.select("video_key", "video_topic", "true_label", *[
+        F.coalesce(F.nullif(unicode_strip(F.col(c)), F.lit("")), F.lit("N/A")).alias(n)
+        for c, n in (("video_text", "title"), ("video_description", "description"))])
+    grid = prompts.risk_prompt_grid(v)
+    keys = ["model_key", "prompt_id", "video_key", "video_topic", "true_label"]
+    rule = lexicon.RiskRule()
+    scored = annotate.score_prompts(grid.withColumn("asked", F.concat("model_key", F.lit("\n"), "prompt")), keys, "asked",
+                                    lambda: rule)
+    return scored.withColumn("pred_label", parse_label(F.col("raw_answer"))).drop("raw_answer")
+
+
+def _sql_risk() -> str:
+    from threadwatch.functions.prompt_text import RISK_PROMPTS
+    rows = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(RISK_PROMPTS))
+    models = ", ".join(f"('{k}', {n})" for k, n in lexicon.RISK_SHARES.items())
+    weights = " + ".join(lexicon.sql_letter_weights("prompt"))
+    strip = "coalesce(nullif(trim({}, ' \t\n\r\x0b\x0c'), ''), 'N/A')"
+    return SQL_EVAL + f""",
+rv AS (SELECT video_key, video_topic, true_label, {strip.format('video_text')} AS title,
+              {strip.format('video_description')} AS description FROM ev),
+rt AS (SELECT * FROM (VALUES {rows}) AS x(prompt_id, tpl)),
+rm AS (SELECT * FROM (VALUES {models}) AS x(model_key, share)),
+rg AS (SELECT video_key, video_topic, true_label, prompt_id,
+              replace(replace(tpl, '{{video_title}}', title), '{{video_description}}', description) AS prompt
+       FROM rv CROSS JOIN rt),
+rw AS (SELECT *, ({weights}) % 16 AS rest FROM rg),
+preds AS (SELECT model_key AS baseline, CAST(prompt_id AS INTEGER) AS run, video_key, video_topic, true_label,
+                 CASE WHEN rest = 15 THEN NULL WHEN rest < share THEN 1 ELSE 0 END AS pred_label
+          FROM rw CROSS JOIN rm)"""
+
+
+@query("risk_prompt_metrics", _sql_risk() + f""",
+cnt AS (SELECT baseline, run, {SQL_COUNTS} FROM preds GROUP BY baseline, run),
+{SQL_METRICS.strip()}
+SELECT baseline AS model_key, run AS prompt_id, n_total, n_unparseable, {_METRIC_NAMES} FROM mt""")
+def risk_prompt_metrics(spark, sf_dir):
+    p = risk_predictions(spark, sf_dir).withColumn("prompt_id", F.col("prompt_id").cast("int"))
+    by = ["model_key", "prompt_id"]
+    return metrics.binary_metrics(metrics.binary_counts(p, by), by)

@@ -8,6 +8,7 @@ from threadwatch.functions.text import clean_text, mask_unknown_mentions
 from threadwatch.operators import privacy
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.registry import query
+from threadwatch.session import cut_lineage
 
 
 def event_authors(spark, sf_dir):
@@ -19,10 +20,9 @@ def event_authors(spark, sf_dir):
 def author_map(spark, sf_dir):
     """A map first built from sign-up events, then continued over all events."""
     ev = event_authors(spark, sf_dir)
-    key = F.timestamp_diff("MICROSECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), F.col("first_key"))
     first_signup = privacy.first_appearance(ev.filter(F.col("event_type") == "signup"))
-    existing = privacy.assign_pseudonyms(first_signup, order_key=key)
-    return privacy.assign_pseudonyms(privacy.first_appearance(ev), existing, order_key=key)
+    existing = cut_lineage(privacy.assign_pseudonyms(first_signup))
+    return cut_lineage(privacy.assign_pseudonyms(privacy.first_appearance(ev), existing))
 
 
 SQL_MAP = """

@@ -48,8 +48,8 @@ meta_ranked AS (
                                ORDER BY CASE kind WHEN 'gold' THEN 0 WHEN 'silver' THEN 1 ELSE 2 END) AS rn
   FROM video_files),
 meta AS (
-  SELECT newspaper, file_id, kind AS meta_type, trim(coalesce(title, '')) AS title,
-         trim(coalesce(description, '')) AS description, nullif(topic, '') AS topic
+  SELECT newspaper, file_id, kind AS meta_type, trim(coalesce(title, ''), ' \t\n\r\x0b\x0c') AS title,
+         trim(coalesce(description, ''), ' \t\n\r\x0b\x0c') AS description, nullif(topic, '') AS topic
   FROM meta_ranked WHERE rn = 1),
 per_file AS (
   SELECT newspaper, file_id, kind, count(*) AS n,

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -205,7 +206,7 @@ def typed_comments(rows: DataFrame) -> DataFrame:
 def annotator_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """The annotators' workload tree ``root/<annotator>/.../<newspaper>/<file>``, long form."""
     paths = _list_on_executors(spark, root, suffix)
-    rel = F.regexp_extract("path", r"^.*?" + root.rstrip("/").split("/")[-1] + r"/(.*)$", 1)
+    rel = F.regexp_extract("path", r"^.*?/" + re.escape(root.rstrip("/").split("/")[-1]) + r"/(.*)$", 1)
     return paths.select(
         F.split(rel, "/").getItem(0).alias("annotator"),
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("newspaper"),
@@ -228,11 +229,11 @@ def comment_file_table(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def load_author_map(spark: SparkSession, path: str) -> DataFrame:
-    """The author map, or an empty one when none was saved yet."""
-    try:
+    """The author map, or an empty one when nothing was saved at ``path``; an unreadable map raises."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent map = fresh start
-        return spark.createDataFrame([], "author string, author_anon string")
+    return spark.createDataFrame([], "author string, author_anon string")
 
 
 def save_author_map(amap: DataFrame, path: str) -> None:
