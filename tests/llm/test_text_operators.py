@@ -23,6 +23,11 @@ SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
+def tricky_rows():
+    from tricky import tricky_texts
+    return [(i, t, "en", "s", len(t) if t is not None else None) for i, t in tricky_texts()]
+
+
 def rows_of(df):
     return [tuple(r) for r in df.collect()]
 
