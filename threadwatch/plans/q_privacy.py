@@ -64,19 +64,41 @@ def replace_names(spark, sf_dir):
     return privacy.replace_names(t, "text", names)
 
 
-@query("mask_mentions", r"SELECT doc_id, regexp_replace(text, '@[^\s]+', '@user', 'g') AS text FROM documents")
-def mask_mentions(spark, sf_dir):
+def _led(spark, sf_dir, leads):
+    """Every whole document after a lead that its id picks, so that rare characters and mentions occur."""
     d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", mask_unknown_mentions(F.col("text")).alias("text"))
+    lead = F.element_at(F.array(*[F.lit(x) for x in leads]), (F.pmod("doc_id", F.lit(len(leads))) + 1).cast("int"))
+    return d.select("doc_id", F.concat(lead, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
-@query("clean_text", r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x{200B}-\x{200D}\x{FEFF}]', '', 'g'),
-                                  '\s+', ' ', 'g')) AS text
+#: lead -> what masking leaves of it (the oracle's pattern language has no look-ahead, so these are literal)
+MENTION_LEADS = {"ciao @author_12 e @mario!": "ciao @author_12 e @user", "@author_3x resta": "@user resta",
+                 "@author_7, @author_ @x": "@author_7, @user @user", "nessuno": "nessuno"}
+
+
+@query("mask_mentions", rf"""
+SELECT doc_id, {_sql_list(MENTION_LEADS.values())}[doc_id % {len(MENTION_LEADS)} + 1] || ' '
+       || regexp_replace(coalesce(text, ''), '@[^\s]+', '@user', 'g') AS text FROM documents""")
+def mask_mentions(spark, sf_dir):
+    return _led(spark, sf_dir, list(MENTION_LEADS)).select("doc_id", mask_unknown_mentions(F.col("text")).alias("text"))
+
+
+#: lead -> its cleaned form (the oracle normalises to NFC only, so these are literal)
+CLEAN_LEADS = {"\uff46\uff55\uff4c\uff4c\u3000\uff57\uff49\uff44\uff54\uff48": "full width", "\ufb01ne \u2460": "fine 1",
+               "a\u200bb\u200cc\u200dd\ufeffe": "abcde", "  many \n\t spaces\u00a0": "many spaces", "plain": "plain"}
+
+
+@query("clean_text", rf"""
+SELECT doc_id, trim({_sql_list(CLEAN_LEADS.values())}[doc_id % {len(CLEAN_LEADS)} + 1] || ' '
+  || trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'),
+                         '\s+', ' ', 'g'))) AS text
 FROM documents""")
 def clean_text_q(spark, sf_dir):
-    d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", clean_text(F.col("text")).alias("text"))
+    return _led(spark, sf_dir, list(CLEAN_LEADS)).select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query("replace_handles", "WITH " + ad.SQL_EVENT_COMMENTS.strip() + ",\n" + SQL_MAP.strip()[len("WITH "):] + """,
