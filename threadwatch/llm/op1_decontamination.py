@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threadwatch.llm.lookups import hash_filter, may_hold, small_side
 from threadwatch.llm.pieces import Memory
+from threadwatch.llm.tables import stored
 from threadwatch.llm.words import U64, mix, slices_by_bytes, window_hashes
 from threadwatch.session import ship_package
 
@@ -186,10 +187,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     lengths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH rows
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(_windows(lengths, wanted), WINDOWS)
-    hits = found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash"]) \
-        .filter(F.size("slots") == F.size("item_slots")) \
-        .select(F.col("id").alias("doc_id"), "item_id", "item_words", "width", "q", "word",
-                (F.col("pos") - F.col("q")).alias("diagonal"), "slots", "item_slots")
+    hits = stored(found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash"])
+                  .filter(F.size("slots") == F.size("item_slots"))
+                  .select(F.col("id").alias("doc_id"), "item_id", "item_words", "width", "q", "word",
+                          (F.col("pos") - F.col("q")).alias("diagonal"), "slots", "item_slots"))
     by = ["doc_id", "item_id", "diagonal"]
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("q", F.col("q") + F.col("width") - 1))))
     spans = hits.groupBy(*by).agg(F.max("item_words").alias("item_words"), F.min("word").alias("first_word"),
