@@ -23,7 +23,7 @@ def _count(vocabulary: str):
         encoder, memory = Encoder.of(vocabulary), Memory.of("lengths", vocabulary)
 
         def learn(pieces):
-            return {p: len(ids) for p, ids in encoder.encode(pieces).items()}
+            return {p: len(ids) // 4 for p, ids in encoder.encode(pieces).items()}
 
         for whole in batches:
             for batch in slices_by_bytes(whole, "_text", SLICE_BYTES):

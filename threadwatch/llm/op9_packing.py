@@ -203,8 +203,7 @@ def _encode(vocabulary: str, capacity: int):
         encoder, memory = Encoder.of(vocabulary), Memory.of("ids", vocabulary)
 
         def learn(pieces):
-            ids = encoder.encode({w.decode() for w in pieces})
-            return {p.encode(): np.array(i, "<u4").tobytes() for p, i in ids.items()}
+            return {p.encode(): ids for p, ids in encoder.encode({w.decode() for w in pieces}).items()}
 
         for whole in batches:
             for batch in slices_by_bytes(whole, "text", SLICE_BYTES):

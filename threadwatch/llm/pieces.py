@@ -13,9 +13,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 BATCH_BYTES = 1 << 18
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 LONG_PIECE = 64
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -34,6 +36,14 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 def model_path(name_or_path: str) -> str:
     if os.path.sep in name_or_path:
         return name_or_path
@@ -60,6 +70,7 @@ class Encoder:
             spec = json.load(f)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
         self.ascii = str.maketrans({chr(b): self.letters[b] for b in range(128)})
         #: the two pipelines that the direct way knows; any other vocabulary is encoded by the tokenizer alone
         kind = spec.get("pre_tokenizer") or {}
@@ -72,26 +83,34 @@ class Encoder:
             return piece.translate(self.ascii)
         return "".join([self.letters[b] for b in piece.encode()])
 
-    def _direct(self, piece: str) -> tuple[int, ...] | None:
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) > REMEMBERED // 2:
+                self.parts.clear()
+            ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(self._shown(part))])
+        return ids
+
+    def _direct(self, piece: str) -> bytes | None:
         m = _PLAIN.fullmatch(piece)
-        if m is None:
+        if m is None or len(piece) > LONG_PIECE:
             return None
         space, letters, marks = m.groups()
-        if self.byte_level:
-            parts = [" " + letters, marks] if space == " " else [space, letters, marks]
-        elif self.lower_words:
-            parts = [letters.lower(), marks]
+        if self.lower_words:
+            ids = self._part(letters.lower())
+        elif self.byte_level:
+            ids = self._part(" " + letters) if space == " " else (self._part(space) if space else b"") + self._part(letters)
         else:
             return None
-        return tuple(t.id for p in parts if p for t in self.model.tokenize(self._shown(p)))
+        return ids + self._part(marks) if marks else ids
 
-    def encode(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Tokens of every piece; the tokenizer gets them in batches of ``BATCH_BYTES``."""
+    def encode(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of every piece, as unsigned 32-bit numbers; the tokenizer gets pieces in batches of ``BATCH_BYTES``."""
         out, batch, size = {}, [], 0
 
         def flush():
             for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                out[p] = tuple(e.ids)
+                out[p] = _packed(e.ids)
             batch.clear()
 
         for p in pieces:
