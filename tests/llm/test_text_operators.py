@@ -336,6 +336,23 @@ def test_decontamination(spark, benchmark):
         assert got[(4, 1)].coverage < 1
 
 
+def contaminated_pairs(spark, docs, items):
+    """{(doc_id, item_id): row} of texts numbered from 0, items from 1."""
+    rows = op1.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+                            spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r for r in rows}
+
+
+def test_decontamination_finds_copies_with_few_literal_words(spark):
+    items = ["1, 1, 2, 3, 5, 8, 13, 21, what is the next number", "Calculate 3 + 4 * 5 - 6 / 2 + 8.",
+             "Mr Rossi, Anna Bianchi, Carlo Verdi, Dino Neri, Elena Gallo, Franco Conti, Gina Bruno", "12 birds in 4 nests in 3 trees"]
+    docs = [f"some words before {item} some words after" for item in items]
+    got = contaminated_pairs(spark, [*docs, "Calculate 3 + 4 * 5 - 6 / 2 + 9.", "see 15 birds in 6 nests in 2 trees there"], items)
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 4), (5, 4)}
+    assert all(got[(n, n + 1)].kind == "copy" and got[(n, n + 1)].coverage == 1 for n in range(4))
+    assert got[(5, 4)].kind == "re-parameterised" and got[(5, 4)].changed == 3
+
+
 def test_decontamination_of_nothing_and_clashes(spark, nothing, clashing, benchmark):
     assert op1.contaminated(nothing, benchmark).count() == 0
     assert op1.contaminated(clashing, benchmark.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and surrounding punctuation; numbers, units and names become typed
-placeholders.  Windows of the resulting template are hashed and joined in Spark with the
-benchmark's windows; matches add up by (document, item, offset).  The values that stood in
+placeholders.  Windows of the words themselves and of the resulting template are hashed and
+joined in Spark with the benchmark's windows; matches add up by (document, item, offset).  The values that stood in
 the placeholders must then agree: one value of the item is always replaced by the same
 value of the document and the other way round, as in a re-parameterised question.
 """
@@ -24,7 +24,7 @@ from threadwatch.llm.words import U64, mix, slices_by_bytes, window_hashes
 from threadwatch.session import ship_package
 
 WIDTH = 8
-#: windows with fewer literal words are too general to say anything
+#: template windows with fewer literal words are too general to say anything; windows of the words themselves need none
 LITERALS = 4
 #: template words that must agree in a row, or the whole item if it is shorter
 RUN = 12
@@ -82,8 +82,12 @@ def _learn(words):
     return dict(zip(words, (seeds | np.array([c[1] for c in codes], U64)).tolist()))
 
 
+#: "in" is a unit only after a number
+_IN = U64(_learn([b"in"])[b"in"] >> 5)
+
+
 class Templates:
-    """Canonical words of a batch: two views, with and without names as placeholders."""
+    """Canonical words of a batch: views of the words themselves, then with and without names as placeholders."""
 
     def __init__(self, texts: list[bytes]):
         cut = [t.split() for t in texts]
@@ -101,24 +105,26 @@ class Templates:
         self.doc, self.word, flags, stops = doc[keep], word[keep], flags[keep], stops[keep]
         self.core = code[keep] >> U64(5)
         self.counts = np.bincount(self.doc, minlength=len(cut))
-        plain = mix(self.core)
-        plain = np.where(flags & NUMBER > 0, NUMBER_SLOT, np.where(flags & UNIT > 0, UNIT_SLOT, plain))
+        raw = mix(self.core)
+        number, unit = flags & NUMBER > 0, flags & UNIT > 0
+        unit[1:] &= (self.core[1:] != _IN) | (number[:-1] & ~stops[1:])
+        unit[:1] &= self.core[:1] != _IN
+        plain = np.where(number, NUMBER_SLOT, np.where(unit, UNIT_SLOT, raw))
         name = (flags & CAPITAL > 0) & ~stops
-        self.views = [plain, np.where(name, NAME_SLOT, plain)]
-        slot = flags & (NUMBER | UNIT) > 0
-        self.slots = [slot, slot | name]
+        self.views = [raw, plain, np.where(name, NAME_SLOT, plain)]
+        slot = number | unit
+        self.slots = [np.zeros(len(slot), bool), slot, slot | name]
 
     def windows(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(view, start positions, hashes) of the windows with enough literal words."""
+        """(view, start positions, hashes) of all windows of words, and of template windows with enough literal ones."""
         inside = np.flatnonzero(self.doc[:max(0, len(self.doc) - width + 1)] == self.doc[width - 1:])
         last = None
         for view, (values, slots) in enumerate(zip(self.views, self.slots)):
-            total = np.concatenate([[0], np.cumsum(~slots)])
-            literal = total[inside + width] - total[inside]
             hashes = window_hashes(values, width)[inside] + U64(width)
-            good = literal >= min(LITERALS, width)
-            if last is not None:
-                good &= hashes != last
+            good = np.ones(len(inside), bool)
+            if last is not None:  # each view replaces more than the one before
+                total = np.concatenate([[0], np.cumsum(~slots)])
+                good = (total[inside + width] - total[inside] >= min(LITERALS, width)) & (hashes != last)
             last = hashes
             yield view, inside[good], hashes[good]
 
@@ -169,8 +175,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """One row per (document, benchmark item) where the document holds the item's text or template.
 
     A pair counts if ``run`` template words in a row agree, or all of a shorter item, on one
-    offset, and the placeholders' values agree one to one; items of fewer than ``LITERALS``
-    words, null and empty texts match nothing.  Returns doc_id, item_id, item_words, matched
+    offset, and the placeholders' values agree one to one; verbatim copies need no literal words.
+    Items of fewer than ``LITERALS`` words (marks are no words), null and empty texts match nothing.  Returns doc_id, item_id, item_words, matched
     (template words that agree), coverage (their share of the item), first_word (raw word
     position in the document), slots (distinct item values), changed (of those, how many the
     document replaces) and kind (``copy`` or ``re-parameterised``).  Rows that share an id,
