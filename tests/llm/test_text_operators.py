@@ -353,6 +353,18 @@ def test_decontamination_finds_copies_with_few_literal_words(spark):
     assert got[(5, 4)].kind == "re-parameterised" and got[(5, 4)].changed == 3
 
 
+def test_decontamination_finds_replaced_names_that_open_sentences(spark):
+    items = ["Alice has 12 apples. Bob has 30 pears. Alice gives Bob 4 apples. How many apples does Alice have now?",
+             "Alice has 12 apples and gives 4 to Bob."]
+    docs = [changed(item, Alice="Carla", Bob="Dieter") for item in items]
+    docs += [changed(item, **{"12": "17", "30": "45", "4": "9"}) for item in docs]
+    got = contaminated_pairs(spark, [f"the text before ends here. {d} then more" for d in docs], items)
+    assert {(0, 1), (1, 2), (2, 1), (3, 2)} == set(got)
+    assert {k: (r.coverage, r.changed, r.kind) for k, r in got.items()} == {
+        (0, 1): (1, 2, "re-parameterised"), (1, 2): (1, 2, "re-parameterised"),
+        (2, 1): (1, 5, "re-parameterised"), (3, 2): (1, 4, "re-parameterised")}
+
+
 def test_decontamination_of_nothing_and_clashes(spark, nothing, clashing, benchmark):
     assert op1.contaminated(nothing, benchmark).count() == 0
     assert op1.contaminated(clashing, benchmark.limit(0)).count() == 0

@@ -87,7 +87,7 @@ _IN = U64(_learn([b"in"])[b"in"] >> 5)
 
 
 class Templates:
-    """Canonical words of a batch: views of the words themselves, then with and without names as placeholders."""
+    """Canonical words of a batch: the words themselves, then numbers and units, names, and names that open a sentence as placeholders, too."""
 
     def __init__(self, texts: list[bytes]):
         cut = [t.split() for t in texts]
@@ -110,10 +110,11 @@ class Templates:
         unit[1:] &= (self.core[1:] != _IN) | (number[:-1] & ~stops[1:])
         unit[:1] &= self.core[:1] != _IN
         plain = np.where(number, NUMBER_SLOT, np.where(unit, UNIT_SLOT, raw))
-        name = (flags & CAPITAL > 0) & ~stops
-        self.views = [raw, plain, np.where(name, NAME_SLOT, plain)]
+        capital = flags & CAPITAL > 0
+        name = capital & ~stops  # a sentence's first word may be a name or not
+        self.views = [raw, plain, np.where(name, NAME_SLOT, plain), np.where(capital, NAME_SLOT, plain)]
         slot = number | unit
-        self.slots = [np.zeros(len(slot), bool), slot, slot | name]
+        self.slots = [np.zeros(len(slot), bool), slot, slot | name, slot | capital]
 
     def windows(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(view, start positions, hashes) of all windows of words, and of template windows with enough literal ones."""
