@@ -365,6 +365,27 @@ def test_decontamination_finds_replaced_names_that_open_sentences(spark):
         (2, 1): (1, 5, "re-parameterised"), (3, 2): (1, 4, "re-parameterised")}
 
 
+def test_decontamination_judges_values_by_runs_and_rows(spark, benchmark):
+    swap = ITEM.replace("Rossi", "Bianchi").replace(" 3 ", " 7 ")
+    even = "Each of 5 boys has 5 coins and each of 5 girls has 5 pens"
+    rows = [(0, ITEM.replace("120", "250", 1)), (1, f"z {ITEM.replace('120', '250', 1)}"), (7, swap.replace("120", "250")),
+            (7, swap.replace("120", "99")), (None, swap.replace("120", "250")), (None, swap.replace("120", "99")),
+            (8, "Each of 3 boys has 4 coins and each of 6 girls has 7 pens"), (9, even.replace("5", "6"))]
+    items = benchmark.unionByName(spark.createDataFrame([(8, even)], benchmark.schema))
+    got = {(r.doc_id, r.item_id): r for r in op1.contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (7, 1), (None, 1), (9, 8)}
+    assert (got[(0, 1)].matched, got[(0, 1)].first_word, got[(0, 1)].changed) == (28, 0, 1)
+    assert got[(1, 1)].first_word == 1 and got[(7, 1)].changed == got[(None, 1)].changed == 3
+
+
+def test_longest_run_of_agreeing_values():
+    assert op1.longest_run([], {}) == []
+    assert op1.longest_run([0, 1, 2, 5, 6], {}) == [0, 1, 2]
+    assert op1.longest_run([*range(6)], {0: (1, 1), 2: (1, 2), 5: (1, 2)}) == [1, 2, 3, 4, 5]
+    assert op1.longest_run([*range(6)], {0: (1, 9), 1: (2, 8), 4: (3, 9)}) == [1, 2, 3, 4, 5]
+
+
 def test_decontamination_of_nothing_and_clashes(spark, nothing, clashing, benchmark):
     assert op1.contaminated(nothing, benchmark).count() == 0
     assert op1.contaminated(clashing, benchmark.limit(0)).count() == 0

@@ -3,13 +3,15 @@
 Words lose case and surrounding punctuation; numbers, units and names become typed
 placeholders.  Windows of the words themselves and of the resulting template are hashed and
 joined in Spark with the benchmark's windows; matches add up by (document, item, offset).  The values that stood in
-the placeholders must then agree: one value of the item is always replaced by the same
-value of the document and the other way round, as in a re-parameterised question.
+the placeholders must then agree, in all that matches or in a run of it: one value of the
+item is always replaced by the same value of the document and the other way round, as in a
+re-parameterised question.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +132,8 @@ class Templates:
             yield view, inside[good], hashes[good]
 
 
-WINDOWS = "id long, n_words int, width int, view int, pos int, word int, hash long, slots array<long>"
+#: ``held`` has a bit for each word that is a slot, ``words`` the words' raw positions
+WINDOWS = "row long, id long, n_words int, width int, view int, pos int, hash long, held int, words array<int>, slots array<long>"
 
 
 def _windows(widths: list[int], wanted=None, short: bool = False):
@@ -150,8 +153,6 @@ def _windows(widths: list[int], wanted=None, short: bool = False):
                             n = t.counts[t.doc[at]]
                             keep &= (n == width) if width < WIDTH else (n >= width)
                         parts.append((width, view, at[keep], hashes[keep]))
-                ids = batch.column("id").to_numpy(zero_copy_only=False) if batch.column("id").null_count == 0 else \
-                    np.array(batch.column("id").to_pylist(), object)
                 for width, view, at, hashes in parts:
                     if not len(at):
                         continue
@@ -160,63 +161,139 @@ def _windows(widths: list[int], wanted=None, short: bool = False):
                     held = t.slots[view][span]
                     ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))])
                     values = t.core[span[held]].view(np.int64)
+                    row = pa.array(doc)
+                    places = np.arange(0, len(at) * width + 1, width)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[doc].tolist(), pa.int64()), pa.array(t.counts[doc], pa.int32()),
+                        batch.column("row").take(row), batch.column("id").take(row), pa.array(t.counts[doc], pa.int32()),
                         pa.array(np.full(len(at), width), pa.int32()), pa.array(np.full(len(at), view), pa.int32()),
-                        pa.array(at - first[doc], pa.int32()), pa.array(t.word[at], pa.int32()),
-                        pa.array(hashes.view(np.int64)),
+                        pa.array(at - first[doc], pa.int32()), pa.array(hashes.view(np.int64)),
+                        pa.array(held @ (1 << np.arange(width)), pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(t.word[span].ravel(), pa.int32())),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                        names=["id", "n_words", "width", "view", "pos", "word", "hash", "slots"])
+                        names=["row", "id", "n_words", "width", "view", "pos", "hash", "held", "words", "slots"])
 
     return run
 
 
+def one_to_one(pairs: set[tuple[int, int]]) -> bool:
+    return len(pairs) == len({i for i, _ in pairs}) == len({d for _, d in pairs})
+
+
+def longest_run(at: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+    """The longest run of consecutive positions (``at`` is sorted) whose pairs of values agree one to one."""
+    best = start = length = 0
+    forth: dict[int, int] = {}
+    back: dict[int, int] = {}
+    count: Counter = Counter()
+    for end, q in enumerate(at):
+        if end and q != at[end - 1] + 1:
+            start = end
+            forth, back, count = {}, {}, Counter()
+        if q in pairs:
+            i, d = pairs[q]
+            while forth.get(i, d) != d or back.get(d, i) != i:
+                gone = pairs.get(at[start])
+                start += 1
+                if gone:
+                    count[gone] -= 1
+                    if not count[gone]:
+                        del forth[gone[0]], back[gone[1]]
+            forth[i], back[d] = d, i
+            count[i, d] += 1
+        if end + 1 - start > length:
+            best, length = start, end + 1 - start
+    return at[best:best + length]
+
+
+def agreed(hits: list[dict], need: int) -> tuple[int, int, int, int] | None:
+    """(matched, first word, values, changed) of what agrees on one offset, if it is ``need`` words or more.
+
+    That is all that the windows of a view and those before it match, or else its longest
+    run without a contradiction; the view that matches most counts.
+    """
+    best = None
+    for view in (2, 3, 1, 0):
+        word: dict[int, int] = {}
+        pairs: dict[int, tuple[int, int]] = {}
+        for h in hits:
+            if h["view"] > view:
+                continue
+            values = zip(h["item_slots"], h["slots"])
+            for k, w in enumerate(h["words"]):
+                word[h["q"] + k] = w
+                if h["held"] >> k & 1:
+                    pairs[h["q"] + k] = next(values)
+        part = sorted(word)
+        if not one_to_one(set(pairs.values())):
+            part = longest_run(part, pairs)
+        if len(part) >= need and (best is None or len(part) > best[0]):
+            own = {pairs[q] for q in part if q in pairs}
+            best = len(part), word[part[0]], len(own), sum(i != d for i, d in own)
+    return best
+
+
+FOUND = "doc_id long, item_id long, item_words int, diagonal int, matched int, first_word int, values int, changed int"
+
+
+def _judge(run: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                out = []
+                for r in whole.slice(a, 64).to_pylist():
+                    best = agreed(r["hits"], min(run, r["item_words"]))
+                    if best:
+                        out.append((r["doc_id"], r["item_id"], r["item_words"], r["diagonal"], *best))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                                     names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return judge
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", run: int = RUN) -> DataFrame:
     """One row per (document, benchmark item) where the document holds the item's text or template.
 
-    A pair counts if ``run`` template words in a row agree, or all of a shorter item, on one
-    offset, and the placeholders' values agree one to one; verbatim copies need no literal words.
-    Items of fewer than ``LITERALS`` words (marks are no words), null and empty texts match nothing.  Returns doc_id, item_id, item_words, matched
+    A pair counts if ``run`` template words, or all of a shorter item, match on one offset and
+    the placeholders' values agree one to one, in all that matches or in ``run`` words in a row;
+    verbatim copies need no literal words.  Items of fewer than ``LITERALS`` words (marks are no
+    words), null and empty texts match nothing.  Returns doc_id, item_id, item_words, matched
     (template words that agree), coverage (their share of the item), first_word (raw word
     position in the document), slots (distinct item values), changed (of those, how many the
-    document replaces) and kind (``copy`` or ``re-parameterised``).  Rows that share an id,
-    or have none, are taken together under that id.  Empty tables give an empty result.
+    document replaces) and kind (``copy`` or ``re-parameterised``).  Each row is judged by
+    itself; of rows that share an id, or have none, the best match is returned under that id.
+    Empty tables give an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)
     widths = list(range(LITERALS, WIDTH + 1))
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")) \
+    items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).cast("long").alias("id"),
+                             F.col(item_text_col).cast("string").alias("text")) \
         .mapInArrow(_windows(widths, short=True), WINDOWS)
-    items = items.select(F.col("id").alias("item_id"), F.col("n_words").alias("item_words"), "width", "hash",
-                         F.col("pos").alias("q"), F.col("slots").alias("item_slots")).dropDuplicates()
+    items = items.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("n_words").alias("item_words"),
+                         "width", "hash", "held", F.col("view").alias("item_view"), F.col("pos").alias("q"),
+                         F.col("slots").alias("item_slots"))
     wanted = hash_filter(items, "hash")
     lengths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH rows
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(_windows(lengths, wanted), WINDOWS)
-    hits = stored(found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash"])
-                  .filter(F.size("slots") == F.size("item_slots"))
-                  .select(F.col("id").alias("doc_id"), "item_id", "item_words", "width", "q", "word",
-                          (F.col("pos") - F.col("q")).alias("diagonal"), "slots", "item_slots"))
-    by = ["doc_id", "item_id", "diagonal"]
-    covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("q", F.col("q") + F.col("width") - 1))))
-    spans = hits.groupBy(*by).agg(F.max("item_words").alias("item_words"), F.min("word").alias("first_word"),
-                                  F.size(covered).alias("matched"))
-    pairs = hits.select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")) \
-        .select(*by, F.col("z.item_slots").alias("i"), F.col("z.slots").alias("d")).distinct()
-    agree = pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_distinct("i").alias("values"),
-                                   F.count_distinct("d").alias("others"),
-                                   F.sum((F.col("i") != F.col("d")).cast("int")).alias("changed"))
-    joined = spans.alias("s").join(agree.alias("a"), [F.col(f"s.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by], "left") \
-        .select("s.*", *[F.coalesce(f"a.{c}", F.lit(0)).alias(c) for c in ("pairs", "values", "others", "changed")])
-    good = joined.filter(F.col("matched") >= F.least(F.lit(run), "item_words")) \
-        .filter((F.col("pairs") == F.col("values")) & (F.col("pairs") == F.col("others")))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+                        F.col(text_col).cast("string").alias("text")).mapInArrow(_windows(lengths, wanted), WINDOWS)
+    hits = stored(found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash", "held"])
+                  .select(F.col("row").alias("doc_row"), F.col("id").alias("doc_id"), "item_row", "item_id", "item_words",
+                          (F.col("pos") - F.col("q")).alias("diagonal"), F.greatest("view", "item_view").alias("view"),
+                          "q", "held", "words", "item_slots", "slots"))
+    by = ["doc_row", "doc_id", "item_row", "item_id", "item_words", "diagonal"]
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["q"], h["q"] + F.size(h["words"]) - 1))))
+    spans = hits.groupBy(*by).agg(F.collect_list(F.struct("view", "q", "held", "words", "item_slots", "slots")).alias("hits")) \
+        .filter(F.size(covered) >= F.least(F.lit(run), "item_words"))
+    good = spans.select("doc_id", "item_id", "item_words", "diagonal", "hits").mapInArrow(_judge(run), FOUND)
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(
-        "item_words", "matched", "first_word", "values", "changed"), F.struct("matched", -F.col("diagonal"))).alias("b"))
+        "item_words", "matched", "first_word", "values", "changed"), F.struct("matched", -F.col("diagonal"), -F.col("changed"), -F.col("first_word"))).alias("b"))
     return best.select(
         "doc_id", "item_id", F.col("b.item_words").cast("long").alias("item_words"),
         F.col("b.matched").cast("long").alias("matched"), (F.col("b.matched") / F.col("b.item_words")).alias("coverage"),
-        F.col("b.first_word").cast("long").alias("first_word"), F.col("b.values").alias("slots"),
+        F.col("b.first_word").cast("long").alias("first_word"), F.col("b.values").cast("long").alias("slots"),
         F.col("b.changed").cast("long").alias("changed"),
         F.when(F.col("b.changed") > 0, "re-parameterised").otherwise("copy").alias("kind"))
 
