@@ -61,6 +61,24 @@ def test_odd_pages(spark):
     assert op7.extract_text(df, carry=("page_id", "html")).columns == ["page_id", "html", "text", "n_chars"]
 
 
+def test_unclosed_and_self_closed_skipped_elements():
+    story = "The council met on Monday and decided, after a long debate, to rebuild the old bridge."
+    body = f"<article><p>{story}</p></article>"
+    pages = [f"<html><head><title>t</title><body>{body}</html>", f"<head><meta charset=utf-8><title>t</title>{body}",
+             f"<body><svg width='1' />{body}", f"<math/>{body}<math><mi>x</mi></math>", f"<svg/>{body}<svg><text>x</text></svg>",
+             f"<svg><style/><title/></svg>{body}", f"<svg><title>x</svg>{body}", f"<button>{body}", f"<iframe src=a>{body}",
+             f"<svg><svg><text>a</text></svg><text>b</text></svg>{body}", f"<svg data-x='a>b'/>{body}<svg></svg>",
+             f"<video><article></video>{body}", f"<svg><div>{body}<script>var a = '<p>no</p>';</script>",
+             f"<svg><title>x</title><path/></svg>{body}<title>late</title>"]
+    for page in pages:
+        assert op7.main_text(page).endswith(story), page
+        assert not op7.main_text(page).removesuffix(story).strip(" \nx"), page
+    for page in (f"<script>{body}", f"<style>{body}", f"<textarea>{body}", f"<title>{body}", f"<svg>{body}</svg>",
+                 f"<noscript>{body}</noscript>", f"<select><option>{body}</select>", f"<!-- {body}"):
+        assert op7.main_text(page) == "", page
+    assert len(op7.main_text("<svg><title>" * 20_000 + body + "<button>" * 20_000)) >= len(story)
+
+
 def test_source_side_is_a_minimum_cut():
     rng = random.Random(5)
     for _ in range(60):

@@ -23,7 +23,9 @@ from threadwatch.llm.words import slices_by_bytes
 from threadwatch.session import ship_package
 
 # Elements by what they mean for text blocks.
-RAW = "script style noscript template svg iframe object math canvas textarea select button audio video head title".split()
+RAW = "script style title textarea".split()  # no mark-up inside
+SKIPPED = set("noscript template svg iframe object math canvas select button audio video".split())
+FOREIGN = {"svg", "math"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 STRUCTURE = set("""
 html body main article section div nav aside header footer form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd
@@ -51,9 +53,10 @@ overlay tags copyright legal disclaimer form complementary contentinfo skip teas
 CONTENT_NAMES = set("article content main post entry story body text".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.DOTALL | re.IGNORECASE)
+_ENDS = {name: re.compile(rf"</(?:{name})(?:[\s/][^>]*)?>", re.IGNORECASE) for name in [*RAW, "svg|math"]}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true",
                      re.IGNORECASE)
@@ -72,6 +75,51 @@ class Block:
         self.benefit = 0.0
 
 
+def tags_of(page: str) -> tuple[list[tuple[int, int, bool, str, str]], dict[int, int]]:
+    """Tags as (start, end, closing, name, attributes) and, by a skipped element's start tag, its end tag.
+
+    A raw element goes up to its end tag or the end of the page and counts as one tag.  In
+    foreign content, which any structure ends, a raw name has no such power without an end
+    tag there.  Comments are tags without a name.
+    """
+    tags: list[tuple[int, int, bool, str, str]] = []
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    ahead: dict[str, re.Match | None] = {}
+    foreign = at = 0
+
+    def end_of(name: str) -> re.Match | None:
+        if name not in ahead or ahead[name] and ahead[name].start() < at:
+            ahead[name] = _ENDS[name].search(page, at)
+        return ahead[name]
+
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        closing, name, rest = bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        empty = rest.endswith("/")
+        if name in SKIPPED:
+            if closing:
+                if waiting[name]:
+                    ends[waiting[name].pop()] = len(tags)
+                if name in FOREIGN:
+                    foreign = max(0, foreign - 1)
+            elif not (empty and name in FOREIGN):
+                waiting[name].append(len(tags))
+                foreign += name in FOREIGN
+        elif name in RAW and not closing and not (empty and foreign):
+            end = end_of(name)
+            if foreign:
+                out = end_of("svg|math")
+                if end and (out is None or end.start() < out.start()):
+                    at = end.end()
+            else:
+                at = end.end() if end else len(page)
+        elif name in STRUCTURE and not closing:
+            foreign = 0
+        tags.append((m.start(), at, closing, name, rest))
+    return tags, ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with the open elements around each (number, tag, names, hidden)."""
     blocks: list[Block] = []
@@ -94,16 +142,15 @@ def blocks_of(page: str) -> list[Block]:
                 state["linked"] += len(text.strip())
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        name = m[3] or m[6]
-        if name is None:
-            if m[1] and m[1].lower() in ("button", "select", "textarea"):
-                flush()
+    tags, ends = tags_of(page)
+    for n, (start, end, closing, name, rest) in enumerate(tags):
+        if start < at:  # in a skipped element
             continue
-        closing, name, rest = bool(m[2] or m[5]), name.lower(), m[4] or m[7] or ""
-        if name == "a":
+        add(page[at:start])
+        at = tags[ends[n]][1] if n in ends else end
+        if name in ("button", "select", "textarea"):
+            flush()
+        elif name == "a":
             state["links"] = 0 if closing else 1
         elif name in ("br", "wbr"):
             parts.append(" " if name == "br" else "")
@@ -282,7 +329,7 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", carry: tuple[str,
     Blocks labelled content are joined in page order by two line feeds; white space inside
     a block becomes one space, character references are decoded.  A null or empty page, or
     one without content, has an empty text.  Unclosed and truncated mark-up is taken as far
-    as it goes.  Ids, null or repeated, play no part; a page is handled alone, so no shuffle.
+    as it goes; of skipped elements without an end tag, only the start tag goes.  Ids, null or repeated, play no part; a page is handled alone, so no shuffle.
     """
     ship_package(pages.sparkSession)
     rows = pages.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(html_col).cast("string").alias("_html"))
