@@ -122,6 +122,19 @@ def test_split_sizes_and_strata(spark):
     assert metrics.dev_test_split(one, "k", "topic").filter("split = 'test'").count() == math.ceil(0.4 * 102)
 
 
+def test_split_apportions_a_stratum_of_one_row(spark):
+    topics = ["big" if i % 3 else "small" for i in range(101)] + ["solo"] + [None] * 5
+    df = spark.createDataFrame(list(enumerate(topics)), "k long, topic string")
+    counts = {t: topics.count(t) for t in set(topics)}
+    quotas = metrics.largest_remainder(counts, 107 - math.ceil(0.4 * 107))
+    rows = {r["k"]: r["split"] for r in metrics.dev_test_split(df, "k", "topic").collect()}
+    assert {t: sum(rows[k] == "dev" for k, own in enumerate(topics) if own == t) for t in counts} == quotas
+    plain = {r["k"]: r["split"] for r in metrics.dev_test_split(df, "k", None).collect()}
+    back = {r["k"]: r["split"] for r in metrics.dev_test_split(df, "k", "topic", unstratified_fallback=True).collect()}
+    assert back == plain != rows
+    assert metrics.dev_test_split(df.limit(0), "k", "topic").count() == 0
+
+
 def test_largest_remainder():
     assert metrics.largest_remainder({"a": 5, "b": 5, "c": 1}, 6) in ({"a": 3, "b": 3, "c": 0},)
     assert sum(metrics.largest_remainder({"x": 7, "y": 13, "z": 3}, 14).values()) == 14

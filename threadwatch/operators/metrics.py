@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from threadwatch.functions.fixed import SPLIT_SEED, TEST_SIZE, TRIAL_SAMPLE_SIZE
 from threadwatch.functions.scoring import uniform
 from threadwatch.operators.ranking import rank_within
+from threadwatch.session import cut_lineage
 
 BINARY_METRICS = ["prec_neg", "rec_neg", "f1_neg", "prec_pos", "rec_pos", "f1_pos",
                   "macro_prec", "macro_rec", "macro_f1", "weighted_f1", "accuracy"]
@@ -29,36 +30,40 @@ def _div0(a: Column, b: Column) -> Column:
 # ------------------------------------------------------------------ splits / samples
 
 def dev_test_split(items: DataFrame, key: str, strata: str | None = "topic", test_size: float = TEST_SIZE,
-                   seed: int = SPLIT_SEED) -> DataFrame:
+                   seed: int = SPLIT_SEED, unstratified_fallback: bool = False) -> DataFrame:
     """Adds ``split`` = dev / test; ``ceil(test_size * n)`` rows go to test.
 
     Stratified on ``strata``: the dev share of every stratum is the
     largest-remainder apportionment of ``n_dev`` (ties by stratum name), the
-    rest of the stratum is test.  Falls back to an unstratified split when a
-    stratum has fewer than 2 rows.  Within a stratum rows are ordered by the
+    rest of the stratum is test; a stratum of one row is apportioned like others.
+    With ``unstratified_fallback`` one such stratum makes the whole split
+    unstratified, as in the reference.  Within a stratum rows are ordered by the
     md5 draw of the key, so membership does not depend on partitioning.
     """
-    u = uniform(F.col(key), seed)
-    counts = (items.groupBy(strata).agg(F.count(F.lit(1)).alias("_c")) if strata
-              else items.agg(F.count(F.lit(1)).alias("_c")))
-    # the per-stratum count table has one row per stratum: bounded, fine on the driver
-    rows = counts.collect()
-    n = sum(r["_c"] for r in rows)
+    d = items.withColumn("_u", uniform(F.col(key), seed))
+    counts = cut_lineage(items.groupBy(strata).agg(F.count(F.lit(1)).alias("_c")) if strata
+                         else items.agg(F.count(F.lit(1)).alias("_c")))
+    n, least = counts.agg(F.sum("_c"), F.min("_c")).first()
+    n = n or 0
     n_test = math.ceil(test_size * n)
-    n_dev = n - n_test
-    stratified = bool(strata) and rows and min(r["_c"] for r in rows) >= 2
-    d = items.withColumn("_u", u)
-    if not stratified:
+    if not strata or not n or unstratified_fallback and least < 2:
         ranked = rank_within(d, F.col("_u"), [key], None, "_r")
         return ranked.withColumn("split", F.when(F.col("_r") < n_test, "test").otherwise("dev")).drop("_u", "_r")
-    quotas = largest_remainder({r[strata]: r["_c"] for r in rows}, n_dev)
-    q = d.sparkSession.createDataFrame([(k, rows_c - quotas[k]) for k, rows_c in
-                                        ((r[strata], r["_c"]) for r in rows)],
-                                       f"{strata} string, _quota long")
     ranked = rank_within(d, F.col("_u"), [key], [strata], "_r")
-    j = ranked.join(F.broadcast(q), ranked[strata].eqNullSafe(q[strata]), "left").drop(q[strata])
+    q = _test_quotas(counts, strata, n, n - n_test)
+    j = ranked.join(q, ranked[strata].eqNullSafe(q["_stratum"]), "left")
     return j.withColumn("split", F.when(F.col("_r") < F.col("_quota"), "test").otherwise("dev")) \
-            .drop("_u", "_r", "_quota")
+            .drop("_u", "_r", "_quota", "_stratum")
+
+
+def _test_quotas(counts: DataFrame, strata: str, n: int, n_dev: int) -> DataFrame:
+    """``(_stratum, _quota)``: test rows of every stratum, ``largest_remainder`` over the table of counts."""
+    share = F.col("_c") * F.lit(n_dev) / F.lit(n)
+    parts = counts.select(F.col(strata).alias("_stratum"), "_c", F.floor(share).alias("_fl"), (share - F.floor(share)).alias("_rem"),
+                          F.coalesce(F.col(strata).cast("string"), F.lit("")).alias("_name"))
+    need = n_dev - parts.agg(F.sum("_fl")).first()[0]
+    ranked = rank_within(parts, -F.col("_rem"), ["_name", "_stratum"], None, "_place")
+    return ranked.select("_stratum", (F.col("_c") - F.col("_fl") - (F.col("_place") < need).cast("int")).alias("_quota"))
 
 
 def largest_remainder(counts: dict, total: int) -> dict:

@@ -320,7 +320,7 @@ def select_best_topic_model(spark, sf_dir):
     from threadwatch.operators import metrics
     g = gold.majority_topic(ad.topic_annotations(spark, sf_dir), ["newspaper", "file_id"])
     gv = cut_lineage(annotate.gold_videos(g.select("newspaper", "file_id", "topic")).select("file_id", "topic"))
-    s = metrics.dev_test_split(gv, "file_id", "topic")
+    s = metrics.dev_test_split(gv, "file_id", "topic", unstratified_fallback=True)
     asked = s.withColumnRenamed("topic", "true_label").join(topic_answers(spark, sf_dir), "file_id")
     preds = cut_lineage(with_parsed_topic(asked, "answer", "pred_label").drop("answer"))
     scores = metrics.macro_f1(preds, ["model_key", "ordinal", "split"])
