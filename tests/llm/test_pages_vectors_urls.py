@@ -76,6 +76,17 @@ def test_unclosed_and_self_closed_skipped_elements():
     for page in (f"<script>{body}", f"<style>{body}", f"<textarea>{body}", f"<title>{body}", f"<svg>{body}</svg>",
                  f"<noscript>{body}</noscript>", f"<select><option>{body}</select>", f"<!-- {body}"):
         assert op7.main_text(page) == "", page
+    hidden = "Send this form to all of your friends, and they will surely thank you for it."
+    skipped = ["noscript", "template", "svg", "iframe", "object", "math", "canvas", "select", "button", "audio", "video"]
+    for name in skipped:
+        inner = [f"<{name}><p>{hidden}</p></{name}>", f"<{name} class='x'>{hidden}</{name}>",
+                 f"<form><p><{name}>{hidden}</{name}></p></form>", f"<div><{name}><{name}>{hidden}</{name}>{hidden}</{name}></div>",
+                 f"<ul><li><{name}>{hidden}</{name}</li></ul></{name}>"]
+        for part in inner:
+            page = f"<html><body><main><article><h2>Bridge</h2><p>{story}</p>{part}<p>{story}</p></article></main></body></html>"
+            assert op7.main_text(page) == "\n\n".join(["Bridge", story, story]), part
+        page = f"<article><p>{story}</p><p>{story}</p><{name}><p>{story}</p></article>"  # never ends: the page goes on
+        assert op7.main_text(page).count(story) == 3, name
     assert len(op7.main_text("<svg><title>" * 20_000 + body + "<button>" * 20_000)) >= len(story)
 
 

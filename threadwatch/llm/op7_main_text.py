@@ -163,9 +163,9 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[i:]
                         break
                 continue
-            ends = CLOSES.get(name, ())
+            closed = CLOSES.get(name, ())
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][1] in ends:
+                if stack[i][1] in closed:
                     del stack[i:]
                     break
                 if stack[i][1] in CONTAINERS:
@@ -329,7 +329,11 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", carry: tuple[str,
     Blocks labelled content are joined in page order by two line feeds; white space inside
     a block becomes one space, character references are decoded.  A null or empty page, or
     one without content, has an empty text.  Unclosed and truncated mark-up is taken as far
-    as it goes; of skipped elements without an end tag, only the start tag goes.  Ids, null or repeated, play no part; a page is handled alone, so no shuffle.
+    as it goes; of skipped elements without an end tag, only the start tag goes.  Ids, null
+    or repeated, play no part; a page is handled alone, so no shuffle.
+
+    No labels for pages exist, so the classifier behind the terminal capacities is not
+    fitted: its costs are log odds with weights set by hand (``benefit``).
     """
     ship_package(pages.sparkSession)
     rows = pages.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(html_col).cast("string").alias("_html"))
