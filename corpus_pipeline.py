@@ -30,10 +30,9 @@ def _whole(docs: DataFrame, *drop: str) -> Column:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; rows that share a doc_id are judged each by its own text."""
     machine = op3_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(_whole(docs).alias("row"), "text")
-    return op3_quality.score_quality(rows, machine, carry=("row",)).filter("predicted = 1").select("row.*")
+    return op3_quality.accepted(docs, machine)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; of rows that share a doc_id, one that holds an item takes all along."""
     found = op1_decontamination.contaminated(docs.select(_key().alias("doc_id"), "text"),
                                              spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     rows = docs.select(_key().alias("key"), _whole(docs).alias("row"))

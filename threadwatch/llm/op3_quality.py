@@ -248,6 +248,31 @@ def score_quality(docs: DataFrame, machine: Machine | None, *, text_col: str = "
         .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def _accept(model, text_col: str, threshold: float):
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = model.value
+        for whole in batches:
+            for batch in slices_by_bytes(whole, text_col):
+                text = batch.column(batch.schema.get_field_index(text_col))
+                s = machine.score(*features(text)) if machine else np.full(batch.num_rows, 0.5)
+                yield batch.filter(pa.array(s >= threshold))
+            pa.default_memory_pool().release_unused()
+
+    return accept
+
+
+def accepted(docs: DataFrame, machine: Machine | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score ``threshold`` or more, with the columns of ``docs`` and no others.
+
+    Rows go to the workers once, as they are, and only those kept come back.  Null and empty
+    texts, null and repeated ids as in ``score_quality``; without a machine every row scores
+    0.5.  Rows that share an id are judged each by its own text.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    return docs.mapInArrow(_accept(spark.sparkContext.broadcast(machine), text_col, threshold), docs.schema)
+
+
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Quality of every whole text of ``documents``, learnt from the labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
