@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadwatch.llm.words import U64, Words, pack, unpack, window_hashes
+from threadwatch.llm.workers import begin
 from threadwatch.session import ship_package
 
 WINDOW = 20
@@ -38,6 +39,7 @@ class _Chunk:
     """The windows of one chunk, in document order, and which of them come first in the chunk."""
 
     def __init__(self, table: pa.Table, window: int):
+        begin("windows")
         ids = table.column("_id").to_pylist()
         raw = table.column("_text").cast(pa.large_binary()).fill_null(b"")
         keys = [(1, i + (1 << 63)) if i is not None else (0, _text_key(raw[n].as_py())) for n, i in enumerate(ids)]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadwatch.llm.words import U64, Words, slices_by_bytes
+from threadwatch.llm.workers import begin
 from threadwatch.session import ship_package
 
 WORD_FEATURES = 4096
@@ -170,6 +171,7 @@ class Machine:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("quality")
     for whole in batches:
         for batch in slices_by_bytes(whole, "_text"):
             offsets, index, value, stats = features(batch.column("_text"))
@@ -250,6 +252,7 @@ def score_quality(docs: DataFrame, machine: Machine | None, *, text_col: str = "
 
 def _accept(model, text_col: str, threshold: float):
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         machine = model.value
         for whole in batches:
             for batch in slices_by_bytes(whole, text_col):

@@ -20,7 +20,7 @@ SLICE_BYTES = 1 << 20
 
 def _count(vocabulary: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memory = Encoder.of(vocabulary), Memory.of("lengths", vocabulary)
+        memory, encoder = Memory.of("lengths", vocabulary), Encoder.of(vocabulary)
 
         def learn(pieces):
             return {p: len(ids) // 4 for p, ids in encoder.encode(pieces).items()}

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from threadwatch.llm.tables import components, stored
 from threadwatch.llm.words import LOWER_CASE, U64, Words, mix, slices_by_bytes, window_hashes
+from threadwatch.llm.workers import begin
 from threadwatch.session import ship_package
 
 BAND_ROWS = 4
@@ -100,6 +101,7 @@ def _sign(k: int, bands: int):
     n_hashes = bands * BAND_ROWS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         factor = multipliers(n_hashes)
         for whole in batches:
             for batch in slices_by_bytes(whole, "text"):
@@ -130,6 +132,7 @@ def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
 def _sets_of(k: int, wanted):
     """Shingle sets of the texts whose row key may be wanted (a filter of fixed size; an exact join follows)."""
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         bits = np.frombuffer(wanted.value, np.uint8)
         for whole in batches:
             at = whole.column("bit").to_numpy(zero_copy_only=False)

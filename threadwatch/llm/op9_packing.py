@@ -200,7 +200,7 @@ def runs_of(bins: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, np
 
 def _encode(vocabulary: str, capacity: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memory = Encoder.of(vocabulary), Memory.of("ids", vocabulary)
+        memory, encoder = Memory.of("ids", vocabulary), Encoder.of(vocabulary)
 
         def learn(pieces):
             return {p.encode(): ids for p, ids in encoder.encode({w.decode() for w in pieces}).items()}

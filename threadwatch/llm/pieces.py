@@ -16,6 +16,8 @@ import re
 import sys
 from array import array
 
+from threadwatch.llm.workers import begin, kept
+
 BATCH_BYTES = 1 << 18
 REMEMBERED = 600_000
 LONG_PIECE = 64
@@ -54,7 +56,7 @@ def model_path(name_or_path: str) -> str:
 class Encoder:
     """Tokens of pieces; one per Python worker and vocabulary file."""
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[str, "Encoder"] = kept({})
 
     @classmethod
     def of(cls, name: str) -> "Encoder":
@@ -131,10 +133,11 @@ class Encoder:
 class Memory:
     """What a Python worker remembers of pieces: at most ``REMEMBERED`` of them, none longer than ``LONG_PIECE``."""
 
-    _made: dict[tuple, "Memory"] = {}
+    _made: dict[tuple, "Memory"] = kept({})
 
     @classmethod
     def of(cls, *purpose) -> "Memory":
+        begin("pieces", *purpose)
         return cls._made.setdefault(purpose, cls())
 
     def __init__(self):
