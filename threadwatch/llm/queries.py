@@ -12,6 +12,7 @@ from threadwatch.llm.op7_main_text import op7_min_cut_main_text
 from threadwatch.llm.op8_ann import op8_rotated_codes_ann
 from threadwatch.llm.op9_packing import op9_best_fit_packing
 from threadwatch.llm.op10_url_filters import OP10_SQL, op10_url_filters
+from threadwatch.llm.op11_token_files import op11_direct_token_files
 from threadwatch.llm.op13_hard_negatives import OP13_SQL, op13_strassen_hard_negatives
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_rotated_codes_ann": op8_rotated_codes_ann,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filters": op10_url_filters,
+    "op11_direct_token_files": op11_direct_token_files,
     "op13_strassen_hard_negatives": op13_strassen_hard_negatives,
 }
 
@@ -32,5 +34,6 @@ ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
     "op10_url_filters": OP10_SQL,
+    "op11_direct_token_files": op11_direct_token_files,
     "op13_strassen_hard_negatives": OP13_SQL,
 }
