@@ -35,7 +35,7 @@ from threadwatch.session import ensure_checkpoint_dir, ship_package
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: ids after which a file ends, at the end of a document
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 #: bytes of text in a range of documents, about
 RANGE_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
@@ -69,12 +69,12 @@ def _directory(words: np.ndarray) -> np.ndarray:
 def encode_levels(ids: np.ndarray) -> list[bytes]:
     """The levels of an array of ids: chunk count, chunks and, but for the last level, bitmap and rank directory."""
     out = []
-    rest = ids.astype(np.uint64)
+    rest = ids.astype(np.uint32)
     while True:
-        more = rest >> np.uint64(8)
+        more = rest >> np.uint32(8)
         goes_on = more > 0
         last = not goes_on.any()
-        part = struct.pack("<Q", len(rest)) + (rest & np.uint64(255)).astype(np.uint8).tobytes()
+        part = struct.pack("<Q", len(rest)) + rest.astype(np.uint8).tobytes()
         part += b"\0" * (-len(part) % 8)
         if not last:
             words = _bitmap(goes_on)
@@ -207,6 +207,7 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # known words that are empty or have white space at an end
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -224,20 +225,16 @@ class WordIds:
         rest = [w for w in words if not w or w != w.strip()]
         yield from zip(rest, (x.tobytes() for x in self._ids([" " + w for w in rest])))
 
-    def _known(self, cut: list[list[str]]) -> dict[str, bytes]:
-        """A dict that has every word of ``cut``."""
+    def _know(self, words: set[str]) -> list[str]:
+        """See to it that ``young`` has all ``words``; returns those too long to keep."""
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = set().union(*cut) - young.keys()
-        again = missing & old.keys()
-        young.update((w, old[w]) for w in again)
-        found = dict(self._learn(list(missing - again)))
-        if all(len(w) <= LONG_WORD for w in found):
-            young.update(found)
-            return young
-        young.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
-        return young | found
+            self.old, self.young, self.odd = self.young, {}, set()
+        missing = words - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        self.young.update(self._learn(list(missing - again)))
+        self.odd.update(w for w in missing if not w or w != w.strip())
+        return [w for w in missing if len(w) > LONG_WORD]
 
     def _whole(self, text: str) -> bytes:
         """A text that is not cut at its spaces, in parts of some length that end before white space."""
@@ -253,12 +250,19 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers."""
-        cut = [None if not self.cuts or _RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        cut = [t.split(" ") if self.cuts and not any(s in t for s in self.special) else None for t in texts]
+        words = set().union(*[c[1:] for c in cut if c])
+        passing = self._know(words)
+        if not self.odd.isdisjoint(words):  # only such words make runs of white space
+            cut = [None if c and _RUNS.search(t) else c for t, c in zip(texts, cut)]
         first = list({c[0] for c in cut if c})
         leads = dict(zip(first, (x.tobytes() for x in self._ids(first))))
-        known = self._known([c[1:] for c in cut if c])
-        return [self._whole(t) if c is None else b"".join([leads[c[0]], *map(known.__getitem__, c[1:])])
-                for t, c in zip(texts, cut)]
+        known = self.young
+        out = [self._whole(t) if c is None else b"".join([leads[c[0]], *map(known.__getitem__, c[1:])])
+               for t, c in zip(texts, cut)]
+        for w in passing:
+            del known[w]
+        return out
 
 
 def _files(vocabulary: str, file_ids: int):
@@ -353,7 +357,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             f = TokenFile(content.as_buffer())
-            crc = [zlib.crc32(f.document(n).tobytes()) for n in range(f.n_docs)]
+            ids, edges = memoryview(f.between(0, len(f)).tobytes()), (4 * f.starts).tolist()
+            crc = [zlib.crc32(ids[i:j]) for i, j in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(f.n_docs, f.range), pa.int64()), pa.array(np.full(f.n_docs, f.number), pa.int64()),
                 pa.array(f.doc_ids, mask=~f.known), pa.array(f.starts[:-1]), pa.array(np.diff(f.starts)),
