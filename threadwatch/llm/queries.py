@@ -13,6 +13,7 @@ from threadwatch.llm.op8_ann import op8_rotated_codes_ann
 from threadwatch.llm.op9_packing import op9_best_fit_packing
 from threadwatch.llm.op10_url_filters import OP10_SQL, op10_url_filters
 from threadwatch.llm.op11_token_files import op11_direct_token_files
+from threadwatch.llm.op12_alignment import op12_shared_cut_alignment
 from threadwatch.llm.op13_hard_negatives import OP13_SQL, op13_strassen_hard_negatives
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filters": op10_url_filters,
     "op11_direct_token_files": op11_direct_token_files,
+    "op12_shared_cut_alignment": op12_shared_cut_alignment,
     "op13_strassen_hard_negatives": op13_strassen_hard_negatives,
 }
 
@@ -35,5 +37,6 @@ ORACLES = {
     "op6_minhash_near_dedup": OP6_SQL,
     "op10_url_filters": OP10_SQL,
     "op11_direct_token_files": op11_direct_token_files,
+    "op12_shared_cut_alignment": op12_shared_cut_alignment,
     "op13_strassen_hard_negatives": OP13_SQL,
 }
