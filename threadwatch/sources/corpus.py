@@ -1,26 +1,22 @@
 """Readers for the landed corpus tree ``{stage}/{newspaper}/{file_id}[_gold|_silver].{csv,json}``.
 
-Spark's file index silently skips names that start with ``_`` (and video ids
-may), so files are listed and read without it: the driver lists only the
-top-level folders (the newspapers); each folder is listed by an executor task
-with ``pyarrow.fs`` and every file is read by ``mapInPandas`` over the
-resulting DataFrame of paths, so no file list passes through the driver.  The
-result is one typed table per stage; land it as Parquet once and run every
-later stage from there.
+Files are listed, dealt and read by ``sources.files``, hidden names included.  The result is
+one typed table per stage; land it as Parquet once and run every later stage from there.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadwatch.operators.risk import parse_annotated_name
+from threadwatch.session import cut_lineage
+from threadwatch.sources.files import TASK_BYTES, dealt, list_files, place_of, read_csv_files
 
 COMMENT_FIELDS = ["comment_id", "parent_comment_id", "video_id", "is_reply", "author", "published_at",
                   "updated_at", "like_count", "text", "inferred_parent_id", "depth", "newspaper",
@@ -29,156 +25,50 @@ META_FIELDS = ["video_id", "title", "channel", "published_at", "description", "t
                "like_count", "comment_count", "topic", "type", "annotator_number"]
 
 
-def list_dirs(spark: SparkSession, root: str) -> list[str]:
-    """Immediate sub-folders of ``root`` (the newspapers): the only listing done on the driver."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(st.getPath().toString() for st in fs.listStatus(path) if st.isDirectory())
-
-
-def _local_or_uri(path: str):
-    from pyarrow import fs as pafs
-    if path.startswith("file:") or "://" not in path:
-        local = "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
-        return pafs.LocalFileSystem(), local, "file:"
-    filesystem, p = pafs.FileSystem.from_uri(path)
-    return filesystem, p, path[:path.index("://") + 3]
-
-
-def _list_on_executors(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """Files under every sub-folder of ``root``, listed by the executors (one task per folder)."""
-    from threadwatch.session import ship_package
-    ship_package(spark)
-    dirs = list_dirs(spark, root)
-    top = [(root, False)] + [(d, True) for d in dirs]
-    df = spark.createDataFrame(top, "dir string, recursive boolean").repartition(max(1, len(top)))
-
-    def ls(batches):
-        from pyarrow import fs as pafs
-        for pdf in batches:
-            out = []
-            for d, rec in zip(pdf["dir"], pdf["recursive"]):
-                filesystem, p, scheme = _local_or_uri(d)
-                for info in filesystem.get_file_info(pafs.FileSelector(p, recursive=bool(rec))):
-                    if info.type == pafs.FileType.File and info.path.endswith(suffix):
-                        out.append(("file:" + info.path) if scheme == "file:" else scheme + info.path)
-            yield pd.DataFrame({"path": out}, dtype=object)
-
-    return df.mapInPandas(ls, "path string")
-
-
-def _paths_df(spark: SparkSession, paths) -> DataFrame:
-    from threadwatch.session import ship_package
-    ship_package(spark)
-    if isinstance(paths, DataFrame):
-        return paths.repartition(spark.sparkContext.defaultParallelism * 4)
-    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
-
-
-def _read_bytes(path: str) -> bytes:
-    from pyarrow import fs as pafs
-    if path.startswith("file:") or "://" not in path:
-        local = "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
-        filesystem, p = pafs.LocalFileSystem(), local
-    else:
-        filesystem, p = pafs.FileSystem.from_uri(path)
-    with filesystem.open_input_stream(p) as f:
-        return f.read()
-
-
-def _path_parts(path: str) -> tuple[str, str]:
-    parts = path.rstrip("/").split("/")
-    return parts[-2], parts[-1]
-
-
 def _nullable(v):
     if v is None or (isinstance(v, float) and v != v):
         return None
     return str(v)
 
 
-def read_comment_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_comment_files(spark: SparkSession, root: str, *, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(rows, files)`` for every ``*.csv`` under ``root``.
 
-    ``rows`` has the comment columns as text plus ``path``/``newspaper_dir``;
-    ``files`` has one row per file with its row count, column count and a
-    status (``ok``, ``empty`` for a 0-byte file, ``error``), so header-only
-    and empty files still count as videos with zero comments.
+    ``rows`` has the comment columns as text plus ``path``/``newspaper_dir``; ``files`` has
+    one row per file with its row count, column count and a status (``ok``, ``empty`` for a
+    file without a header, ``error``), so header-only and empty files still count as videos
+    with zero comments.  See ``files.read_csv_files``.
     """
-    paths = _list_on_executors(spark, root, ".csv")
-    row_schema = ", ".join(f"{c} string" for c in COMMENT_FIELDS) + ", path string, row_no long"
-    file_schema = "path string, n_rows long, n_columns int, status string"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path in pdf["path"]:
-                try:
-                    raw = _read_bytes(path)
-                    df = pd.read_csv(io.BytesIO(raw), dtype=str, keep_default_na=False) if raw.strip() else None
-                except Exception:  # noqa: BLE001 - a bad file is reported, not fatal
-                    yield pd.DataFrame({"kind": ["f"], "path": [path], "n_rows": [0], "n_columns": [0],
-                                        "status": ["error"]})
-                    continue
-                if df is None:
-                    yield pd.DataFrame({"kind": ["f"], "path": [path], "n_rows": [0], "n_columns": [0],
-                                        "status": ["empty"]})
-                    continue
-                out = pd.DataFrame({c: (df[c].where(df[c] != "", None) if c in df.columns else None)
-                                    for c in COMMENT_FIELDS})
-                out["path"] = path
-                out["row_no"] = range(len(df))
-                out["kind"] = "r"
-                yield out
-                yield pd.DataFrame({"kind": ["f"], "path": [path], "n_rows": [len(df)],
-                                    "n_columns": [len(df.columns)], "status": ["ok"]})
-
-    both_schema = f"kind string, {row_schema}, n_rows long, n_columns int, status string"
-
-    def read_all(batches):
-        for pdf in read(batches):
-            for c in both_schema.split(", "):
-                name = c.split(" ")[0]
-                if name not in pdf.columns:
-                    pdf[name] = None
-            yield pdf[[c.split(" ")[0] for c in both_schema.split(", ")]]
-
-    both = _paths_df(spark, paths).mapInPandas(read_all, both_schema)
-    rows = both.filter(F.col("kind") == "r").select(*[c.split(" ")[0] for c in row_schema.split(", ")])
-    files = both.filter(F.col("kind") == "f").select(*[c.split(" ")[0] for c in file_schema.split(", ")])
+    rows, files = read_csv_files(spark, root, COMMENT_FIELDS, task_bytes=task_bytes)
     return _with_path_keys(rows), _with_path_keys(files)
 
 
-def read_metadata_files(spark: SparkSession, root: str) -> DataFrame:
+def _metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            try:
+                system, inner, _ = place_of(path)
+                with system.open_input_stream(inner) as f:
+                    md = json.loads(f.read().decode("utf-8"))
+                topic = md.get("topic")
+                if isinstance(topic, (list, tuple)):
+                    topic = topic[0] if topic else None
+                values, status = [_nullable(topic if c == "topic" else md.get(c)) for c in META_FIELDS], "ok"
+            except (OSError, ValueError, AttributeError):  # unreadable, not JSON, not an object
+                values, status = [None] * len(META_FIELDS), "error"
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (*values, path, status)],
+                                             names=[*META_FIELDS, "path", "status"])
+
+
+def read_metadata_files(spark: SparkSession, root: str, *, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per ``*.json`` file; unreadable files have ``status = 'error'`` (counted, not lost).
 
-    A list-valued topic keeps its first element; an empty list is null.
+    A list-valued topic keeps its first element; an empty list is null.  Each file is read
+    once, in tasks of about ``task_bytes``, and the result is stored.
     """
-    paths = _list_on_executors(spark, root, ".json")
-    schema = ", ".join(f"{c} string" for c in META_FIELDS) + ", path string, status string"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            recs = []
-            for path in pdf["path"]:
-                try:
-                    md = json.loads(_read_bytes(path).decode("utf-8"))
-                    topic = md.get("topic")
-                    if isinstance(topic, (list, tuple)):
-                        topic = topic[0] if topic else None
-                    rec = {c: _nullable(md.get(c)) for c in META_FIELDS}
-                    rec["topic"] = _nullable(topic)
-                    rec.update(path=path, status="ok")
-                except Exception:  # noqa: BLE001
-                    rec = {c: None for c in META_FIELDS}
-                    rec.update(path=path, status="error")
-                recs.append(rec)
-            yield pd.DataFrame(recs, columns=META_FIELDS + ["path", "status"])
-
-    return _with_path_keys(_paths_df(spark, paths).mapInPandas(read, schema))
+    schema = ", ".join(f"{c} string" for c in [*META_FIELDS, "path", "status"])
+    paths = dealt(list_files(spark, root, ".json"), task_bytes).select("path")
+    return _with_path_keys(cut_lineage(paths.mapInArrow(_metadata, schema)))
 
 
 def _with_path_keys(df: DataFrame) -> DataFrame:
@@ -205,7 +95,7 @@ def typed_comments(rows: DataFrame) -> DataFrame:
 
 def annotator_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """The annotators' workload tree ``root/<annotator>/.../<newspaper>/<file>``, long form."""
-    paths = _list_on_executors(spark, root, suffix)
+    paths = list_files(spark, root, suffix)
     rel = F.regexp_extract("path", r"^.*?/" + re.escape(root.rstrip("/").split("/")[-1]) + r"/(.*)$", 1)
     return paths.select(
         F.split(rel, "/").getItem(0).alias("annotator"),
