@@ -139,21 +139,73 @@ def test_gold_videos_need_a_topic(spark):
         annotate.gold_videos(df.filter("file_id <> 'a'"))
 
 
-def test_rules_follow_the_text(spark):
-    from threadwatch.operators import lexicon
-    long = "a text of ordinary words that goes on for long enough to be judged, "
-    cases = {long: "Direi di no", long + "idiot": "SÌ!", long + "IDIOT moron": "Sì, è offensivo", "short": "non saprei",
-             long + "trash": "Direi di no", None: ""}
-    df = spark.createDataFrame([(t,) for t in cases], "t string")
-    assert [r[0] for r in df.select(lexicon.offensive_answer(F.col("t"), "gemma2")).collect()] == list(cases.values())
-    rule = lexicon.OffensiveRule("gemma2", "<", ">")
-    assert rule([f"idiot <{t}> moron" for t in cases if t]) == [a for t, a in cases.items() if t]
-
-
-def test_comment_rule_reads_the_target_only():
+def fitted(spark):
+    """Models fitted on texts in which one word tells the classes apart."""
+    from threadwatch.operators import textmodel
+    rows = [(i, f"the {w} of day number{i % 9}" + (" you IDIOT" if i % 4 == 0 else ""), int(i % 4 == 0))
+            for i, w in enumerate(["weather", "bridge", "council", "river"] * 30)]
+    rows += [(900, None, 0), (901, "idiot without a label", None)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    hashed = df.select("id", "text", "label", textmodel.fold_of(F.col("id")).alias("fold"),
+                       textmodel.word_buckets(F.col("text")).alias("buckets"))
+    return textmodel, hashed, textmodel.fit(hashed, "label")
+
+
+def test_fitted_models_follow_the_text(spark):
+    textmodel, hashed, models = fitted(spark)
+    assert len(models) == 6 and all(0 < len(m.weights) <= textmodel.KEPT for m in models)
+    for key in textmodel.SIZES:
+        scored = hashed.withColumn("s", textmodel.score(models, key, F.col("fold"), F.col("buckets"))).collect()
+        by_fold = {m.fold: m for m in models if m.model_key == key}
+        for r in scored:  # the same weights score the text itself
+            assert r.s == (by_fold[r.fold].score_text(r.text) if r.text else by_fold[r.fold].bias)
+        assert all((r.s >= 0) == (r.label == 1) for r in scored if r.label is not None and r.text)
+    assert models[0].score_text("12 !?") is None
+
+
+def test_fit_equals_brute_force(spark):
+    import math
+    textmodel, hashed, models = fitted(spark)
+    rows = [r for r in hashed.collect() if r.label is not None]
+    for m in models:
+        own = [r for r in rows if r.fold != m.fold]
+        n = [{}, {}]
+        for r in own:
+            for b in r.buckets:
+                n[r.label][b % m.size] = n[r.label].get(b % m.size, 0) + 1
+        t = [sum(x.values()) for x in n]
+        lean = {b: n[1].get(b, 0) * t[0] - n[0].get(b, 0) * t[1] for b in n[0].keys() | n[1].keys()}
+        kept = sorted(lean, key=lambda b: (-lean[b], b))[:textmodel.KEPT]
+        want = {b: round(textmodel.UNIT * math.log((2 * n[1].get(b, 0) + 1) * (2 * t[0] + m.size)
+                                                   / ((2 * n[0].get(b, 0) + 1) * (2 * t[1] + m.size)))) for b in kept}
+        assert m.weights == want
+        d1 = sum(r.label for r in own)
+        assert m.bias == round(textmodel.UNIT * math.log((2 * d1 + 1) / (2 * (len(own) - d1) + 1)))
+
+
+def test_no_labels_no_weights(spark):
+    textmodel, hashed, _ = fitted(spark)
+    models = textmodel.fit(hashed.filter("label is null"), "label")
+    assert {(m.bias, len(m.weights)) for m in models} == {(0, 0)}
+    assert {r[0] for r in hashed.select(textmodel.score(models, "gemma2", F.col("fold"), F.col("buckets"))).collect()} == {0}
+
+
+def test_comment_rule_reads_the_target_only(spark):
     from threadwatch.functions.prompt_text import COMMENT_PROMPT
     from threadwatch.operators import lexicon, prompts
-    fields = dict(video_title="idiot", video_description="moron", head_comment="scum", previous_comment="trash")
-    rule = lexicon.OffensiveRule("mistral", *prompts.around(COMMENT_PROMPT, "target_comment"))
-    calm = "nothing but calm words here, and quite a lot of them so that there is enough"
-    assert rule([COMMENT_PROMPT.format(**fields, target_comment=t) for t in (calm, calm + " you clown")]) == ["Direi di no", "SÌ!"]
+    _, _, models = fitted(spark)
+    fields = dict(video_title="idiot", video_description="idiot", head_comment="idiot", previous_comment="idiot")
+    rule = lexicon.FittedRule(models[-1], *prompts.around(COMMENT_PROMPT, "target_comment"))
+    said = rule([COMMENT_PROMPT.format(**fields, target_comment=t) for t in ("the river of day", "you idiot", "?!")])
+    assert said[0] in ("Direi di no", "sì? no") and said[1] in ("Sì, è offensivo", "SÌ!") and said[2] == "non saprei"
+
+
+def test_bare_answers(spark):
+    from threadwatch.functions.taxonomy import with_parsed_topic
+    from threadwatch.functions.text import parse_label
+    from threadwatch.plans.q_annotate import ANSWER_LEADS
+    df = spark.createDataFrame([(i, a) for i, a in enumerate([*ANSWER_LEADS, None])], "id int, answer string")
+    got = [r[0] for r in df.orderBy("id").select(parse_label(F.col("answer"))).collect()]
+    assert got == [1, 0, 0, 1, 1, None, None, None, None, None, None, None, None, None, None]
+    topics = {r.id: r.topic for r in with_parsed_topic(df, "answer").collect()}
+    assert topics[8] == "sport" and topics[10] == "sport" and topics[5] is None and topics[14] is None

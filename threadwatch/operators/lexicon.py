@@ -1,4 +1,4 @@
-"""Deterministic predictors that read the text: weighted-term rules as column expressions.
+"""Stand-ins for annotators and prompted models: rules that read the text, as column expressions.
 
 A rule stands where a model would: it sees the item's text and nothing else and answers
 in free text, which the label and topic parsers then read.
@@ -6,18 +6,14 @@ in free text, which the label and topic parsers then read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Terms and what each model's rule gives for them.
+from threadwatch.operators.textmodel import say
+
+# Terms that annotators look for.
 OFFENSIVE_TERMS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
-#: per model: weight of every term, least score for a yes
-OFFENSIVE_RULES = {
-    "mistral": ({t: 1 for t in OFFENSIVE_TERMS}, 1),
-    "gemma2": ({t: 1 for t in OFFENSIVE_TERMS[2:8]}, 1),
-    "gemma3": ({t: 1 + n % 2 for n, t in enumerate(OFFENSIVE_TERMS)}, 2),
-}
-#: texts shorter than this get no clear answer
+#: half of this: texts shorter than that get no label
 SHORT_TEXT = 60
 #: whole words that tell a language, in lower case
 LANGUAGE_TERMS = {
@@ -39,33 +35,15 @@ def weighted(text: Column, weights: dict[str, int]) -> Column:
     return total
 
 
-def offensive_answer(text: Column, model_key: str) -> Column:
-    """Free-text answer to the yes / no question about a comment; a null text gets an empty answer."""
-    weights, least = OFFENSIVE_RULES[model_key]
-    score = weighted(F.lower(text), weights)
-    return (F.when(text.isNull(), F.lit(""))
-            .when(score >= 2 * least, F.lit("Sì, è offensivo"))
-            .when(score >= least, F.lit("SÌ!"))
-            .when(score > 0, F.lit("sì? no"))
-            .when(F.length(text) < SHORT_TEXT, F.lit("non saprei"))
-            .otherwise(F.lit("Direi di no")))
-
-
-def sql_offensive_answer(text: str, model_key: str) -> str:
-    weights, least = OFFENSIVE_RULES[model_key]
-    score = " + ".join(f"{w} * ((length({text}) - length(replace(lower({text}), '{t}', ''))) // {len(t)})"
-                       for t, w in weights.items())
-    return (f"(CASE WHEN {text} IS NULL THEN '' WHEN {score} >= {2 * least} THEN 'Sì, è offensivo' "
-            f"WHEN {score} >= {least} THEN 'SÌ!' WHEN {score} > 0 THEN 'sì? no' "
-            f"WHEN length({text}) < {SHORT_TEXT} THEN 'non saprei' ELSE 'Direi di no' END)")
-
-
-def language(text: Column) -> Column:
-    """The language whose words are most frequent (ties: first in order), null if none occurs."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    scores = [weighted(padded, {f" {t} ": 1 for t in terms}) for terms in LANGUAGE_TERMS.values()]
-    return F.when(F.greatest(*scores) > 0, F.element_at(
-        F.array(*[F.lit(k) for k in LANGUAGE_TERMS]), F.array_position(F.array(*scores), F.greatest(*scores)).cast("int")))
+def with_language(items: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the language whose words are most frequent (ties: first in order), null if none occurs; ``text`` goes."""
+    kept = [c for c in items.columns if c != text]
+    padded = items.select(*kept, F.concat(F.lit(" "), F.lower(F.col(text)), F.lit(" ")).alias("_padded"))
+    scored = padded.select(*kept, F.array(*[weighted(F.col("_padded"), {f" {t} ": 1 for t in terms})
+                                            for terms in LANGUAGE_TERMS.values()]).alias("_scores"))
+    best = F.array_max("_scores")
+    place = F.array_position("_scores", best).cast("int")
+    return scored.select(*kept, F.when(best > 0, F.element_at(F.array(*[F.lit(k) for k in LANGUAGE_TERMS]), place)).alias(out))
 
 
 def sql_language(text: str) -> str:
@@ -86,9 +64,8 @@ ANNOTATOR_RULES = {"A1": (OFFENSIVE_TERMS, 1), "A2": (OFFENSIVE_TERMS[:6], 1), "
 
 
 def letter_weights(text: Column) -> list[Column]:
-    """Weighted occurrences of every topic letter, 0 for a null text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return [occurrences(low, ch) * w for ch, w in TOPIC_LETTERS.items()]
+    """Weighted occurrences of every topic letter in a lower-case text, 0 for a null text."""
+    return [F.coalesce(occurrences(text, ch) * w, F.lit(0)) for ch, w in TOPIC_LETTERS.items()]
 
 
 def sql_letter_weights(text: str) -> list[str]:
@@ -109,23 +86,47 @@ def sql_top_category(weights: list[str], categories: list[str]) -> str:
     return f"(CASE WHEN {best} > 0 THEN [{names}][list_position([{', '.join(weights)}], {best})] END)"
 
 
-def annotator_label(text: Column, annotator: Column) -> Column:
-    """1 / 0 by the annotator's own rule; null for a null or very short text."""
+_ANY_TERM = "(" + "|".join(OFFENSIVE_TERMS) + ")"
+
+
+def terms_in(text: Column) -> Column:
+    """The offensive terms of a text, one after the other: one pass, whoever asks for which terms later."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_ANY_TERM), F.lit(1))
+
+
+def _how_many(found: Column, terms: list[str]) -> Column:
+    return F.size(F.filter(found, lambda t: t.isin(terms)))
+
+
+def annotator_label(found: Column, length: Column, annotator: Column) -> Column:
+    """1 / 0 by the annotator's own rule over the terms found in a text; null for a null or very short text."""
     out = F.lit(None)
     for name, (terms, least) in ANNOTATOR_RULES.items():
-        score = weighted(F.lower(text), {t: 1 for t in terms})
-        out = F.when(annotator == name, F.when(score >= least, 1).otherwise(0)).otherwise(out)
-    return F.when(F.length(text) >= SHORT_TEXT // 2, out).cast("int")
+        own = _how_many(found, terms)
+        out = F.when(annotator == name, F.when(own >= least, 1).otherwise(0)).otherwise(out)
+    return F.when(length >= SHORT_TEXT // 2, out).cast("int")
 
 
 def sql_annotator_label(text: str, annotator: str) -> str:
     cases = []
     for name, (terms, least) in ANNOTATOR_RULES.items():
-        score = " + ".join(f"(length({text}) - length(replace(lower({text}), '{t}', ''))) // {len(t)}" for t in terms)
-        cases.append(f"WHEN '{name}' THEN CASE WHEN {score} >= {least} THEN 1 ELSE 0 END")
+        own = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+        cases.append(f"WHEN '{name}' THEN CASE WHEN len(list_filter(regexp_extract_all(lower({text}), '{_ANY_TERM}', 1), "
+                     f"lambda t : list_contains({own}, t))) >= {least} THEN 1 ELSE 0 END")
     return f"CAST(CASE WHEN length({text}) >= {SHORT_TEXT // 2} THEN CASE {annotator} {' '.join(cases)} END END AS INTEGER)"
 
 
+#: how much a reader (a model, an annotator) makes of a letter's weight, in eighths: 8, and 9 for some letters
+TOPIC_READERS = {"mistral": (0, 99), "gemma2": (1, 4), "gemma3": (0, 3),
+                 "A1": (0, 5), "A2": (1, 5), "A3": (2, 5), "A4": (3, 5), "A5": (4, 5)}
+
+
+def readings(weights: list, reader: str) -> list:
+    """A video's letter weights as a reader sees them: every ``step``-th letter from ``first`` on counts for more."""
+    first, step = TOPIC_READERS[reader]
+    return [(w, 9 if i % step == first else 8) for i, w in enumerate(weights)]
+
+
 class PromptSection:
     """Predictor that answers a batch of prompts by a rule over the part between two markers."""
 
@@ -147,23 +148,15 @@ class PromptSection:
         return [self.answer(self.section(p)) for p in prompts]
 
 
-class OffensiveRule(PromptSection):
-    """The rule of ``offensive_answer`` over the target comment of a prompt."""
+class FittedRule(PromptSection):
+    """A fitted model (``textmodel.Weights``) that answers about the target comment of a prompt."""
 
-    def __init__(self, model_key: str, start: str, end: str):
+    def __init__(self, weights, start: str, end: str):
         super().__init__(start, end)
-        self.weights, self.least = OFFENSIVE_RULES[model_key]
+        self.weights = weights
 
     def answer(self, text: str) -> str:
-        low = text.lower()
-        score = sum(low.count(t) * w for t, w in self.weights.items())
-        if score >= 2 * self.least:
-            return "Sì, è offensivo"
-        if score >= self.least:
-            return "SÌ!"
-        if score > 0:
-            return "sì? no"
-        return "non saprei" if len(text) < SHORT_TEXT else "Direi di no"
+        return say(self.weights.score_text(text))
 
 
 class TopicRule(PromptSection):

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from threadwatch.functions.fixed import ANNOTATORS, MODELS, NEWSPAPERS
 from threadwatch.functions.scoring import sql_uniform, uniform  # noqa: F401
 from threadwatch.functions.taxonomy import CATEGORIES, TAXONOMY
-from threadwatch.operators import lexicon
+from threadwatch.operators import lexicon, textmodel
+from threadwatch.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -241,10 +242,9 @@ def comment_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = labelled_docs(spark, sf_dir).select(
         F.concat(F.lit("d"), F.floor(F.col("doc_id") / 8).cast("bigint").cast("string")).alias("file_id"),
-        F.col("doc_id").cast("string").alias("comment_id"), "text")
-    files = annotation_files(spark, sf_dir)
-    a = files.join(items, "file_id")
-    label = lexicon.annotator_label(F.col("text"), F.col("annotator"))
+        F.col("doc_id").cast("string").alias("comment_id"), "text", lexicon.terms_in(F.col("text")).alias("_found"))
+    a = annotation_files(spark, sf_dir).join(items, "file_id")
+    label = lexicon.annotator_label(F.col("_found"), F.length("text"), F.col("annotator"))
     return a.select("newspaper", "file_id", "comment_id", "annotator", label.alias("label"), "text")
 
 
@@ -263,9 +263,14 @@ LETTERS = [f"l{i}" for i in range(len(lexicon.TOPIC_LETTERS))]
 
 def doc_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, vnum, l0..l16)``: weighted letter counts of every whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_low"))
     return d.select("doc_id", F.floor(F.col("doc_id") / 8).cast("bigint").alias("vnum"),
-                    *[w.cast("bigint").alias(n) for w, n in zip(lexicon.letter_weights(F.col("text")), LETTERS)])
+                    *[w.cast("bigint").alias(n) for w, n in zip(lexicon.letter_weights(F.col("_low")), LETTERS)])
+
+
+def video_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vnum, l0..l16)``: the weights of all documents of a video."""
+    return doc_letters(spark, sf_dir).groupBy("vnum").agg(*[F.sum(n).alias(n) for n in LETTERS])
 
 
 SQL_DOC_LETTERS = "doc_letters AS (SELECT doc_id, CAST(floor(doc_id / 8) AS BIGINT) AS vnum, " + ", ".join(
@@ -275,56 +280,80 @@ SQL_DOC_LETTERS = "doc_letters AS (SELECT doc_id, CAST(floor(doc_id / 8) AS BIGI
 def topic_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Video topics per annotator ``(newspaper, file_id, annotator, topic)``.
 
-    An annotator reads all documents of the video but one, which differs from annotator to
-    annotator, and names the category of the letter that weighs most in them; where the
-    weights' sum is a multiple of eight, the category's first instance in upper case.
+    An annotator reads all documents of the video, makes more of some letters than others
+    (``lexicon.TOPIC_READERS``) and names the category of the letter that weighs most; where
+    the weights' sum is a multiple of eight, the category's first instance in upper case.
     """
     files = annotation_files(spark, sf_dir).withColumn("vnum", F.regexp_extract("file_id", r"^d(\d+)$", 1).cast("bigint"))
-    skip = F.array_position(F.array(*[F.lit(a) for a in ANNOTATORS]), F.col("annotator")) - 1
-    pairs = files.select("vnum", "annotator").distinct().withColumn("skip", skip)
-    sums = pairs.join(doc_letters(spark, sf_dir), "vnum").filter(F.pmod("doc_id", F.lit(8)) != F.col("skip")) \
-        .groupBy("vnum", "annotator").agg(*[F.sum(n).alias(n) for n in LETTERS])
     cols = [F.col(n) for n in LETTERS]
-    cat = lexicon.top_category(cols, CATEGORIES)
+    cat = F.lit(None)
+    for a in ANNOTATORS:
+        seen = [w * m for w, m in lexicon.readings(cols, a)]
+        cat = F.when(F.col("annotator") == a, lexicon.top_category(seen, CATEGORIES)).otherwise(cat)
     first_instance = F.create_map(*[F.lit(x) for c, insts in TAXONOMY.items() for x in (c, insts[0])])
-    total = sum(cols[1:], cols[0])
-    topic = F.when(F.pmod(total, F.lit(8)) == 0, F.upper(F.element_at(first_instance, cat))).otherwise(cat)
-    named = sums.select("vnum", "annotator", topic.alias("topic"))
-    return files.join(named, ["vnum", "annotator"], "left").select("newspaper", "file_id", "annotator", "topic")
+    named = files.join(video_letters(spark, sf_dir), "vnum", "left") \
+        .select("newspaper", "file_id", "annotator", cat.alias("_cat"), sum(cols[1:], cols[0]).alias("_total"))
+    topic = F.when(F.pmod("_total", F.lit(8)) == 0, F.upper(F.element_at(first_instance, F.col("_cat")))).otherwise(F.col("_cat"))
+    return named.select("newspaper", "file_id", "annotator", topic.alias("topic"))
+
+
+SQL_VIDEO_LETTERS = SQL_DOC_LETTERS + ", video_letters AS (SELECT vnum, " + ", ".join(f"sum({n}) AS {n}" for n in LETTERS) \
+    + " FROM doc_letters GROUP BY vnum)"
+
+
+def sql_category_by(reader: str) -> str:
+    return lexicon.sql_top_category([f"{m} * {w}" for w, m in lexicon.readings(LETTERS, reader)], CATEGORIES)
 
 
 def sql_topic_annotations() -> str:
     first = " ".join(f"WHEN '{c.replace(chr(39), chr(39)*2)}' THEN '{insts[0].replace(chr(39), chr(39)*2)}'"
                      for c, insts in TAXONOMY.items())
-    cat = lexicon.sql_top_category(LETTERS, CATEGORIES)
+    cat = " ".join(f"WHEN '{a}' THEN {sql_category_by(a)}" for a in ANNOTATORS)
     return SQL_ANNOTATION_FILES + f""",
-{SQL_DOC_LETTERS},
-topic_sums AS (
-  SELECT p.vnum, p.annotator, {", ".join(f"sum({n}) AS {n}" for n in LETTERS)}
-  FROM (SELECT DISTINCT CAST(substr(file_id, 2) AS BIGINT) AS vnum, annotator FROM annotation_files) p
-  JOIN doc_letters d ON d.vnum = p.vnum AND d.doc_id % 8 <> list_position({_sql_list(ANNOTATORS)}, p.annotator) - 1
-  GROUP BY p.vnum, p.annotator),
-topic_cat AS (SELECT vnum, annotator, {cat} AS cat, ({" + ".join(LETTERS)}) % 8 AS rest FROM topic_sums),
+{SQL_VIDEO_LETTERS},
+topic_cat AS (
+  SELECT f.newspaper, f.file_id, f.annotator, CASE f.annotator {cat} END AS cat, ({" + ".join(LETTERS)}) % 8 AS rest
+  FROM annotation_files f LEFT JOIN video_letters v ON v.vnum = CAST(substr(f.file_id, 2) AS BIGINT)),
 topic_annotations AS (
-  SELECT f.newspaper, f.file_id, f.annotator,
-         CASE WHEN c.rest = 0 THEN upper(CASE c.cat {first} END) ELSE c.cat END AS topic
-  FROM annotation_files f
-  LEFT JOIN topic_cat c ON c.vnum = CAST(substr(f.file_id, 2) AS BIGINT) AND c.annotator = f.annotator)"""
+  SELECT newspaper, file_id, annotator, CASE WHEN rest = 0 THEN upper(CASE cat {first} END) ELSE cat END AS topic
+  FROM topic_cat)"""
+
+
+# ---------------------------------------------------------------- answers of the fitted models
+
+def hashed_labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, toxic, fold, buckets)`` of every labelled document, stored: the texts are read once."""
+    return cut_lineage(labelled_docs(spark, sf_dir).select(
+        "doc_id", "lang", "toxic", textmodel.fold_of(F.col("doc_id")).alias("fold"),
+        textmodel.word_buckets(F.col("text")).alias("buckets")))
+
+
+def with_answers(hashed: DataFrame) -> DataFrame:
+    """Adds ``answers``, one for each model of the catalogue, by weights fitted on the other folds; ``fold``, ``buckets`` go."""
+    models = textmodel.fit(hashed, "toxic")
+    scores = hashed.withColumn("_s", F.array(*[textmodel.score(models, m[0], F.col("fold"), F.col("buckets")) for m in MODELS]))
+    return scores.withColumn("answers", F.transform("_s", lambda s: textmodel.answer(s, F.size("buckets") > 0))) \
+        .drop("_s", "fold", "buckets")
+
 
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, toxic, model_key, ordinal, answer)``: a row for each labelled document and model."""
+    return by_model(with_answers(hashed_labelled_docs(spark, sf_dir)))
 
-# ---------------------------------------------------------------- answers of the text rules
 
-def model_answers(items: DataFrame, text: str = "text") -> DataFrame:
-    """One row per item and model of the catalogue: adds ``model_key``, ``ordinal``, ``answer``; ``text`` goes."""
-    each = F.array(*[F.struct(F.lit(m[0]).alias("model_key"), F.lit(i).alias("ordinal"),
-                              lexicon.offensive_answer(F.col(text), m[0]).alias("answer")) for i, m in enumerate(MODELS)])
-    return items.withColumn("_m", F.explode(each)).select(*[c for c in items.columns if c != text], "_m.*")
+def by_model(answered: DataFrame) -> DataFrame:
+    kept = [c for c in answered.columns if c != "answers"]
+    return answered.select(*kept, F.posexplode("answers").alias("ordinal", "answer")).withColumn(
+        "model_key", F.element_at(F.array(*[F.lit(m[0]) for m in MODELS]), F.col("ordinal") + 1))
 
 
-def sql_model_answers(src: str, keep: str, text: str = "text") -> str:
-    return " UNION ALL ".join(
-        f"SELECT {keep}, '{m[0]}' AS model_key, {i} AS ordinal, {lexicon.sql_offensive_answer(text, m[0])} AS answer FROM {src}"
-        for i, m in enumerate(MODELS))
+#: CTEs up to ``answers(doc_id, lang, toxic, model_key, ordinal, answer)``
+SQL_ANSWERS = f"""tm_docs AS (SELECT doc_id, lang, toxic, text FROM labels JOIN documents USING (doc_id)),
+{textmodel.sql_fit('tm_docs', 'doc_id', 'toxic').strip()},
+tm_scores AS ({textmodel.sql_scores('tm_words', '(SELECT doc_id, fold AS held FROM tm_rows)', 'doc_id')}),
+answers AS (SELECT doc_id, lang, toxic, model_key, list_position({_sql_list([m[0] for m in MODELS])}, model_key) - 1 AS ordinal,
+                   {textmodel.sql_answer('value', 'has_words')} AS answer
+            FROM tm_scores JOIN (SELECT doc_id, lang, toxic FROM tm_docs) USING (doc_id))"""
 
 
 def sql_parse_label(expr: str) -> str:

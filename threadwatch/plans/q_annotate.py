@@ -9,7 +9,7 @@ from threadwatch.functions.prompt_text import COMMENT_PROMPT, RISK_PROMPTS, TOPI
 from threadwatch.functions.taxonomy import (CATEGORIES, canonical_topic, sql_canonical_topic, sql_topic_select,
                                             taxonomy_block, with_parsed_topic)
 from threadwatch.functions.text import parse_label, truncate_description, unicode_strip
-from threadwatch.operators import annotate, gold, lexicon, prompts, threads
+from threadwatch.operators import annotate, gold, lexicon, prompts, textmodel, threads
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset
 from threadwatch.plans.registry import query
@@ -29,17 +29,16 @@ def truncate_description_q(spark, sf_dir):
 
 
 def answered_documents(spark, sf_dir):
-    """Every document after an answer that its id picks: labels, categories, instances or nothing before the text."""
+    """Every whole document after an answer that its id picks: labels, categories, instances or nothing before the text."""
     d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
     lead = F.element_at(F.array(*[F.lit(x) for x in ANSWER_LEADS]), (F.pmod("doc_id", F.lit(len(ANSWER_LEADS))) + 1).cast("int"))
-    return d.select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, lead).otherwise(F.concat(lead, F.lit("\n"), "text"))
-                    .alias("answer"))
+    return d.select("doc_id", F.concat(lead, F.lit("\n"), "text").alias("answer"))
 
 
 #: what answers look like; each reaches a branch of the parsers
 ANSWER_LEADS = ["Sì", "no.", "Sì, anzi no", "si!", "  SÌ\t", "forse", "", "così", "Sport", "COUP D’ETAT", "La categoria: sport",
                 "parla di climate change", "education e health", "  crime  "]
-SQL_ANSWERED = "answered AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lead ELSE lead || chr(10) || text END AS answer FROM (" \
+SQL_ANSWERED = "answered AS (SELECT doc_id, lead || chr(10) || text AS answer FROM (" \
     "SELECT doc_id, text, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in ANSWER_LEADS) + \
     f"][doc_id % {len(ANSWER_LEADS)} + 1] AS lead FROM documents))"
 
@@ -167,7 +166,9 @@ def silver_comments(spark, sf_dir):
     asked = annotate.pending(ctx, g, s, ["video_id"]).filter("text <> ''")
     asked = annotate.attach_metadata(asked, d, ["video_id"]).withColumn("prompt", prompts.comment_prompt(
         F.col("title"), F.col("description"), F.col("head_comment_text"), F.col("previous_comment_text"), F.col("text")))
-    rule = lexicon.OffensiveRule(COMMENT_MODEL, *prompts.around(COMMENT_PROMPT, "target_comment"))
+    models = textmodel.fit(ad.hashed_labelled_docs(spark, sf_dir), "toxic")
+    rule = lexicon.FittedRule(next(m for m in models if (m.model_key, m.fold) == (COMMENT_MODEL, 0)),
+                              *prompts.around(COMMENT_PROMPT, "target_comment"))
     scored = annotate.score_prompts(asked, ["video_id", "comment_id"], "prompt", lambda: rule)
     return statuses, annotate.attach_silver_label(scored)
 
@@ -177,8 +178,12 @@ lab AS (SELECT 'conv' || doc_id AS video_id, quality FROM labels),
 st AS (SELECT c.*, CASE WHEN c.video_id IN (SELECT video_id FROM lab WHERE quality = 1) THEN 'skipped_gold'
                         WHEN c.video_id IN (SELECT video_id FROM lab WHERE quality = 0) THEN 'skipped_silver'
                         WHEN text IS NULL OR text = '' THEN 'skipped_empty' ELSE 'pending' END AS status FROM conv_comments c),
-ans AS (SELECT video_id, comment_id, {lexicon.sql_offensive_answer('text', COMMENT_MODEL)} AS answer
-        FROM st WHERE status = 'pending'),
+tm_docs AS (SELECT doc_id, toxic, text FROM labels JOIN documents USING (doc_id)),
+{textmodel.sql_fit('tm_docs', 'doc_id', 'toxic').strip()},
+asked AS (SELECT video_id, comment_id, video_id || '/' || comment_id AS ck, text, 0 AS held FROM st WHERE status = 'pending'),
+asked_words AS ({textmodel.sql_words('asked', 'ck')}),
+scores AS ({textmodel.sql_scores('asked_words', 'asked', 'ck', f"(SELECT * FROM tm_sizes WHERE model_key = '{COMMENT_MODEL}')")}),
+ans AS (SELECT video_id, comment_id, {textmodel.sql_answer('value', 'has_words')} AS answer FROM asked JOIN scores USING (ck)),
 lbl AS (SELECT video_id, comment_id, {ad.sql_parse_label('answer')} AS label FROM ans)"""
 
 
@@ -299,19 +304,13 @@ def silver_run_counters(spark, sf_dir):
 
 # ---------------------------------------------------------------- topic classifier selection (E9 on topics)
 
-#: which documents of a video a model reads, as a condition on the document's place in it
-TOPIC_MODELS_READ = {"mistral": "doc_id % 2 = 0", "gemma2": "doc_id % 8 < 3", "gemma3": "doc_id % 8 <> 5"}
-
-
 def topic_answers(spark, sf_dir):
-    """``(file_id, model_key, ordinal, answer)``: each model names the weightiest letter's category in what it reads."""
-    letters = ad.doc_letters(spark, sf_dir)
-    sums = letters.groupBy("vnum").agg(*[
-        F.sum(F.when(F.expr(cond), F.col(n)).otherwise(0)).alias(f"{key}_{n}")
-        for key, cond in TOPIC_MODELS_READ.items() for n in ad.LETTERS])
-    cats = [lexicon.top_category([F.col(f"{key}_{n}") for n in ad.LETTERS], CATEGORIES) for key in MODEL_KEYS]
+    """``(file_id, model_key, ordinal, answer)``: each model names the category whose letter it makes most of in a video's texts."""
+    cats = [lexicon.top_category([w * m for w, m in lexicon.readings([F.col(n) for n in ad.LETTERS], key)], CATEGORIES)
+            for key in MODEL_KEYS]
     each = F.array(*[F.coalesce(F.concat(F.lit("Categoria: "), F.upper(c)), F.lit("non saprei")) for c in cats])
-    long = sums.select(F.concat(F.lit("d"), F.col("vnum").cast("string")).alias("file_id"), F.posexplode(each).alias("ordinal", "answer"))
+    long = ad.video_letters(spark, sf_dir).select(F.concat(F.lit("d"), F.col("vnum").cast("string")).alias("file_id"),
+                                                  F.posexplode(each).alias("ordinal", "answer"))
     return long.withColumn("model_key", F.element_at(F.array(*[F.lit(k) for k in MODEL_KEYS]), F.col("ordinal") + 1))
 
 
@@ -320,7 +319,7 @@ def select_best_topic_model(spark, sf_dir):
     from threadwatch.operators import metrics
     g = gold.majority_topic(ad.topic_annotations(spark, sf_dir), ["newspaper", "file_id"])
     gv = cut_lineage(annotate.gold_videos(g.select("newspaper", "file_id", "topic")).select("file_id", "topic"))
-    s = metrics.dev_test_split(gv, "file_id", "topic", unstratified_fallback=True)
+    s = metrics.dev_test_split(gv, "file_id", "topic")
     asked = s.withColumnRenamed("topic", "true_label").join(topic_answers(spark, sf_dir), "file_id")
     preds = cut_lineage(with_parsed_topic(asked, "answer", "pred_label").drop("answer"))
     scores = metrics.macro_f1(preds, ["model_key", "ordinal", "split"])
@@ -335,7 +334,7 @@ def _sql_select_best_topic_model() -> str:
     ctes = [f"""gv AS (SELECT file_id, {sql_canonical_topic('topic')} AS topic FROM gt
           WHERE topic IS NOT NULL AND trim(topic) <> '')""",
             "counts AS (SELECT topic, count(*) AS c FROM gv GROUP BY topic)",
-            "tot AS (SELECT sum(c) AS n, CAST(ceil(0.4::DOUBLE * sum(c)) AS BIGINT) AS n_test, min(c) AS minc FROM counts)",
+            "tot AS (SELECT sum(c) AS n, CAST(ceil(0.4::DOUBLE * sum(c)) AS BIGINT) AS n_test FROM counts)",
             "q AS (SELECT topic, c, c * (n - n_test) / n AS cont FROM counts, tot)",
             "q2 AS (SELECT topic, c, floor(cont) AS fl, cont - floor(cont) AS rem FROM q)",
             "need AS (SELECT (SELECT n - n_test FROM tot) - sum(fl) AS need FROM q2)",
@@ -344,20 +343,14 @@ def _sql_select_best_topic_model() -> str:
             f"uu AS (SELECT file_id, topic, {sql_uniform('file_id', 42)} AS u FROM gv)",
             """sp AS (
   SELECT uu.file_id, uu.topic,
-         CASE WHEN (SELECT minc FROM tot) >= 2
-              THEN CASE WHEN row_number() OVER (PARTITION BY uu.topic ORDER BY u, file_id) - 1 < quota.quota
-                        THEN 'test' ELSE 'dev' END
-              ELSE CASE WHEN row_number() OVER (ORDER BY u, file_id) - 1 < (SELECT n_test FROM tot)
-                        THEN 'test' ELSE 'dev' END END AS split
+         CASE WHEN row_number() OVER (PARTITION BY uu.topic ORDER BY u, file_id) - 1 < quota.quota
+              THEN 'test' ELSE 'dev' END AS split
   FROM uu JOIN quota USING (topic))"""]
     parts = []
     for i, key in enumerate(MODEL_KEYS):
-        sums = [f"sum(CASE WHEN {TOPIC_MODELS_READ[key]} THEN {n} ELSE 0 END)" for n in ad.LETTERS]
-        ctes.append(f"tl_{key} AS (SELECT 'd' || vnum AS file_id, {', '.join(f'{x} AS {n}' for x, n in zip(sums, ad.LETTERS))} "
-                    f"FROM doc_letters GROUP BY vnum)")
         ctes.append(f"ta_{key} AS (SELECT sp.file_id, split, topic, coalesce('Categoria: ' || upper("
-                    f"{lexicon.sql_top_category(ad.LETTERS, CATEGORIES)}), 'non saprei') AS answer "
-                    f"FROM sp JOIN tl_{key} USING (file_id))")
+                    f"{ad.sql_category_by(key)}), 'non saprei') AS answer "
+                    f"FROM sp JOIN video_letters v ON sp.file_id = 'd' || v.vnum)")
         ctes.append(f"tp_{key} AS ({sql_topic_select(f'ta_{key}', 'file_id, split, topic', 'answer', 'pred')})")
         parts.append(f"SELECT '{key}' AS model_key, {i} AS ordinal, file_id, split, topic AS t, pred AS p "
                      f"FROM tp_{key}")

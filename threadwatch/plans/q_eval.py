@@ -13,7 +13,6 @@ from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset, sql_topic_random
 from threadwatch.plans.registry import query
 
 PRED_COLS = "baseline, run, video_key, video_topic, true_label, pred_label"
-MODEL_KEYS = [m[0] for m in MODELS]
 
 
 def _preds(spark, sf_dir, which=None):
@@ -114,15 +113,13 @@ def metrics_mean_std(spark, sf_dir):
 
 def binary_preds(spark, sf_dir):
     """Every model's parsed answers about every labelled document, long form."""
-    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "toxic", "lang", "text")
-    return ad.model_answers(items).select("model_key", "doc_id", "lang", F.col("toxic").alias("true_label"),
-                                          parse_label(F.col("answer")).alias("pred_label"))
+    return ad.model_answers(spark, sf_dir).select("model_key", "doc_id", "lang", F.col("toxic").alias("true_label"),
+                                                  parse_label(F.col("answer")).alias("pred_label"))
 
 
 def sql_binary_preds() -> str:
-    items = "(SELECT doc_id, toxic, lang, text FROM labels JOIN documents USING (doc_id))"
     return f"""
-answers AS ({ad.sql_model_answers(items, "doc_id, toxic, lang")}),
+{ad.SQL_ANSWERS},
 bp AS (SELECT model_key, doc_id, lang, toxic AS true_label, {ad.sql_parse_label('answer')} AS pred_label FROM answers)"""
 
 
@@ -178,8 +175,8 @@ def binary_report(spark, sf_dir):
 
 def lang_preds(spark, sf_dir):
     """Language by its most frequent words, against the documents' own."""
-    items = ad.labelled_docs(spark, sf_dir)
-    return items.select("doc_id", F.col("lang").alias("true_label"), lexicon.language(F.col("text")).alias("pred_label"))
+    items = ad.labelled_docs(spark, sf_dir).select("doc_id", F.col("lang").alias("true_label"), "text")
+    return lexicon.with_language(items, "text", "pred_label")
 
 
 SQL_LANG_PREDS = f"""
@@ -235,14 +232,11 @@ def seeded_sample(spark, sf_dir):
 def model_predictions(spark, sf_dir):
     """Dev/test split x every model in the catalogue, parsed answers, long form.
 
-    The texts are read once; the split takes the three short answers along.
+    The models are fitted on the labels; each item is answered by the weights of the fold it is not in.
     """
-    items = ad.labelled_docs(spark, sf_dir).select("doc_id", "lang", "toxic", F.array(
-        *[lexicon.offensive_answer(F.col("text"), k) for k in MODEL_KEYS]).alias("answers"))
-    s = metrics.dev_test_split(items, "doc_id", "lang")
-    long = s.select("doc_id", "split", "toxic", F.posexplode("answers").alias("ordinal", "answer"))
-    return long.select(F.element_at(F.array(*[F.lit(k) for k in MODEL_KEYS]), F.col("ordinal") + 1).alias("model_key"),
-                       "ordinal", "doc_id", "split", F.col("toxic").alias("true_label"),
+    items = ad.with_answers(ad.hashed_labelled_docs(spark, sf_dir))
+    long = ad.by_model(metrics.dev_test_split(items, "doc_id", "lang"))
+    return long.select("model_key", "ordinal", "doc_id", "split", F.col("toxic").alias("true_label"),
                        parse_label(F.col("answer")).alias("pred_label"))
 
 
@@ -258,11 +252,10 @@ def select_best_model(spark, sf_dir):
 
 
 def _sql_model_preds() -> str:
-    src = "(SELECT doc_id, split, toxic, text FROM split JOIN (SELECT doc_id, text FROM documents) USING (doc_id))"
     return f""",
-answers AS ({ad.sql_model_answers(src, "doc_id, split, toxic")}),
-mp AS (SELECT model_key, ordinal, doc_id, split, toxic AS true_label, {ad.sql_parse_label('answer')} AS pred_label
-       FROM answers)"""
+{ad.SQL_ANSWERS},
+mp AS (SELECT model_key, ordinal, doc_id, split.split, a.toxic AS true_label, {ad.sql_parse_label('answer')} AS pred_label
+       FROM answers a JOIN split USING (doc_id))"""
 
 
 @query("select_best_model", SQL_SPLIT + _sql_model_preds() + f""",
@@ -296,8 +289,9 @@ def trial_dump(spark, sf_dir):
     items = ad.labelled_docs(spark, sf_dir).select("doc_id", "toxic", "text", "source")
     sample = metrics.seeded_sample(items, "doc_id", TRIAL_SAMPLE_SIZE)
     sample = sample.withColumn("prompt", comment_prompt(F.col("source"), F.col("text"), F.lit(None), F.lit(None), F.col("text")))
-    return ad.model_answers(sample.drop("source")).select("model_key", "doc_id", "prompt", F.col("toxic").alias("label"),
-                                                          parse_label(F.col("answer")).alias("pred"))
+    answers = ad.model_answers(spark, sf_dir).select("doc_id", "model_key", "answer")
+    return sample.join(answers, "doc_id").select("model_key", "doc_id", "prompt", F.col("toxic").alias("label"),
+                                                 parse_label(F.col("answer")).alias("pred"))
 
 
 def _sql_trial() -> str:
@@ -310,8 +304,8 @@ def _sql_trial() -> str:
 WITH smp AS (
   SELECT doc_id, toxic, text, source, {prompt} AS prompt FROM labels JOIN documents USING (doc_id)
   ORDER BY {sql_uniform('doc_id', 42)}, doc_id LIMIT 50),
-answers AS ({ad.sql_model_answers('smp', 'doc_id, prompt, toxic')})
-SELECT model_key, doc_id, prompt, toxic AS label, {ad.sql_parse_label('answer')} AS pred FROM answers"""
+{ad.SQL_ANSWERS}
+SELECT model_key, doc_id, prompt, smp.toxic AS label, {ad.sql_parse_label('answer')} AS pred FROM answers JOIN smp USING (doc_id)"""
 
 
 query("trial_dump", _sql_trial())(trial_dump)
