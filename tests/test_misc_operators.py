@@ -209,3 +209,38 @@ def test_bare_answers(spark):
     assert got == [1, 0, 0, 1, 1, None, None, None, None, None, None, None, None, None, None]
     topics = {r.id: r.topic for r in with_parsed_topic(df, "answer").collect()}
     assert topics[8] == "sport" and topics[10] == "sport" and topics[5] is None and topics[14] is None
+
+
+def moody(bad):
+    """A predictor that fails on some prompts, and answers wrongly many at once on others."""
+    def predict(prompts):
+        if any(w in p for p in prompts for w in bad):
+            raise RuntimeError("out of memory")
+        return ["s\u00ec" if "yes" in p else "no" for p in prompts if "short" not in p or len(prompts) == 1]
+
+    return lambda: predict
+
+
+def test_failing_predictor_and_resumed_run(spark, tmp_path):
+    from threadwatch.operators import annotate
+    rows = [(f"v{i}", i, f"prompt {i} {'yes' if i % 2 else 'no'}" + (" boom" if i in (3, 30) else "") + (" short" if i == 9 else ""))
+            for i in range(50)] + [(None, 1, "a null key"), ("e", 2, "")]
+    df = spark.createDataFrame(rows, "video string, n int, prompt string").repartition(4)
+    path = str(tmp_path / "outcomes")
+    answers, failures = annotate.score_and_keep(df, ["video", "n"], "prompt", moody(["boom"]), path, slices=3)
+    assert {(r.video, r.n): r.error for r in failures.collect()} == {("v3", 3): "RuntimeError: out of memory",
+                                                                    ("v30", 30): "RuntimeError: out of memory"}
+    assert answers.count() == 50 and {r.raw_answer for r in answers.collect()} == {"s\u00ec", "no"}
+    statuses = df.withColumn("status", F.lit("pending"))
+    labelled = annotate.attach_silver_label(answers)
+    counted = {r.status: r.n for r in annotate.annotation_counters(statuses, labelled, "label").collect()}
+    assert counted["errors"] == 2 and counted["written"] == 50
+    # a second run asks only what has no answer, new prompts included
+    asked = spark.createDataFrame([*rows, ("new", 7, "yes")], "video string, n int, prompt string")
+    before = spark.read.parquet(f"{path}/*").count()
+    answers, failures = annotate.score_and_keep(asked, ["video", "n"], "prompt", moody([]), path)
+    assert spark.read.parquet(f"{path}/*").count() - before == 3
+    assert failures.count() == 0 and answers.count() == 53
+    # a third one, with a predictor that always fails, asks nothing
+    answers, failures = annotate.score_and_keep(asked, ["video", "n"], "prompt", moody([""]), path)
+    assert failures.count() == 0 and answers.count() == 53

@@ -34,8 +34,9 @@ def test_replace_names_longest_first_and_chunked(spark):
     texts = spark.createDataFrame([(1, "Bobby and Bob met Al"), (2, "nobody"), (3, None)], "i int, t string")
     one = {r[0]: r[1] for r in privacy.replace_names(texts, "t", names).collect()}
     assert one == {1: "@author_2 and @author_1 met @author_3", 2: "nobody", 3: None}
-    chunked = {r[0]: r[1] for r in privacy.replace_names(texts, "t", names, max_broadcast_bytes=40).collect()}
-    assert chunked == one
+    assert privacy.replace_names(texts.limit(0), "t", names).collect() == []
+    assert {r[0]: r[1] for r in privacy.replace_names(texts, "t", names.limit(0)).collect()} == \
+        {1: "Bobby and Bob met Al", 2: "nobody", 3: None}
 
 
 def test_replace_authors(spark):
@@ -89,6 +90,40 @@ def test_names_are_replaced_alike_for_any_chunk_size(spark):
                                    (3, "AnnAnna MariaAnn")], "i int, t string")
     expected = {0: "ciao Anna @author_2".replace("Anna", "@author_3a"), 1: "@author_7 e @author_8", 2: None,
                 3: "@author_3@author_1@author_3"}
-    for size in (1 << 20, 60, 1):
-        got = {r.i: r.t for r in privacy.replace_names(texts, "t", names, max_broadcast_bytes=size).collect()}
-        assert got == expected, size
+    assert {r.i: r.t for r in privacy.replace_names(texts, "t", names).collect()} == expected
+
+
+def test_names_against_brute_force(spark, monkeypatch):
+    import random
+
+    from threadwatch.operators import spans
+    rng = random.Random(6)
+    letters = ["a", "b", "ab", "é", "🙂", " "]
+    names = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(40)})
+    amap = {n: f"author_{i}" for i, n in enumerate(names)}
+    texts = ["".join(rng.choice([*letters, "c", "x y"]) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+
+    def brute(text):
+        held = [None] * len(text)
+        for name in sorted(names, key=lambda n: (-len(n), n)):
+            at = text.find(name)
+            while at >= 0:
+                if all(h is None for h in held[at:at + len(name)]):
+                    held[at:at + len(name)] = [(at, name)] * len(name)
+                at = text.find(name, at + 1)
+        out, at = [], 0
+        while at < len(text):
+            out.append(text[at] if held[at] is None else "@" + amap[held[at][1]])
+            at += 1 if held[at] is None else len(held[at][1])
+        return "".join(out)
+
+    monkeypatch.setattr(spans, "BLOCK", 16)
+    for n in (1, 3, 8):  # windows over the ends of blocks
+        whole = {(a + i): int(b) for _, a, bits in spans.window_bits("abcdefghij" * 9, [n, 8]) if _ == n for i, b in enumerate(bits)}
+        alone = {i: int(next(spans.window_bits(("abcdefghij" * 9)[i:i + n], [n]))[2][0]) for i in range(90 - n + 1)}
+        assert whole == alone
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(999, None, "y")], "key int, text string, _hits string") \
+        .withColumnRenamed("_hits", "name").repartition(3)
+    got = {r.key: r.text for r in privacy.replace_names(rows, "text", spark.createDataFrame(
+        [*amap.items(), ("", "author_x"), (None, "author_y"), (names[0], "author_z")], "author string, author_anon string")).collect()}
+    assert got == {**{i: brute(t) for i, t in enumerate(texts)}, 999: None}

@@ -10,6 +10,7 @@ scored table is checkpointed to the shared folder so that a second action
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -84,6 +85,66 @@ def score_prompts(df: DataFrame, key_cols: list[str], prompt_col: str,
     return cut_lineage(scored) if checkpoint else scored
 
 
+def score_and_keep(df: DataFrame, key_cols: list[str], prompt_col: str, predictor_factory: Callable[[], Predictor], path: str,
+                   *, slices: int = 1, batch_size: int = INFERENCE_BATCH_SIZE) -> tuple[DataFrame, DataFrame]:
+    """A3 for long runs: ``(answers, failures)`` with every outcome kept under ``path``, so that a run can be resumed.
+
+    Prompts that have an answer under ``path`` are not asked again; the others are scored in
+    ``slices`` jobs, each committed as a table of its own, so a run that is cut short loses
+    at most one slice.  When the predictor fails on a batch, its prompts are asked one by
+    one; those that still fail are failures with the error's text, and a later run asks them
+    again.  ``answers`` has the keys and ``raw_answer``, ``failures`` the keys and ``error``
+    of what has no answer yet.  Keys must identify the prompts; null keys are keys like others.
+    """
+    from threadwatch.session import ship_package
+    spark = df.sparkSession
+    ship_package(spark)
+    schema = df.select(*key_cols).schema.add("raw_answer", "string").add("error", "string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = predictor_factory()
+
+        def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+            try:
+                answers = predict(prompts)
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+                return [(a, None) for a in answers]
+            except Exception as e:  # noqa: BLE001 - whatever a model raises is an outcome of these prompts
+                if len(prompts) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+                return [ask([p])[0] for p in prompts]
+
+        for pdf in batches:
+            prompts = pdf[prompt_col].tolist()
+            got = [x for i in range(0, len(prompts), batch_size) for x in ask(prompts[i:i + batch_size])]
+            out = pdf[key_cols].copy()
+            out["raw_answer"], out["error"] = [a for a, _ in got], [e for _, e in got]
+            yield out
+
+    def kept() -> DataFrame:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = [str(s.getPath()) for s in fs.listStatus(place)] if fs.exists(place) else []
+        done = [p for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS"))]
+        return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+
+    def missing(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)]).distinct()
+        same = [left[c].eqNullSafe(right[f"_k{i}"]) for i, c in enumerate(key_cols)]
+        return left.join(right, same, "left_anti")
+
+    before = kept().filter("error is null")
+    todo = missing(df.select(*key_cols, prompt_col), before)
+    for i in range(slices):
+        part = todo.filter(F.pmod(F.xxhash64(*key_cols), F.lit(slices)) == i)
+        part.mapInPandas(run, schema).write.parquet(f"{path}/slice-{uuid.uuid4().hex}")
+    outcomes = kept()
+    answers = outcomes.filter("error is null").drop("error").dropDuplicates(key_cols)
+    failures = missing(outcomes.filter("error is not null"), answers).groupBy(*key_cols).agg(F.max("error").alias("error"))
+    return answers, failures
+
+
 def attach_silver_topic(items: DataFrame, parsed_topic: str = "parsed_topic") -> DataFrame:
     """A8 (videos): unparseable topic is stored as the empty string."""
     return items.withColumn("topic", F.coalesce(F.col(parsed_topic), F.lit("")))

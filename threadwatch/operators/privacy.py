@@ -5,9 +5,8 @@
   and their offsets), never with a one-partition window.
 * P2 is a left join with the map.
 * P3 replaces every known name occurring anywhere in a text, longest names
-  first: names claim spans of the text in one total order.  The dictionary is
-  broadcast as an Aho-Corasick automaton in chunks of a checked size; claims
-  are carried from chunk to chunk, so any chunk size gives the same result.
+  first: names claim spans of the text in one total order.  Rolling hashes of
+  the texts are joined with the names; nothing is collected.
 * P4 / P5 are regular expressions plus one Arrow-batched NFKC step.
 """
 
@@ -16,14 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadwatch.functions.fixed import PSEUDONYM_PREFIX
+from threadwatch.operators import spans
 from threadwatch.operators.ranking import rank_within
-from threadwatch.session import cut_lineage
-
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+from threadwatch.session import cut_lineage, ship_package
 
 
 def first_appearance(comments: DataFrame, author: str = "author", order_key: str = "published_at") -> DataFrame:
@@ -57,49 +56,6 @@ def replace_authors(df: DataFrame, amap: DataFrame, author: str = "author") -> D
     return j.withColumn(author, F.coalesce(F.col("_anon"), F.col(author))).drop("_a", "_anon")
 
 
-def _claim_fn(bc):
-    """Claims of a text by a chunk of names: an automaton built once per worker."""
-    cache: dict = {}
-
-    def automaton():
-        if "a" not in cache:
-            import ahocorasick
-            a = ahocorasick.Automaton()
-            for name, repl in bc.value:
-                a.add_word(name, (name, repl))
-            a.make_automaton()
-            cache["a"] = a
-        return cache["a"]
-
-    def claim(text, claims):
-        """``claims`` (start, end, replacement) and those that this chunk adds to them."""
-        claims = [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in claims]
-        a = automaton()
-        if not isinstance(text, str) or len(a) == 0:
-            return claims
-        found = sorted((-len(name), name, end + 1 - len(name), repl) for end, (name, repl) in a.iter(text))
-        taken = bytearray(len(text))
-        for s, e, _ in claims:
-            taken[s:e] = b"\x01" * (e - s)
-        for n, _, s, repl in found:
-            if not any(taken[s:s - n]):
-                taken[s:s - n] = b"\x01" * -n
-                claims.append((s, s - n, repl))
-        return claims
-
-    return claim
-
-
-def _apply_claims(text, claims):
-    if not isinstance(text, str) or not claims:
-        return text
-    out, at = [], 0
-    for s, e, repl in sorted(claims):
-        out += [text[at:s], repl]
-        at = e
-    return "".join([*out, text[at:]])
-
-
 HANDLE_NAME = r"^@[^@\s]+$"
 
 
@@ -135,48 +91,38 @@ def replace_handle_names(df: DataFrame, text_col: str, amap: DataFrame, id_col:
               .drop("_new")
 
 
-def replace_names(df: DataFrame, text_col: str, amap: DataFrame,
-                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+def _replace(text_col: str):
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).to_pylist()
+            for n, hits in enumerate(batch.column("_hits").to_pylist()):
+                if hits:
+                    claims = spans.longest_first([(h["start"], h["name"], h["repl"]) for h in hits])
+                    texts[n] = spans.replace_claims(texts[n], claims)
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1])
+
+    return replace
+
+
+def replace_names(df: DataFrame, text_col: str, amap: DataFrame) -> DataFrame:
     """Every known author name in ``text_col`` -> ``@<pseudonym>``, longest names first.
 
     Names claim spans of the original text in the order (longer, then by name), each from
     left to right; a span that a longer name holds is closed to shorter ones, and what was
-    put in is never read again.  The names are broadcast in chunks of that order of at most
-    about ``max_broadcast_bytes``; claims travel with the row, so the size of the chunks
-    changes nothing in the result.  A name that stands for several pseudonyms gets the
-    smallest.  For maps of ``@handle`` names prefer ``replace_handle_names`` (joins only).
+    put in is never read again.  Occurrences come from a join of the texts' rolling hashes
+    with the names (``spans.occurrences``); the claims of one text are settled together, so
+    a group is as large as its text.  Neither names nor texts pass through the driver.  A
+    name that stands for several pseudonyms gets the smallest.  Null and empty names and
+    null texts take no part.  For maps of ``@handle`` names prefer ``replace_handle_names``.
     """
-    spark = df.sparkSession
-    from threadwatch.session import ship_package
-    ship_package(spark)
-    names = amap.select(F.col("author").alias("name"), F.concat(F.lit("@"), F.col("author_anon")).alias("repl")) \
-                .filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("repl").isNotNull()) \
-                .groupBy("name").agg(F.min("repl").alias("repl"))
-    sized = names.withColumn("_b", F.octet_length("name") + F.octet_length("repl") + F.lit(16))
-    total, count = sized.agg(F.coalesce(F.sum("_b"), F.lit(0)), F.count("*")).first()
-    n_chunks = max(1, min(-(-int(total) // max_broadcast_bytes), count))
-    chunks = [names]
-    if n_chunks > 1:
-        ranked = rank_within(names, -F.length("name"), ["name"], None, "_r")
-        per = -(-count // n_chunks)
-        chunks = [ranked.filter((F.col("_r") >= i * per) & (F.col("_r") < (i + 1) * per)).select("name", "repl")
-                  for i in range(n_chunks)]
-    out = df.withColumn("_claims", F.array().cast("array<struct<s:int,e:int,r:string>>"))
-    schema = out.schema
-    for i, chunk in enumerate(chunks):
-        pairs = [(r["name"], r["repl"]) for r in chunk.toLocalIterator()]  # bounded by max_broadcast_bytes
-        fn = _claim_fn(spark.sparkContext.broadcast(pairs))
-        last = i == len(chunks) - 1
-
-        def run(it: Iterator[pd.DataFrame], fn=fn, last=last) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                claims = [fn(t, c) for t, c in zip(pdf[text_col], pdf["_claims"])]
-                if last:
-                    pdf[text_col] = [_apply_claims(t, c) for t, c in zip(pdf[text_col], claims)]
-                    claims = [[] for _ in claims]
-                pdf["_claims"] = [[{"s": s, "e": e, "r": r} for s, e, r in c] for c in claims]
-                yield pdf
-        out = out.mapInPandas(run, schema)
-        if i % 8 == 7 and not last:  # a long chain of passes would make one deep plan
-            out = cut_lineage(out)
-    return out.drop("_claims")
+    ship_package(df.sparkSession)
+    names = cut_lineage(
+        amap.select(F.col("author").alias("name"), F.concat(F.lit("@"), F.col("author_anon")).alias("repl"))
+        .filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("repl").isNotNull())
+        .groupBy("name").agg(F.min("repl").alias("repl")))
+    keyed = cut_lineage(df.withColumn("_key", F.monotonically_increasing_id()))
+    found = spans.occurrences(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text")), names)
+    hits = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "name", "repl")).alias("_hits"))
+    return keyed.join(hits, "_key", "left").select(*df.columns, "_hits").mapInArrow(_replace(text_col), df.schema)

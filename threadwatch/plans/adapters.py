@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions (a small table in one file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -240,7 +246,7 @@ def comment_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each annotator of a video labels every labelled document of it by their own rule over
     its text (``lexicon.ANNOTATOR_RULES``); very short texts get no label.
     """
-    items = labelled_docs(spark, sf_dir).select(
+    items = spread(labelled_docs(spark, sf_dir).select("doc_id", "text")).select(
         F.concat(F.lit("d"), F.floor(F.col("doc_id") / 8).cast("bigint").cast("string")).alias("file_id"),
         F.col("doc_id").cast("string").alias("comment_id"), "text", lexicon.terms_in(F.col("text")).alias("_found"))
     a = annotation_files(spark, sf_dir).join(items, "file_id")
@@ -263,7 +269,7 @@ LETTERS = [f"l{i}" for i in range(len(lexicon.TOPIC_LETTERS))]
 
 def doc_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, vnum, l0..l16)``: weighted letter counts of every whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_low"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("_low"))
     return d.select("doc_id", F.floor(F.col("doc_id") / 8).cast("bigint").alias("vnum"),
                     *[w.cast("bigint").alias(n) for w, n in zip(lexicon.letter_weights(F.col("_low")), LETTERS)])
 
@@ -323,7 +329,7 @@ topic_annotations AS (
 
 def hashed_labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, toxic, fold, buckets)`` of every labelled document, stored: the texts are read once."""
-    return cut_lineage(labelled_docs(spark, sf_dir).select(
+    return cut_lineage(spread(labelled_docs(spark, sf_dir).select("doc_id", "lang", "toxic", "text")).select(
         "doc_id", "lang", "toxic", textmodel.fold_of(F.col("doc_id")).alias("fold"),
         textmodel.word_buckets(F.col("text")).alias("buckets")))
 

@@ -30,7 +30,7 @@ def truncate_description_q(spark, sf_dir):
 
 def answered_documents(spark, sf_dir):
     """Every whole document after an answer that its id picks: labels, categories, instances or nothing before the text."""
-    d = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = ad.spread(ad.table(spark, sf_dir, "documents").select("doc_id", "text"))
     lead = F.element_at(F.array(*[F.lit(x) for x in ANSWER_LEADS]), (F.pmod("doc_id", F.lit(len(ANSWER_LEADS))) + 1).cast("int"))
     return d.select("doc_id", F.concat(lead, F.lit("\n"), "text").alias("answer"))
 

@@ -11,6 +11,7 @@ from threadwatch.operators import baselines, lexicon, metrics
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.q_figures import SQL_EVAL, eval_dataset, sql_topic_random
 from threadwatch.plans.registry import query
+from threadwatch.session import cut_lineage
 
 PRED_COLS = "baseline, run, video_key, video_topic, true_label, pred_label"
 
@@ -176,7 +177,7 @@ def binary_report(spark, sf_dir):
 def lang_preds(spark, sf_dir):
     """Language by its most frequent words, against the documents' own."""
     items = ad.labelled_docs(spark, sf_dir).select("doc_id", F.col("lang").alias("true_label"), "text")
-    return lexicon.with_language(items, "text", "pred_label")
+    return cut_lineage(lexicon.with_language(ad.spread(items), "text", "pred_label"))  # read several times
 
 
 SQL_LANG_PREDS = f"""

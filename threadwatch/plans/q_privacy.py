@@ -55,7 +55,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
 def replace_names(spark, sf_dir):
     o = ad.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = ad.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    t = o.join(c, o.o_custkey == c.c_custkey).select(
+    t = ad.spread(o.join(c, o.o_custkey == c.c_custkey)).select(
         F.col("o_orderkey").alias("ticket"),
         F.concat(F.lit("Ticket "), F.col("o_orderkey").cast("string"), F.lit(" by "), F.col("c_name"),
                  F.lit(" about "), F.col("o_orderpriority")).alias("text"))
