@@ -58,13 +58,6 @@ def comment_stats(comments: DataFrame, keys: list[str], label_col: str | None =
         F.count(F.lit(1)).alias("num_comments"), off.alias("num_offensive_comments"))
 
 
-def comment_file_stats(comments: DataFrame, keys: list[str] = KEYS, kind_col: str = "kind",
-                       label_col: str = "label") -> DataFrame:
-    """R1 + R2 in one aggregation pass: stats per comment file, then gold over silver."""
-    per_file = comment_stats(comments, keys + [kind_col], label_col)
-    return pick_annotated(per_file, keys, kind_col)
-
-
 def score_columns(df: DataFrame, n: str = "num_comments", n_off: str = "num_offensive_comments",
                   lambda1: float = LAMBDA, threshold: float = OFFENSIVE_THRESHOLD) -> DataFrame:
     """R5 + R6: stored score rounded to 4, trigger on the unrounded score."""
