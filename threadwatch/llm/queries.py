@@ -36,7 +36,5 @@ ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
     "op10_url_filters": OP10_SQL,
-    "op11_direct_token_files": op11_direct_token_files,
-    "op12_shared_cut_alignment": op12_shared_cut_alignment,
     "op13_strassen_hard_negatives": OP13_SQL,
 }
