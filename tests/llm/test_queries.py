@@ -53,6 +53,13 @@ def test_queries(spark, folder):
     exact = {(q, i) for q, _, i, _ in nearest_brute_force([r[:2] for r in tables["embeddings"][0]], 20)}
     found = {(r.query_id, r.vec_id) for r in rows["op8_rotated_codes_ann"]}
     assert len(found) == len(exact) and len(found & exact) >= 0.95 * len(exact)
+    tokens = rows["op11_direct_token_files"]
+    assert Counter((r.doc_id, r.n_tokens) for r in tokens) == Counter((c[0], c[2] + 1) for c in counted)
+    assert sorted(r.start for r in tokens) == np.cumsum([0, *(r.n_tokens for r in sorted(tokens, key=lambda r: r.start))])[:-1].tolist()
+    aligned = rows["op12_shared_cut_alignment"]
+    assert Counter(r.doc_id for r in aligned) == Counter(d[0] for d in docs)
+    assert all(0 < r.n_groups <= min(r.n_a, r.n_b) and r.n_links >= max(r.n_a, r.n_b) for r in aligned if r.n_a)
+    assert sum(r.n_a > 0 for r in aligned) > len(docs) / 2
     total = sum(len(word.encode(d[1] or "", add_special_tokens=False).ids) + 1 for d in docs)
     assert sum(r.length for r in rows["op9_best_fit_packing"]) == total
 
@@ -61,12 +68,13 @@ def test_oracles_agree(spark, folder):
     duckdb = pytest.importorskip("duckdb")
     at, docs, _ = folder
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         where = "WHERE doc_id IS NOT NULL AND doc_id <> 2" if t == "documents" else ""
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet/*.parquet') {where}")
     clean = f"{at}-clean"
     spark.read.parquet(f"{at}/documents.parquet").filter("doc_id <> 2").write.parquet(f"{clean}/documents.parquet")
-    spark.read.parquet(f"{at}/pages.parquet").write.parquet(f"{clean}/pages.parquet")
+    for t in ("pages", "embeddings"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{clean}/{t}.parquet")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, clean)
         exp = con.sql(sql)
@@ -77,4 +85,4 @@ def test_oracles_agree(spark, folder):
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
