@@ -1,17 +1,15 @@
 """Skew-proof as-of pick: for each probe, the latest candidate strictly earlier.
 
-A plain window ``partitionBy(key).orderBy(t).rangeBetween(-inf, -1)`` puts a
-hot key (one author's posts in one giant thread) in a single task.  Here the
-time axis is first cut into ``n_buckets`` value ranges at global quantiles:
-
-1. inside ``(key, bucket)`` the window answers from the probe's own bucket;
-2. per ``(key, bucket)`` the latest candidate is aggregated (partial
-   aggregation), and a prefix maximum over the *buckets* of a key (at most
-   ``n_buckets`` rows per key) answers from all earlier buckets;
-3. the answer is the later of the two.
-
-Equal times always share a bucket, so "strictly earlier" is decided in
-step 1 exactly as in the one-window form.
+A window ``partitionBy(key).orderBy(t)`` puts a hot key (one author's posts in one giant
+thread) in a single task.  Here probes and candidates are scanned in one global order:
+
+1. they are range-partitioned and sorted by ``(key, t, probes first, id)`` and stored with
+   their partition and place in it, so a key, or one time of a key, of any size spreads;
+2. inside a partition, a running last value gives the candidate before each probe;
+3. what a partition lacks is carried over from those before it.  Only the first key of a
+   partition can have begun earlier, so one row a partition is carried.
+
+Probes sort before candidates of their own time, so only strictly earlier ones precede them.
 """
 
 from __future__ import annotations
@@ -19,44 +17,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadwatch.operators.ranking import _bucket
+from threadwatch.operators.ranking import place_in_order
 
 
 def asof_latest(probes: DataFrame, candidates: DataFrame, keys: list[str], t: str = "t", cid: str = "comment_id",
-                n_buckets: int | None = None) -> DataFrame:
+                n_parts: int | None = None) -> DataFrame:
     """``probes(keys.., t, cid)`` x ``candidates(keys.., t, cid)`` -> ``(keys.., cid, found_id)``.
 
     ``found_id`` is the ``cid`` of the candidate with the greatest ``t`` below the
     probe's ``t`` (ties on ``t`` broken by the greater ``cid``); rows without one
-    are dropped.  ``t`` must be numeric and non-null.
+    are dropped.  ``t`` and ``cid`` must be orderable and non-null; null keys equal each other.
+    ``n_parts`` is the number of partitions, by default that of the session's shuffles.
     """
-    u = probes.select(*keys, t, cid, F.lit(True).alias("_probe")).unionByName(
+    rows = probes.select(*keys, t, cid, F.lit(True).alias("_probe")).unionByName(
         candidates.select(*keys, t, cid, F.lit(False).alias("_probe")))
-    if n_buckets is None:  # as many as tasks, at every size of the input
-        n_buckets = max(2, int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # cut points from the candidates' times only (a cheap projection); probes reuse them
-    u = _bucket(u.withColumn("_tb", F.col(t).cast("double")), "_tb", n_buckets, 1 / (4 * n_buckets),
-                sample=candidates.select(F.col(t).cast("double").alias("_tb"))).drop("_tb")
-    cand = F.when(~F.col("_probe"), F.struct(F.col(t).alias("t"), F.col(cid).alias("id")))
-    w_in = Window.partitionBy(*keys, "_bucket").orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-    local = u.withColumn("_local", F.max(cand).over(w_in)).filter("_probe")
-    per_bucket = u.filter(~F.col("_probe")).groupBy(*keys, "_bucket").agg(
-        F.max(F.struct(F.col(t).alias("t"), F.col(cid).alias("id"))).alias("_bmax"))
-    # latest candidate of all buckets below each probe's bucket: a window over bucket rows only
-    probe_buckets = local.select(*keys, "_bucket").distinct()
-    best_prev = _prefix_for_probe_buckets(probe_buckets, per_bucket.withColumnRenamed("_bucket", "_cb"), keys)
-    j = local.join(best_prev, keys + ["_bucket"], "left")
-    best = F.greatest(F.col("_local"), F.col("_prev_any"))
-    out = j.withColumn("_best", best).filter(F.col("_best").isNotNull())
-    return out.select(*keys, cid, F.col("_best.id").alias("found_id"))
-
-
-def _prefix_for_probe_buckets(probe_buckets: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest candidate in any bucket strictly below each probe bucket (buckets per key <= n_buckets)."""
-    marks = probe_buckets.select(*keys, F.col("_bucket").alias("_b"), F.lit(None).cast(
-        per_bucket.schema["_bmax"].dataType).alias("_bmax"), F.lit(0).alias("_order"))
-    cands = per_bucket.select(*keys, F.col("_cb").alias("_b"), "_bmax", F.lit(1).alias("_order"))
-    # a probe mark sorts before the candidates of its own bucket: only lower buckets precede it
-    w = Window.partitionBy(*keys).orderBy("_b", "_order").rowsBetween(Window.unboundedPreceding, -1)
-    both = marks.unionByName(cands).withColumn("_prev_any", F.max("_bmax").over(w))
-    return both.filter(F.col("_order") == 0).select(*keys, F.col("_b").alias("_bucket"), "_prev_any")
+    placed = place_in_order(rows, [*keys, t, F.col("_probe").desc(), cid], n_parts)
+    held = F.when(~F.col("_probe"), F.col(cid))
+    before = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.last(held, ignorenulls=True).over(before)).filter("_probe")
+    carried = F.broadcast(_carried(placed, keys, cid))  # at most one row a partition
+    same = [local[c].eqNullSafe(carried[f"_c_{c}"]) for c in keys]
+    out = local.join(carried, [local["_part"] == carried["_c_part"], *same], "left")
+    found = F.coalesce("_local", "_carry")
+    return out.filter(found.isNotNull()).select(*[local[c] for c in keys], local[cid], found.alias("found_id"))
+
+
+def _carried(placed: DataFrame, keys: list[str], cid: str) -> DataFrame:
+    """``(_c_part, _c_<key>.., _carry)``: the last candidate in earlier partitions of each partition's first key."""
+    key = F.struct(*keys)
+    ends = placed.groupBy("_part").agg(F.min_by(key, F.col("_at")).alias("_first"), F.max_by(key, F.col("_at")).alias("_last"))
+    latest = placed.filter(~F.col("_probe")).groupBy("_part").agg(
+        F.max_by(F.struct(key.alias("key"), F.col(cid).alias("id")), F.col("_at")).alias("_cand"))
+    # a partition hands on its last candidate if that has the partition's last key
+    ends = ends.join(latest, "_part", "left").withColumn(
+        "_end", F.when(F.col("_cand.key").eqNullSafe(F.col("_last")), F.col("_cand")))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_prev", F.last("_end", ignorenulls=True).over(before))  # one row a partition
+    return ends.filter(F.col("_prev").isNotNull() & F.col("_prev.key").eqNullSafe(F.col("_first"))).select(
+        F.col("_part").alias("_c_part"), *[F.col(f"_first.{c}").alias(f"_c_{c}") for c in keys],
+        F.col("_prev.id").alias("_carry"))

@@ -11,7 +11,6 @@ rank, so a group of any size is spread, too.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +19,12 @@ from threadwatch.session import cut_lineage
 _PLACE_BITS = 33  # of monotonically_increasing_id: partition above, place in it below
 
 
-def _bucket(df: DataFrame, key: str, n_buckets: int, rel_err: float, sample: DataFrame | None = None) -> DataFrame:
-    """Adds ``_bucket``: value range of ``key`` cut at quantiles of ``sample`` (default: ``df``)."""
-    if n_buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0.0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    src = sample if sample is not None else df
-    cuts = sorted({c for c in src.approxQuantile(key, probs, rel_err) if c is not None})
-    splits = [float("-inf")] + cuts + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn("_bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=key, outputCol="_bucket",
-                      handleInvalid="keep").transform(df)
+def place_in_order(df: DataFrame, order: list[str | Column], n_parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, stored with ``_part`` and the ascending place ``_at``."""
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                       .withColumn("_at", F.monotonically_increasing_id())
+                       .withColumn("_part", F.shiftright("_at", _PLACE_BITS)))
 
 
 def rank_within(df: DataFrame, order_key: Column, tie_cols: list[str], group_cols: list[str] | None = None,
@@ -45,10 +38,7 @@ def rank_within(df: DataFrame, order_key: Column, tie_cols: list[str], group_col
     group_cols = list(group_cols or [])
     order = [F.col(c).asc_nulls_first() for c in group_cols] + [F.col("_okey").asc_nulls_last()] + \
         [F.col(c).asc_nulls_last() for c in tie_cols]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df.withColumn("_okey", order_key).repartitionByRange(parts, *order)
-                         .sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-                         .withColumn("_part", F.shiftright("_at", _PLACE_BITS)).drop("_okey"))
+    placed = place_in_order(df.withColumn("_okey", order_key), order).drop("_okey")
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")
                               .rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
     offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \

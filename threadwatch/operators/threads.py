@@ -7,11 +7,9 @@
   distinct handles of the thread, so work is linear in replies, not
   quadratic in thread size.
 * T3b (which of their comments): an as-of pick (``operators.asof``): probes
-  and candidates are unioned, cut into time buckets at global quantiles, and
-  the latest strictly-earlier candidate is ``max(struct(ts, id))`` over
-  ``rangeBetween(unboundedPreceding, -1)`` inside a bucket, combined with a
-  prefix maximum over earlier buckets, so a hot author in a giant thread is
-  spread over all buckets instead of one task.
+  and candidates are scanned in one global order with a running last value
+  and one row carried from partition to partition, so a hot author in a
+  giant thread, or at one instant, is spread over tasks.
 * T4 (depth): pointer jumping; each round joins the rows still on their way
   to the node their pointer names, doubling the hop length, so chains of
   length L finish in about log2(L) rounds; finished rows are not written
@@ -63,7 +61,7 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
 
 
 def infer_parents(comments: DataFrame, max_handle_len: int | None = None,
-                  n_buckets: int | None = None) -> DataFrame:
+                  n_parts: int | None = None) -> DataFrame:
     """Adds ``inferred_parent_id`` (the parent unless a mention resolves to an earlier sibling)."""
     targets = resolve_mentions(comments, max_handle_len)
     ts = epoch_micros(comments, "published_at")
@@ -74,7 +72,7 @@ def infer_parents(comments: DataFrame, max_handle_len: int | None = None,
     probes = rows.join(targets, ["video_id", "comment_id"]).select(
         "video_id", "tk", F.col("target_handle").alias("handle"), "t", "comment_id")
     cands = rows.select("video_id", "tk", "handle", "t", "comment_id")
-    found = asof_latest(probes, cands, ["video_id", "tk", "handle"], n_buckets=n_buckets) \
+    found = asof_latest(probes, cands, ["video_id", "tk", "handle"], n_parts=n_parts) \
         .select("video_id", "comment_id", F.col("found_id").alias("_found"))
     out = comments.join(found, ["video_id", "comment_id"], "left")
     return out.withColumn("inferred_parent_id", F.coalesce(F.col("_found"), F.col("parent_comment_id"))).drop("_found")
