@@ -1,11 +1,13 @@
 """Votes, agreement, metrics and splits on hand-made tables."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from threadwatch.operators import gold, metrics
+from threadwatch.operators import figures, gold, metrics
 
 
 def ann_df(spark, rows):
@@ -145,3 +147,52 @@ def test_seeded_sample_is_partition_invariant(spark):
     a = [r[0] for r in metrics.seeded_sample(df.repartition(1), "k", 50).collect()]
     b = [r[0] for r in metrics.seeded_sample(df.repartition(7), "k", 50).collect()]
     assert a == b and len(a) == 50
+
+
+def _kappa(rows):
+    n = len(rows)
+    po = sum(a == b for a, b in rows) / n
+    labels = {x for r in rows for x in r}
+    pe = sum(sum(a == k for a, _ in rows) * sum(b == k for _, b in rows) for k in labels) / (n * n)
+    return None if pe >= 1 else (po - pe) / (1 - pe)
+
+
+def test_kappa_of_fifty_annotators_not_known_beforehand(spark):
+    rng = random.Random(5)
+    rows = [(f"i{i}", f"N{a:02d}", rng.choice(["x", "y", None] if i % 9 else ["x"]))
+            for i in range(120) for a in rng.sample(range(50), 0 if i == 3 else 1 if i < 9 else 50 if i == 10 else 4)]
+    rows += [("i20", "N01", "x"), ("i20", "N01", "y"), ("i21", None, "x")]
+    got = {(r.a1, r.a2): (r.n_items, r.kappa) for r in gold.pairwise_kappa(
+        spark.createDataFrame(rows, "item string, annotator string, label string"), ["item"]).collect()}
+    votes = {}
+    for i, a, v in rows:
+        if a is not None and v is not None:
+            votes[i, a] = max(votes.get((i, a), v), v)
+    people = sorted({a for _, a in votes})
+    want = {}
+    for p, q in itertools.combinations(people, 2):
+        both = [(votes[i, p], votes[i, q]) for i in {i for i, _ in votes} if (i, p) in votes and (i, q) in votes]
+        if both:
+            want[p, q] = (len(both), _kappa(both))
+    assert len(people) == 50 and got.keys() == want.keys()
+    for k, (n, kappa) in want.items():
+        assert got[k][0] == n and (got[k][1] is None if kappa is None else got[k][1] == pytest.approx(kappa))
+
+
+def test_kappa_of_chosen_annotators_and_of_none(spark):
+    rows = [("i1", "A", "x"), ("i1", "B", "y"), ("i1", "C", "x"), ("i2", "A", "x"), ("i2", "C", "y")]
+    df = spark.createDataFrame(rows, "item string, annotator string, label string")
+    assert {(r.a1, r.a2) for r in gold.pairwise_kappa(df, ["item"], annotators=["A", "C"]).collect()} == {("A", "C")}
+    assert gold.pairwise_kappa(df.filter("false"), ["item"]).count() == 0
+
+
+def test_required_coverage_and_pairing_fail_with_the_files_named(spark):
+    rows = [("f1", a) for a in "ABC"] + [("f2", "A"), ("f2", "A"), ("f2", "B")]
+    df = spark.createDataFrame(rows, "file_id string, annotator string")
+    assert gold.require_coverage(df.filter("file_id = 'f1'"), ["file_id"], 3).count() == 3
+    with pytest.raises(ValueError, match="1 items .* f2: 3 by A,A,B"):
+        gold.require_coverage(df, ["file_id"], 3)
+    c = spark.createDataFrame([("n", "f1", "gold"), ("n", "f2", "gold"), ("m", "f1", "silver")], "newspaper string, file_id string, kind string")
+    assert figures.require_pairing(c, c).count() == 2
+    with pytest.raises(ValueError, match="gold n: 2 comment files, 1 metadata files, 1 matched$"):
+        figures.require_pairing(c, c.filter("file_id <> 'f2'"))

@@ -30,6 +30,17 @@ def pairing_check(comment_files: DataFrame, meta_files: DataFrame) -> DataFrame:
                           & (F.col("matched") == F.col("metadata_files")))
 
 
+def require_pairing(comment_files: DataFrame, meta_files: DataFrame) -> DataFrame:
+    """V1, failing: the check's rows if all files pair, else a ValueError that names each group (kind and newspaper)."""
+    check = pairing_check(comment_files, meta_files)
+    wrong = check.filter(~F.col("one_to_one")).orderBy("kind", "newspaper").collect()  # one row a kind and newspaper
+    if wrong:
+        raise ValueError("files do not pair one-to-one: " + "; ".join(
+            f"{r['kind']} {r['newspaper']}: {r['comment_files']} comment files, {r['metadata_files']} metadata files, "
+            f"{r['matched']} matched" for r in wrong))
+    return check
+
+
 def join_topics(comments: DataFrame, meta_files: DataFrame) -> DataFrame:
     """V1 + V2: labelled comments of every kind with their video's topic (inner join)."""
     m = meta_files.select(*FILE_KEYS, "topic")

@@ -2,14 +2,12 @@
 
 Input is the long annotation table ``(..item keys.., annotator, label)``.
 Everything is keyed by the item (never by row position).  Agreement avoids a
-self-join: labels are pivoted to one column per annotator (a fixed, small
-set), and the fixed list of annotator pairs is a generator over that row.
+self-join: items with the same votes are counted together, and the pairs of
+annotators are made from each distinct set of votes.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +25,16 @@ def coverage(files: DataFrame, keys: list[str], expected: int = ANNOTATIONS_PER_
     return rep.filter((F.col("n_annotations") != expected) | (F.col("duplicates") != ""))
 
 
+def require_coverage(files: DataFrame, keys: list[str], expected: int = ANNOTATIONS_PER_ITEM, shown: int = 5) -> DataFrame:
+    """G1, failing: ``files`` itself if ``coverage`` finds nothing, else a ValueError that counts and names some files."""
+    wrong = coverage(files, keys, expected)
+    some = wrong.orderBy(*keys).limit(shown).collect()
+    if some:
+        named = "; ".join(f"{'/'.join(str(r[k]) for k in keys)}: {r['n_annotations']} by {r['annotators']}" for r in some)
+        raise ValueError(f"{wrong.count()} items without exactly {expected} annotations by different annotators: {named}")
+    return files
+
+
 def majority_label(ann: DataFrame, item_keys: list[str], label: str = "label") -> DataFrame:
     """Modal label per item, nulls ignored, lowest value on a tie."""
     return ann.groupBy(*item_keys).agg(F.mode(label, True).alias(label))
@@ -71,18 +79,33 @@ def label_matrix(ann: DataFrame, item_keys: list[str], label: str = "label",
     return ann.groupBy(*item_keys).pivot("annotator", annotators).agg(F.max(label))
 
 
+def _pair_cells(ann: DataFrame, item_keys: list[str], label: str) -> DataFrame:
+    """``(a1, a2, l1, l2, n)``: how many items annotators ``a1 < a2`` labelled ``l1`` and ``l2``.
+
+    Items with the same votes are counted first, so pairs are made once for each distinct
+    set of votes.  The two sides unfold one after the other: no row holds all pairs.
+    """
+    votes = ann.groupBy(*item_keys, "annotator").agg(F.max(F.col(label).cast("string")).alias("l")) \
+        .filter(F.col("annotator").isNotNull() & F.col("l").isNotNull())
+    by_item = votes.groupBy(*item_keys).agg(F.sort_array(F.collect_list(F.struct(F.col("annotator").alias("a"), "l"))).alias("v"))
+    patterns = by_item.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    firsts = patterns.select("n", "v", F.posexplode("v").alias("at", "x"))
+    pairs = firsts.select("n", "x", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("y"))
+    return pairs.groupBy(F.col("x.a").alias("a1"), F.col("y.a").alias("a2"), F.col("x.l").alias("l1"),
+                         F.col("y.l").alias("l2")).agg(F.sum("n").alias("n"))
+
+
 def pairwise_kappa(ann: DataFrame, item_keys: list[str], label: str = "label",
-                   annotators: list[str] = ANNOTATORS) -> DataFrame:
-    """Cohen's kappa per annotator pair over items both labelled, plus the mean over pairs.
+                   annotators: list[str] | None = None) -> DataFrame:
+    """Cohen's kappa per annotator pair (``a1 < a2``) over items both labelled.
 
-    Null when the pair shares no item or the expected agreement is 1.
+    All annotators found count, however many, or only ``annotators``.  Of several labels of
+    one annotator for one item the greatest counts.  A pair that shares no item has no row;
+    kappa is null when the expected agreement is 1.
     """
-    m = label_matrix(ann.withColumn(label, F.col(label).cast("string")), item_keys, label, annotators)
-    pairs = [F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"), F.col(a).alias("l1"), F.col(b).alias("l2"))
-             for a, b in combinations(annotators, 2)]
-    long = m.select(F.explode(F.array(*pairs)).alias("p")).select("p.*") \
-            .filter(F.col("l1").isNotNull() & F.col("l2").isNotNull())
-    cells = long.groupBy("a1", "a2", "l1", "l2").agg(F.count(F.lit(1)).alias("n"))
+    if annotators is not None:
+        ann = ann.filter(F.col("annotator").isin(annotators))
+    cells = _pair_cells(ann, item_keys, label)
     tot = cells.groupBy("a1", "a2").agg(F.sum("n").alias("N"),
                                         F.sum(F.when(F.col("l1") == F.col("l2"), F.col("n")).otherwise(0)).alias("agree"))
     m1 = cells.groupBy("a1", "a2", F.col("l1").alias("k")).agg(F.sum("n").alias("n1"))
