@@ -135,7 +135,7 @@ def empty_videos(spark, sf_dir):
 # ---------------------------------------------------------------- landed JSON
 
 def conversation_pages(spark, sf_dir):
-    """Re-nest conversations as API thread pages: turn 0 is the thread, later turns its bundled replies."""
+    """Conversations as landed API thread pages (JSON text): turn 0 is the thread, later turns its bundled replies."""
     c = ad.table(spark, sf_dir, "conversations")
     iso = F.concat(F.lit("2024-01-01T00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":00Z"))
     com = F.struct(F.concat(F.lit("k"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
@@ -152,8 +152,8 @@ def conversation_pages(spark, sf_dir):
                     .alias("replies"))
     pages = per.select(F.concat(F.lit("conv"), F.floor(F.col("conv_id") / 50).cast("string")).alias("video_id"),
                        F.floor(F.col("conv_id") / 5).cast("bigint").alias("page"), item.alias("it"))
-    return pages.groupBy("video_id", "page").agg(F.collect_list("it").alias("items")) \
-                .withColumn("nextPageToken", F.lit(None).cast("string"))
+    pages = pages.groupBy("video_id", "page").agg(F.collect_list("it").alias("items"))
+    return pages.select(F.col("video_id").alias("source"), F.to_json(F.struct("video_id", "page", "items")).alias("json"))
 
 
 @query("flatten_threads", """
@@ -165,10 +165,42 @@ SELECT 'k' || conv_id || ':' || turn AS comment_id,
        turn AS like_count, text, CAST(floor(conv_id / 5) AS BIGINT) AS page
 FROM conversations""")
 def flatten_threads(spark, sf_dir):
-    return landed.flatten_thread_pages(conversation_pages(spark, sf_dir))
+    pages = landed.parse_thread_pages(conversation_pages(spark, sf_dir))
+    return landed.flatten_thread_pages(landed.readable(pages))
+
+
+@query("landed_page_status", """
+WITH pages AS (SELECT 'conv' || CAST(floor(conv_id / 50) AS BIGINT) AS source, CAST(floor(conv_id / 5) AS BIGINT) AS page,
+                      count(DISTINCT conv_id) AS items, count(*) AS comments
+               FROM conversations GROUP BY ALL),
+per AS (SELECT source, count(*) AS n_lines, sum(items) AS items, sum(comments) AS comments FROM pages GROUP BY source)
+SELECT source, status, n_lines, CAST(CASE WHEN read THEN items ELSE 0 END AS BIGINT) AS n_items,
+       CAST(CASE WHEN status = 'partial' THEN items ELSE 0 END AS BIGINT) AS n_broken_items,
+       CAST(CASE WHEN read THEN comments ELSE 0 END AS BIGINT) AS n_comments,
+       CAST(CASE WHEN status = 'ok' THEN comments ELSE 0 END AS BIGINT) AS n_like_counts
+FROM per, (VALUES ('ok', true), ('partial', true), ('corrupt', false), ('empty', false)) s(status, read)""")
+def landed_page_status(spark, sf_dir):
+    """How the lines of a landing folder read, where every page also landed cut off, with words for counts, and blank."""
+    whole = conversation_pages(spark, sf_dir)
+    half = F.col("json").substr(F.lit(1), (F.length("json") / 2).cast("int"))
+    lines = whole.select("source", F.explode(F.array(
+        "json", half, F.regexp_replace("json", r'"likeCount":\d+', '"likeCount":"many"'), F.lit(" \t"))).alias("json"))
+    pages = landed.parse_thread_pages(lines)
+    n_replies = F.transform("items", lambda i: F.coalesce(F.size(i["replies"]["comments"]), F.lit(0)))
+    likes = F.transform("items", lambda i: (i["snippet"]["topLevelComment"]["snippet"]["likeCount"].isNotNull()).cast("int") + F.size(
+        F.filter(F.coalesce(i["replies"]["comments"], F.array()), lambda c: c["snippet"]["likeCount"].isNotNull())))
+    def total(a):
+        return F.aggregate(a, F.lit(0), lambda x, y: x + F.greatest(y, F.lit(0)))
+    n_items = F.greatest(F.size("items"), F.lit(0))
+    return pages.groupBy("source", "status").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(n_items), F.lit(0)).alias("n_items"),
+        F.sum("n_broken_items").cast("bigint").alias("n_broken_items"),
+        F.sum(F.coalesce(n_items + total(n_replies), F.lit(0))).cast("bigint").alias("n_comments"),
+        F.sum(F.coalesce(total(likes), F.lit(0))).cast("bigint").alias("n_like_counts"))
 
 
 def order_items(spark, sf_dir):
+    """Orders as landed video items (JSON text)."""
     o = ad.table(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
     item = F.struct(
@@ -180,7 +212,7 @@ def order_items(spark, sf_dir):
         F.struct(F.floor("o_totalprice").cast("bigint").cast("string").alias("viewCount"),
                  F.when(F.pmod("o_custkey", F.lit(3)) != 0, F.col("o_custkey").cast("string")).alias("likeCount"),
                  F.when(st == "P", F.lit("n/a")).alias("commentCount")).alias("statistics"))
-    return o.select(item.alias("it"), ad.newspaper_of(F.col("o_orderkey")).alias("newspaper")).select("it.*", "newspaper")
+    return o.select(F.to_json(item).alias("json"), ad.newspaper_of(F.col("o_orderkey")).alias("newspaper"))
 
 
 @query("flatten_videos", f"""
@@ -194,4 +226,4 @@ SELECT 'o' || o_orderkey AS video_id, {ad.sql_pick(ad.NEWSPAPERS, 'o_orderkey')}
        CAST(0 AS BIGINT) AS comment_count
 FROM orders""")
 def flatten_videos(spark, sf_dir):
-    return landed.flatten_video_items(order_items(spark, sf_dir))
+    return landed.flatten_video_items(landed.readable(landed.parse_video_items(order_items(spark, sf_dir))))
