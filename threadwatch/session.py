@@ -82,8 +82,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder, in folders by ``partition_cols``, and read it back.
 
     Survives lost executors, like a reliable checkpoint, but compressed and with the
     statistics of what was written: those of a checkpoint multiply from join to join.
@@ -91,7 +91,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_cols).parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadwatch.operators.privacy import assign_pseudonyms
 from threadwatch.operators.risk import parse_annotated_name
 from threadwatch.session import cut_lineage
+from threadwatch.sources import versions
 from threadwatch.sources.files import TASK_BYTES, dealt, list_files, place_of, read_csv_files
 
 COMMENT_FIELDS = ["comment_id", "parent_comment_id", "video_id", "is_reply", "author", "published_at",
@@ -131,6 +133,25 @@ def save_author_map(amap: DataFrame, path: str) -> None:
     amap.write.mode("errorifexists").parquet(path)
 
 
+def extend_author_map(spark: SparkSession, root: str, first_seen: DataFrame, tries: int = 5) -> int:
+    """S8 + P1: add the authors of ``first_seen(author, first_key)`` to the versioned map at ``root``; its new version.
+
+    Numbers go on from those of the version that was read.  If another run commits in between,
+    the new authors are numbered again on top of its map, at most ``tries`` times, so no
+    number is given twice.  Without new authors nothing is written.
+    """
+    for _ in range(tries):
+        version, amap = versions.read_table(spark, root, "author string, author_anon string")
+        extended = cut_lineage(assign_pseudonyms(first_seen, amap))
+        if extended.count() == amap.count():
+            return version
+        try:
+            return versions.publish_table(extended, root, version)
+        except versions.Conflict:
+            continue
+    raise versions.Conflict(f"{root}: other runs committed {tries} times in between")
+
+
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     """Concatenate frames with possibly different columns."""
     out = frames[0]
