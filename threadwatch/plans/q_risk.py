@@ -9,6 +9,8 @@ from threadwatch.functions.scoring import sql_offensive_score
 from threadwatch.operators import risk
 from threadwatch.plans import adapters as ad
 from threadwatch.plans.registry import query
+from threadwatch.sources import corpus
+from threadwatch.sources.dataset import dropped_label_count, load_dataset
 
 
 def lineitem_video_risk(spark, sf_dir):
@@ -82,11 +84,66 @@ DATASET_COLS = ", ".join(risk.DATASET_COLUMNS)
 query("risk_full_outer", SQL_DATASET_CTE + f"\nSELECT {DATASET_COLS} FROM dataset")(video_dataset)
 
 
-@query("risk_missing_counts", SQL_DATASET_CTE + """
+def all_comments(spark, sf_dir):
+    """The videos' comments and those of the event threads, whose videos have no metadata file."""
+    e = ad.table(spark, sf_dir, "events").select("event_id", "event_type")
+    block = F.floor(F.col("event_id") / 200)
+    events = e.select(
+        F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "click", 0).cast("int").alias("label"),
+        F.concat(F.lit("v"), block.cast("string")).alias("file_id"), ad.newspaper_of(block).alias("newspaper"),
+        F.lit("silver").alias("kind"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("comment_id"))
+    return corpus.union_frames([ad.comment_rows(spark, sf_dir), events])
+
+
+SQL_ALL_COMMENTS = f"""
+all_comments AS (
+  SELECT newspaper, file_id, kind, label, CAST(NULL AS VARCHAR) AS comment_id FROM comment_rows
+  UNION ALL
+  SELECT {ad.sql_pick(NEWSPAPERS, 'CAST(floor(event_id / 200) AS BIGINT)')}, 'v' || CAST(floor(event_id / 200) AS BIGINT), 'silver',
+         CAST(CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 0 END AS INTEGER), 'c' || event_id
+  FROM events)"""
+
+SQL_ALL_CTE = SQL_DATASET_CTE.replace("FROM comment_rows GROUP BY 1, 2, 3", "FROM all_comments GROUP BY 1, 2, 3") \
+    .replace("\nmeta_ranked AS", SQL_ALL_COMMENTS + ",\nmeta_ranked AS", 1)
+
+query("union_comments", "WITH " + ad.SQL_COMMENT_ROWS.strip() + "," + SQL_ALL_COMMENTS
+      + "\nSELECT newspaper, file_id, kind, label, comment_id FROM all_comments")(all_comments)
+
+
+def whole_dataset(spark, sf_dir, with_flags=False):
+    """R1-R6 over all comments: videos with both files, with metadata only, and with comments only."""
+    return risk.build_dataset(ad.video_files(spark, sf_dir), all_comments(spark, sf_dir).drop("comment_id"), with_flags=with_flags)
+
+
+query("risk_comments_only", SQL_ALL_CTE + f"\nSELECT {DATASET_COLS} FROM dataset WHERE NOT has_metadata")(
+    lambda spark, sf_dir: whole_dataset(spark, sf_dir, with_flags=True).filter("not has_metadata").select(*risk.DATASET_COLUMNS))
+
+
+@query("risk_missing_counts", SQL_ALL_CTE + """
 SELECT CAST(count_if(NOT has_metadata) AS BIGINT) AS videos_without_metadata,
        CAST(count_if(NOT has_comments) AS BIGINT) AS videos_without_comments FROM dataset""")
 def risk_missing_counts(spark, sf_dir):
-    return risk.missing_counts(video_dataset(spark, sf_dir, with_flags=True))
+    return risk.missing_counts(whole_dataset(spark, sf_dir, with_flags=True))
+
+
+def reviewed_dataset(spark, sf_dir):
+    """The dataset as a reviewer left it: triggers as text, ``n/a`` where no comment backs them."""
+    trigger = F.when(F.col("num_comments") == 0, F.lit("n/a")).otherwise(F.col("offensive_trigger").cast("string"))
+    return whole_dataset(spark, sf_dir).withColumn("offensive_trigger", trigger)
+
+
+@query("typed_dataset", SQL_ALL_CTE + """
+SELECT newspaper || '/' || video_id AS video_key, type, offensive_trigger AS true_label, video_topic,
+       coalesce(nullif(video_text, ''), 'N/A') AS title, coalesce(nullif(video_description, ''), 'N/A') AS description
+FROM dataset WHERE type = 'silver' AND num_comments > 0""")
+def typed_dataset(spark, sf_dir):
+    """The silver videos with a numeric label, texts filled."""
+    silver = load_dataset(reviewed_dataset(spark, sf_dir), "silver", need_topic=True, need_text=True)
+    return silver.select("video_key", "type", "true_label", "video_topic", "title", "description")
+
+
+query("dropped_labels", SQL_ALL_CTE + "\nSELECT CAST(count_if(num_comments = 0) AS BIGINT) AS dropped FROM dataset")(
+    lambda spark, sf_dir: dropped_label_count(reviewed_dataset(spark, sf_dir)))
 
 
 @query("risk_type_tag", SQL_DATASET_CTE + "\nSELECT type, count(*) AS videos FROM dataset GROUP BY type")
