@@ -328,8 +328,8 @@ def test_decontamination(spark, benchmark):
             (10, " ".join(f"b{n}" for n in range(8))), (11, "two words"), (None, ITEM), (12, f"**{ITEM.replace(' ', '  ')}**")]
     got = {(r.doc_id, r.item_id): r for r in op1.contaminated(
         spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
-    assert {(0, 1), (1, 1), (2, 1), (7, 2), (9, 3), (None, 1), (12, 1)} <= set(got)
-    assert not {d for d, _ in got} & {3, 5, 6, 8, 10, 11}
+    assert {(0, 1), (1, 1), (2, 1), (7, 2), (9, 3), (11, 6), (None, 1), (12, 1)} <= set(got)
+    assert not {d for d, _ in got} & {3, 5, 6, 8, 10}
     assert got[(0, 1)].kind == "copy" and got[(0, 1)].coverage == 1.0
     assert got[(1, 1)].kind == "re-parameterised" and got[(1, 1)].changed == 3
     if (4, 1) in got:  # the part in which one value stands for one value may still count, the whole may not
@@ -379,6 +379,153 @@ def test_decontamination_judges_values_by_runs_and_rows(spark, benchmark):
     assert got[(1, 1)].first_word == 1 and got[(7, 1)].changed == got[(None, 1)].changed == 3
 
 
+def test_decontamination_of_short_items(spark):
+    items = ["What is 7 x 8?", "Name two primes.", "Paris", "Alice has 3 apples.", "7 8 9"]
+    docs = ["Solve this. What is 9 x 6? Then rest.", "What is 7 x 8?", "So what is 9 x 6 then?", "First: name two primes please.",
+            "Go on. Name three primes. Stop.", "Paris", "She lives in Paris now.", "Where? Paris. There.", "Bob has 12 apples.",
+            "Today Bob has 12 apples and more.", "see 7 8 9 here", "7 8 9", "1 2 3"]
+    got = contaminated_pairs(spark, docs, items)
+    assert set(got) == {(0, 1), (1, 1), (4, 2), (5, 3), (8, 4), (11, 5)}
+    assert got[(0, 1)].kind == got[(4, 2)].kind == got[(8, 4)].kind == "re-parameterised"
+    assert got[(1, 1)].kind == got[(5, 3)].kind == got[(11, 5)].kind == "copy"
+
+
+def test_decontamination_finds_names_and_quantities_of_other_lengths(spark):
+    item = "Yesterday Mary Smith ran 30km before Bob met her, and then Mary Smith ran 30km more with Bob."
+    docs = ["Yesterday Mary Ann Smith ran 30km before Bob met her, and then Mary Ann Smith ran 30km more with Bob.",
+            "Yesterday Mary Smith ran 45 km before Bob met her, and then Mary Smith ran 45 km more with Bob.",
+            "Yesterday Anna-Maria O'Neil ran 45km before McDonald met her, and then Anna-Maria O'Neil ran 45 km more with McDonald.",
+            "Yesterday Sue ran 8 miles before Kim met her, and then Sue ran 8 miles more with Kim.",
+            "Yesterday Sue ran 8 miles before Kim met her, and then Kim ran 9 miles more with Sue.",
+            item.lower(), item.replace(",", ""), "Yesterday Mary Smith sat at home before Bob met her there again."]
+    got = contaminated_pairs(spark, [f"Some text. {d} The rest." for d in docs], [item])
+    assert {d for d, _ in got} == {0, 1, 2, 3, 5, 6}
+    assert {d: (r.kind, r.changed) for (d, _), r in got.items()} == {
+        0: ("re-parameterised", 1), 1: ("re-parameterised", 1), 2: ("re-parameterised", 3), 3: ("re-parameterised", 3),
+        5: ("copy", 0), 6: ("copy", 0)}
+
+
+@pytest.mark.parametrize("word, flags", [
+    ("Anna", op1.CAPITAL), ("Anna-Maria,", op1.CAPITAL | op1.BREAK), ("O'Neil", op1.CAPITAL), ("McDonald.", op1.CAPITAL | op1.END),
+    ("USA", 0), ("I", 0), ("Élodie's", op1.CAPITAL), ("iPhone", 0), ("B2b", 0), ("30km", op1.NUMBER), ("$5", op1.NUMBER),
+    ("7.5kg;", op1.NUMBER | op1.BREAK), ("twenty-five", op1.NUMBER), ("30x", 0), ("km", op1.UNIT), ("m", 0), ("—", op1.EMPTY),
+    ("...", op1.EMPTY | op1.END)])
+def test_kinds_of_words(word, flags):
+    assert op1.word_code(word.encode())[1] == flags
+
+
+# A plain twin of the readings: tuples instead of arrays, windows compared with each other instead of hashes joined.
+
+def plain_words(text):
+    out, stop = [], True
+    for raw, word in enumerate(text.split()):
+        flags = op1.word_code(word.encode())[1]
+        if not flags & op1.EMPTY:
+            parts = op1.quantity(word.encode())
+            core = op1._CORE.search(word).group().lower()
+            value = tuple(p.decode().lower() for p in parts) if parts else (core,)
+            kind = "number" if flags & op1.NUMBER else "unit" if flags & op1.UNIT else "name" if flags & op1.CAPITAL else ""
+            if core == "in" and not (out and out[-1][1] == "number" and not stop):
+                kind = "" if kind == "unit" else kind
+            out.append((value, kind, stop, bool(flags & op1.BREAK), raw))
+        stop = bool(flags & op1.END)
+    return out
+
+
+def plain_phrases(words):
+    out = []
+    for i, (value, kind, stop, _, raw) in enumerate(words):
+        before = words[i - 1] if i else None
+        if before and not stop and not before[3] and (kind, before[1]) in {("name", "name"), ("unit", "number")}:
+            out[-1] = (out[-1][0] + value, *out[-1][1:4], out[-1][4] + 1)
+        else:
+            out.append((value, kind, stop, raw, 1))
+    return out
+
+
+def plain_views(text):
+    """{reading: (stops, [(template words, values of the slots or None)])}."""
+    words = plain_words(text)
+    phrases = plain_phrases(words)
+    raw = [((v, ""), None) for v, *_ in words]
+    plain = [((k, "slot"), v) if k in ("number", "unit") else ((v, ""), None) for v, k, *_ in words]
+    named, opened = [], []
+    for v, k, stop, _, n in phrases:
+        slot = ((k, "slot"), v)
+        named.append(slot if k in ("number", "unit") or k == "name" and not stop else
+                     ((v[0], "and name"), v[1:]) if k == "name" and n > 1 else ((v, ""), None))
+        opened.append(slot if k else ((v, ""), None))
+    return [([w[2] for w in words], [raw, plain]), ([p[2] for p in phrases], [named, opened])]
+
+
+def plain_windows(stops, view, literal_free, n_item):
+    width = min(op1.WIDTH, n_item)
+    for a in range(len(view) - width + 1):
+        part = view[a:a + width]
+        literal = sum(v is None for _, v in part)
+        whole = stops[a] and (a + width == len(view) or stops[a + width])
+        if (literal >= op1.LITERALS or literal_free and width >= op1.LITERALS
+                or width < op1.WIDTH and whole and literal >= op1.SENTENCE_LITERALS
+                or width == 1 == len(view) and literal_free):
+            yield a, tuple(w for w, _ in part)
+
+
+def plainly_contaminated(doc, item):
+    for reading, ((d_stops, d_views), (i_stops, i_views)) in enumerate(zip(plain_views(doc), plain_views(item))):
+        n = len(i_stops)
+        if not n:
+            continue
+        need, width = min(op1.RUN, n), min(op1.WIDTH, n)
+        for k in (1, 2):  # the views up to the k-th
+            at = {}
+            for j, (d, i) in enumerate(list(zip(d_views, i_views))[:k]):
+                literal_free = reading == j == 0
+                theirs = list(plain_windows(i_stops, i, literal_free, n))
+                for a, key in plain_windows(d_stops, d, literal_free, n):
+                    for b, other in theirs:
+                        if key == other:
+                            for x in range(width):
+                                pair = (i[b + x][1], d[a + x][1]) if i[b + x][1] is not None else None
+                                old = at.setdefault(a - b, {}).get(b + x)
+                                at[a - b][b + x] = pair or old
+            for matched in at.values():
+                for a in range(n):
+                    for b in range(a + need, n + 1):
+                        run = [matched.get(q, 0) for q in range(a, b)]
+                        if 0 not in run and op1.one_to_one({p for p in run if p}):
+                            return True
+                if len(matched) >= need and op1.one_to_one({p for p in matched.values() if p}):
+                    return True
+    return False
+
+
+def test_decontamination_equals_plain_comparison(spark):
+    rng = random.Random(5)
+    vocabulary = ("anna Anna Bob O'Neil Mary Smith 3 4 30km 30 km miles in Did the has runs to. of apples, and — buys twenty "
+                  "How many left? x y z w").split()
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [text(n) for n in [1, 2, 3, 4, 4, 5, 5, 6, 7, 8, 9, 10, 12, 13, 16, 20, 24, 30, 30, 40]]
+    swaps = {"Anna": "Bob", "3": "7", "30km": "45 km", "Mary": "Sue Ann", "30": "9", "Smith": "Jones"}
+    docs = []
+    for n in range(160):
+        item = rng.choice(items).split()
+        if n % 4:
+            chosen = rng.sample(sorted(swaps), rng.randrange(4))
+            item = [swaps[w] if w in chosen else w for w in item]
+        if n % 5 == 0 and item:
+            item[rng.randrange(len(item))] = rng.choice(vocabulary)
+        if n % 7 == 0:
+            item = item[rng.randrange(len(item)):]
+        docs.append(" ".join([text(rng.randrange(9)), " ".join(item), text(rng.randrange(9))]).strip())
+    got = set(contaminated_pairs(spark, docs, items))
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items, 1) if plainly_contaminated(doc, item)}
+    assert len(want) > 60
+    assert got == want
+
+
 def test_longest_run_of_agreeing_values():
     assert op1.longest_run([], {}) == []
     assert op1.longest_run([0, 1, 2, 5, 6], {}) == [0, 1, 2]

@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and surrounding punctuation; numbers, units and names become typed
-placeholders.  Windows of the words themselves and of the resulting template are hashed and
-joined in Spark with the benchmark's windows; matches add up by (document, item, offset).  The values that stood in
+placeholders.  Every text is read in two ways.  Word by word: the words themselves, then with
+numbers and units replaced.  By phrases: a name of several words is one placeholder, and so is
+a number with its unit, so that replacements of other lengths do not shift what follows.
+Windows of all readings are hashed and joined in Spark with the benchmark's windows; matches
+add up by (document, item, way of reading, offset).  The values that stood in
 the placeholders must then agree, in all that matches or in a run of it: one value of the
 item is always replaced by the same value of the document and the other way round, as in a
 re-parameterised question.
@@ -28,6 +31,8 @@ from threadwatch.session import ship_package
 WIDTH = 8
 #: template windows with fewer literal words are too general to say anything; windows of the words themselves need none
 LITERALS = 4
+#: literal words that are enough if the window is a whole short item and whole sentences of the document
+SENTENCE_LITERALS = 2
 #: template words that must agree in a row, or the whole item if it is shorter
 RUN = 12
 #: benchmark windows up to which that side is broadcast
@@ -44,32 +49,50 @@ meter meters metre metres kilometer kilometers kilometre kilometres centimeter c
 mph kph kmh c f degree degrees percent % $ € £ ¥ usd eur gbp dollar dollars cent cents euro euros
 """.split()
 
-NUMBER, UNIT, CAPITAL, END, EMPTY = 1, 2, 4, 8, 16
+NUMBER, UNIT, CAPITAL, END, EMPTY, BREAK = 1, 2, 4, 8, 16, 32
+FLAGS = U64(63)
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = U64(0x1111111111111111), U64(0x2222222222222222), U64(0x3333333333333333)
 
 _CORE = re.compile(r"[\w%$€£¥](?:.*[\w%$€£¥])?", re.DOTALL)
 _NUMBER = re.compile(r"[$€£¥]?\d[\d.,:/]*%?")
+#: a number and what is glued to it, as in "30km"
+_GLUED = re.compile(r"([$€£¥]?\d[\d.,:/]*)(\D+)")
+#: "Anna", "Anna-Maria", "O'Neil" and "McDonald", but not "USA"
+_NAME = re.compile(r"[^\W\d_]+(?:[-'’.][^\W\d_]+)*")
 #: words for numbers
 _NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty "
                     "hundred thousand million billion".split())
 _UNITS = set(UNITS)
 
 
+def quantity(word: bytes) -> tuple[bytes, bytes] | None:
+    """The number and the unit of a word that glues them."""
+    m = _CORE.search(word.decode("utf-8", "replace"))
+    m = m and _GLUED.fullmatch(m.group())
+    return (m[1].encode(), m[2].encode()) if m and m[2].lower() in _UNITS else None
+
+
+def phrase(core, place):
+    """What the word at ``place`` (1 and up) of a phrase adds to the phrase's value."""
+    return mix(core + place.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(6)
+
+
 def word_code(word: bytes) -> tuple[int, int]:
     """(core text's hash seed, flags) of a raw word."""
     text = word.decode("utf-8", "replace")
     m = _CORE.search(text)
-    end = END if text.rstrip("\"')]}»”").endswith((".", "!", "?")) else 0
+    tail = text.rstrip("\"')]}»”")
+    end = END if tail.endswith((".", "!", "?")) else BREAK if tail.endswith((",", ";", ":")) else 0
     if m is None:
         return 0, EMPTY | end
     core = m.group()
     low = core.lower()
     flags = end
-    if _NUMBER.fullmatch(core) or low in _NUMBER_WORDS:
+    if _NUMBER.fullmatch(core) or quantity(word) or all(part in _NUMBER_WORDS for part in low.split("-")):
         flags |= NUMBER
     elif low in _UNITS and (len(low) > 1 or not low.isalpha()):
         flags |= UNIT
-    elif core[0].isupper() and core[1:].islower():
+    elif core[0].isupper() and core != core.upper() and _NAME.fullmatch(core):
         flags |= CAPITAL
     seed = int.from_bytes(low.encode()[:8].ljust(8, b"\0"), "little")
     for i in range(8, len(low.encode()), 8):
@@ -77,19 +100,63 @@ def word_code(word: bytes) -> tuple[int, int]:
     return seed, flags
 
 
+def _cores(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    codes = [word_code(w) for w in words]
+    seeds = mix(np.array([c[0] for c in codes], U64) + U64(0x5851F42D4C957F2D))
+    return seeds >> U64(6), np.array([c[1] for c in codes], U64)
+
+
 def _learn(words):
     words = list(words)
-    codes = [word_code(w) for w in words]
-    seeds = mix(np.array([c[0] for c in codes], U64) + U64(0x5851F42D4C957F2D)) & U64(2**64 - 32)
-    return dict(zip(words, (seeds | np.array([c[1] for c in codes], U64)).tolist()))
+    cores, flags = _cores(words)
+    for i, parts in ((i, quantity(w)) for i, w in enumerate(words) if flags[i] & U64(NUMBER)):
+        if parts:  # "30km" has the value of the phrase "30 km"
+            own = _cores(list(parts))[0]
+            cores[i] = own[0] + phrase(own[1:], np.ones(1, np.int64))[0] & U64(2**58 - 1)
+    return dict(zip(words, (cores << U64(6) | flags).tolist()))
 
 
 #: "in" is a unit only after a number
-_IN = U64(_learn([b"in"])[b"in"] >> 5)
+_IN = U64(_learn([b"in"])[b"in"] >> 6)
+
+
+class Reading:
+    """One way of reading a batch: ``doc`` and raw ``word`` position of its words or phrases, whether they open a
+    sentence, and ``views``: (number, template words, which of them are slots, the slots' values)."""
+
+    def __init__(self, n_docs: int, doc, word, stops, views):
+        self.doc, self.word, self.stops, self.views = doc, word, stops, views
+        self.counts = np.bincount(doc, minlength=n_docs)
+
+    def windows(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(view, start positions, hashes) of the windows that say enough, each in the first view that reads it so."""
+        inside = np.flatnonzero(self.doc[:max(0, len(self.doc) - width + 1)] == self.doc[width - 1:])
+        whole, last = None, None
+        for view, values, slots, _ in self.views:
+            hashes = window_hashes(values, width)[inside] + U64(width + 16 * (view > 1))
+            if slots is None:
+                literal = np.full(len(inside), width)
+                good = np.full(len(inside), width >= LITERALS)
+            else:
+                total = np.concatenate([[0], np.cumsum(~slots)])
+                literal = total[inside + width] - total[inside]
+                good = literal >= LITERALS
+            if width < WIDTH:
+                if whole is None:
+                    after = np.append(self.stops, True)[inside + width]
+                    whole = self.stops[inside] & after
+                    alone = (self.counts[self.doc[inside]] == width) if width == 1 else np.zeros(len(inside), bool)
+                good |= whole & (literal >= SENTENCE_LITERALS)
+                if slots is None:
+                    good |= alone
+            if last is not None:  # each view replaces more than the one before
+                good &= hashes != last
+            last = hashes
+            yield view, inside[good], hashes[good]
 
 
 class Templates:
-    """Canonical words of a batch: the words themselves, then numbers and units, names, and names that open a sentence as placeholders, too."""
+    """Both readings of a batch, word by word and by phrases."""
 
     def __init__(self, texts: list[bytes]):
         cut = [t.split() for t in texts]
@@ -97,39 +164,42 @@ class Templates:
         counts = np.array([len(w) for w in cut], np.int64)
         code = np.fromiter((codes[w] for words in cut for w in words), U64, int(counts.sum()))
         doc = np.repeat(np.arange(len(cut)), counts)
-        flags = (code & U64(31)).astype(np.uint8)
+        flags = (code & FLAGS).astype(np.uint8)
         word = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
         stops = np.zeros(len(code), bool)  # the word before ends a sentence, or there is none
         stops[1:] = (flags[:-1] & END > 0) | (doc[1:] != doc[:-1])
         stops[:1] = True
         # a sentence end on a dropped mark counts for the next word, too
         keep = flags & EMPTY == 0
-        self.doc, self.word, flags, stops = doc[keep], word[keep], flags[keep], stops[keep]
-        self.core = code[keep] >> U64(5)
-        self.counts = np.bincount(self.doc, minlength=len(cut))
-        raw = mix(self.core)
-        number, unit = flags & NUMBER > 0, flags & UNIT > 0
-        unit[1:] &= (self.core[1:] != _IN) | (number[:-1] & ~stops[1:])
-        unit[:1] &= self.core[:1] != _IN
+        doc, word, flags, stops, core = doc[keep], word[keep], flags[keep], stops[keep], code[keep] >> U64(6)
+        stops[1:] |= doc[1:] != doc[:-1]
+        number, unit, capital = flags & NUMBER > 0, flags & UNIT > 0, flags & CAPITAL > 0
+        unit[1:] &= (core[1:] != _IN) | (number[:-1] & ~stops[1:])
+        unit[:1] &= core[:1] != _IN
+        raw = mix(core)
         plain = np.where(number, NUMBER_SLOT, np.where(unit, UNIT_SLOT, raw))
-        capital = flags & CAPITAL > 0
-        name = capital & ~stops  # a sentence's first word may be a name or not
-        self.views = [raw, plain, np.where(name, NAME_SLOT, plain), np.where(capital, NAME_SLOT, plain)]
-        slot = number | unit
-        self.slots = [np.zeros(len(slot), bool), slot, slot | name, slot | capital]
-
-    def windows(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(view, start positions, hashes) of all windows of words, and of template windows with enough literal ones."""
-        inside = np.flatnonzero(self.doc[:max(0, len(self.doc) - width + 1)] == self.doc[width - 1:])
-        last = None
-        for view, (values, slots) in enumerate(zip(self.views, self.slots)):
-            hashes = window_hashes(values, width)[inside] + U64(width)
-            good = np.ones(len(inside), bool)
-            if last is not None:  # each view replaces more than the one before
-                total = np.concatenate([[0], np.cumsum(~slots)])
-                good = (total[inside + width] - total[inside] >= min(LITERALS, width)) & (hashes != last)
-            last = hashes
-            yield view, inside[good], hashes[good]
+        words = Reading(len(cut), doc, word, stops, [(0, raw, None, core), (1, plain, number | unit, core)])
+
+        joined = np.zeros(len(core), bool)  # the word goes on with the name or quantity before it
+        joined[1:] = ((capital[1:] & capital[:-1]) | (unit[1:] & number[:-1])) & ~stops[1:] & (flags[:-1] & BREAK == 0)
+        first = np.flatnonzero(~joined)
+        more = np.flatnonzero(joined)
+        of = np.cumsum(~joined)[more] - 1
+        long = np.zeros(len(first), bool)
+        long[of] = True
+        opens, capital, literal = stops[first], capital[first], raw[first]
+        opener = opens & capital & long  # a literal word and a name, or a name as a whole
+        values = []
+        for begin in (first + opener, first):
+            value, place = core[begin], more - begin[of]
+            np.add.at(value, of[place > 0], phrase(core[more[place > 0]], place[place > 0]))
+            values.append(value & U64(2**58 - 1))
+        slot = number[first] | unit[first]
+        plain = plain[first]
+        name = capital & (~opens | long)  # a sentence's first word may be a name or not
+        named = np.where(opener, mix(literal ^ NAME_SLOT), np.where(name, NAME_SLOT, plain))
+        phrases = [(2, named, slot | name, values[0]), (3, np.where(capital, NAME_SLOT, plain), slot | capital, values[1])]
+        self.readings = [words, Reading(len(cut), doc[first], word[first], opens, phrases)]
 
 
 #: ``held`` has a bit for each word that is a slot, ``words`` the words' raw positions
@@ -141,40 +211,41 @@ def _windows(widths: list[int], wanted=None, short: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices_by_bytes(whole, "text", 2 << 20):
-                t = Templates(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
-                first = np.concatenate([[0], np.cumsum(t.counts)])
-                parts = []
-                for width in widths:
-                    for view, at, hashes in t.windows(width):
-                        keep = np.ones(len(at), bool)
-                        if wanted is not None:
-                            keep = may_hold(wanted.value, hashes)
-                        if short:
-                            n = t.counts[t.doc[at]]
-                            keep &= (n == width) if width < WIDTH else (n >= width)
-                        parts.append((width, view, at[keep], hashes[keep]))
-                for width, view, at, hashes in parts:
-                    if not len(at):
-                        continue
-                    doc = t.doc[at]
-                    span = at[:, None] + np.arange(width)
-                    held = t.slots[view][span]
-                    ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))])
-                    values = t.core[span[held]].view(np.int64)
-                    row = pa.array(doc)
-                    places = np.arange(0, len(at) * width + 1, width)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column("row").take(row), batch.column("id").take(row), pa.array(t.counts[doc], pa.int32()),
-                        pa.array(np.full(len(at), width), pa.int32()), pa.array(np.full(len(at), view), pa.int32()),
-                        pa.array(at - first[doc], pa.int32()), pa.array(hashes.view(np.int64)),
-                        pa.array(held @ (1 << np.arange(width)), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(t.word[span].ravel(), pa.int32())),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                        names=["row", "id", "n_words", "width", "view", "pos", "hash", "held", "words", "slots"])
+                texts = Templates(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
+                for t in texts.readings:
+                    for width in widths:
+                        for view, at, hashes in t.windows(width):
+                            keep = np.ones(len(at), bool)
+                            if wanted is not None:
+                                keep = may_hold(wanted.value, hashes)
+                            if short:
+                                n = t.counts[t.doc[at]]
+                                keep &= (n == width) if width < WIDTH else (n >= width)
+                            if keep.any():
+                                yield _rows(batch, t, width, view, at[keep], hashes[keep])
 
     return run
 
 
+def _rows(batch: pa.RecordBatch, t: Reading, width: int, view: int, at: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    doc = t.doc[at]
+    span = at[:, None] + np.arange(width)
+    _, _, slots, core = next(v for v in t.views if v[0] == view)
+    held = np.zeros(span.shape, bool) if slots is None else slots[span]
+    ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))])
+    first = np.concatenate([[0], np.cumsum(t.counts)])
+    row = pa.array(doc)
+    places = np.arange(0, len(at) * width + 1, width)
+    return pa.RecordBatch.from_arrays([
+        batch.column("row").take(row), batch.column("id").take(row), pa.array(t.counts[doc], pa.int32()),
+        pa.array(np.full(len(at), width), pa.int32()), pa.array(np.full(len(at), view), pa.int32()),
+        pa.array(at - first[doc], pa.int32()), pa.array(hashes.view(np.int64)),
+        pa.array(held @ (1 << np.arange(width)), pa.int32()),
+        pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(t.word[span].ravel(), pa.int32())),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(core[span[held]].view(np.int64)))],
+        names=["row", "id", "n_words", "width", "view", "pos", "hash", "held", "words", "slots"])
+
+
 def one_to_one(pairs: set[tuple[int, int]]) -> bool:
     return len(pairs) == len({i for i, _ in pairs}) == len({d for _, d in pairs})
 
@@ -209,10 +280,11 @@ def agreed(hits: list[dict], need: int) -> tuple[int, int, int, int] | None:
     """(matched, first word, values, changed) of what agrees on one offset, if it is ``need`` words or more.
 
     That is all that the windows of a view and those before it match, or else its longest
-    run without a contradiction; the view that matches most counts.
+    run without a contradiction; the view that matches most counts, then the one that replaces
+    the fewest values.
     """
     best = None
-    for view in (2, 3, 1, 0):
+    for view in sorted({h["view"] for h in hits}, key=(2, 3, 1, 0).index):
         word: dict[int, int] = {}
         pairs: dict[int, tuple[int, int]] = {}
         for h in hits:
@@ -226,9 +298,10 @@ def agreed(hits: list[dict], need: int) -> tuple[int, int, int, int] | None:
         part = sorted(word)
         if not one_to_one(set(pairs.values())):
             part = longest_run(part, pairs)
-        if len(part) >= need and (best is None or len(part) > best[0]):
-            own = {pairs[q] for q in part if q in pairs}
-            best = len(part), word[part[0]], len(own), sum(i != d for i, d in own)
+        own = {pairs[q] for q in part if q in pairs}
+        changed = sum(i != d for i, d in own)
+        if len(part) >= need and (best is None or (len(part), -changed) > (best[0], -best[3])):
+            best = len(part), word[part[0]], len(own), changed
     return best
 
 
@@ -256,19 +329,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                  item_col: str = "item_id", item_text_col: str = "text", run: int = RUN) -> DataFrame:
     """One row per (document, benchmark item) where the document holds the item's text or template.
 
-    A pair counts if ``run`` template words, or all of a shorter item, match on one offset and
-    the placeholders' values agree one to one, in all that matches or in ``run`` words in a row;
-    verbatim copies need no literal words.  Items of fewer than ``LITERALS`` words (marks are no
-    words), null and empty texts match nothing.  Returns doc_id, item_id, item_words, matched
-    (template words that agree), coverage (their share of the item), first_word (raw word
-    position in the document), slots (distinct item values), changed (of those, how many the
-    document replaces) and kind (``copy`` or ``re-parameterised``).  Each row is judged by
+    A pair counts if ``run`` template words (or phrases), or all of a shorter item, match on one
+    offset and the placeholders' values agree one to one, in all that matches or in ``run`` of
+    them in a row; verbatim copies of ``LITERALS`` words or more need no literal words.  An item
+    shorter than a window whose template has fewer literal words, or that has fewer words (marks
+    are no words), must be whole sentences of the document with ``SENTENCE_LITERALS`` literal
+    words, and an item of one word must be all of the document: anywhere else such an item says
+    nothing.  Null and empty texts match nothing.  Returns doc_id, item_id, item_words (words, or
+    phrases where these match more), matched (those that agree), coverage (their share of the
+    item), first_word (raw word position in the document), slots (distinct item values), changed
+    (of those, how many the document replaces) and kind (``copy`` or ``re-parameterised``).  Each row is judged by
     itself; of rows that share an id, or have none, the best match is returned under that id.
     Empty tables give an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    widths = list(range(LITERALS, WIDTH + 1))
+    widths = list(range(1, WIDTH + 1))
     items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).cast("long").alias("id"),
                              F.col(item_text_col).cast("string").alias("text")) \
         .mapInArrow(_windows(widths, short=True), WINDOWS)
@@ -282,14 +358,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     hits = stored(found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash", "held"])
                   .select(F.col("row").alias("doc_row"), F.col("id").alias("doc_id"), "item_row", "item_id", "item_words",
                           (F.col("pos") - F.col("q")).alias("diagonal"), F.greatest("view", "item_view").alias("view"),
-                          "q", "held", "words", "item_slots", "slots"))
-    by = ["doc_row", "doc_id", "item_row", "item_id", "item_words", "diagonal"]
+                          (F.col("view") > 1).alias("phrases"), "q", "held", "words", "item_slots", "slots"))
+    by = ["doc_row", "doc_id", "item_row", "item_id", "item_words", "phrases", "diagonal"]
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["q"], h["q"] + F.size(h["words"]) - 1))))
     spans = hits.groupBy(*by).agg(F.collect_list(F.struct("view", "q", "held", "words", "item_slots", "slots")).alias("hits")) \
         .filter(F.size(covered) >= F.least(F.lit(run), "item_words"))
     good = spans.select("doc_id", "item_id", "item_words", "diagonal", "hits").mapInArrow(_judge(run), FOUND)
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(
-        "item_words", "matched", "first_word", "values", "changed"), F.struct("matched", -F.col("diagonal"), -F.col("changed"), -F.col("first_word"))).alias("b"))
+        "item_words", "matched", "first_word", "values", "changed"), F.struct(
+        "matched", -F.col("changed"), -F.col("diagonal"), -F.col("first_word"))).alias("b"))
     return best.select(
         "doc_id", "item_id", F.col("b.item_words").cast("long").alias("item_words"),
         F.col("b.matched").cast("long").alias("matched"), (F.col("b.matched") / F.col("b.item_words")).alias("coverage"),
