@@ -526,6 +526,12 @@ def test_decontamination_equals_plain_comparison(spark):
     assert got == want
 
 
+def test_decontamination_of_long_words_and_texts(spark):
+    item = "one item whose words stand in the middle of a very long text"
+    docs = [f"{'x' * 3_000_000} {item} {'y' * 3_000_000}", " ".join(["so on"] * 300_000) + " " + item, "z" * 3_000_000]
+    assert set(contaminated_pairs(spark, docs, [item])) == {(0, 1), (1, 1)}
+
+
 def test_longest_run_of_agreeing_values():
     assert op1.longest_run([], {}) == []
     assert op1.longest_run([0, 1, 2, 5, 6], {}) == [0, 1, 2]

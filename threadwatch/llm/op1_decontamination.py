@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadwatch.llm.lookups import hash_filter, may_hold, small_side
-from threadwatch.llm.pieces import Memory
+from threadwatch.llm.pieces import REMEMBERED
 from threadwatch.llm.tables import stored
-from threadwatch.llm.words import U64, mix, slices_by_bytes, window_hashes
+from threadwatch.llm.words import U64, Words, mix, slices_by_bytes, window_hashes
+from threadwatch.llm.workers import begin, kept
 from threadwatch.session import ship_package
 
 WIDTH = 8
@@ -94,9 +95,10 @@ def word_code(word: bytes) -> tuple[int, int]:
         flags |= UNIT
     elif core[0].isupper() and core != core.upper() and _NAME.fullmatch(core):
         flags |= CAPITAL
-    seed = int.from_bytes(low.encode()[:8].ljust(8, b"\0"), "little")
-    for i in range(8, len(low.encode()), 8):
-        seed = (seed * 0x9E3779B97F4A7C15 + int.from_bytes(low.encode()[i:i + 8].ljust(8, b"\0"), "little") + 1) % 2**64
+    data = low.encode()
+    seed = int.from_bytes(data[:8], "little")
+    for i in range(8, len(data), 8):
+        seed = (seed * 0x9E3779B97F4A7C15 + int.from_bytes(data[i:i + 8], "little") + 1) % 2**64
     return seed, flags
 
 
@@ -106,18 +108,30 @@ def _cores(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return seeds >> U64(6), np.array([c[1] for c in codes], U64)
 
 
-def _learn(words):
-    words = list(words)
+def _learn(words: list[bytes]) -> list[int]:
     cores, flags = _cores(words)
     for i, parts in ((i, quantity(w)) for i, w in enumerate(words) if flags[i] & U64(NUMBER)):
         if parts:  # "30km" has the value of the phrase "30 km"
             own = _cores(list(parts))[0]
             cores[i] = own[0] + phrase(own[1:], np.ones(1, np.int64))[0] & U64(2**58 - 1)
-    return dict(zip(words, (cores << U64(6) | flags).tolist()))
+    return (cores << U64(6) | flags).tolist()
 
 
 #: "in" is a unit only after a number
-_IN = U64(_learn([b"in"])[b"in"] >> 6)
+_IN = U64(_learn([b"in"])[0] >> 6)
+#: codes of words seen, by the words' 64-bit hashes
+_SEEN: dict[int, int] = kept({})
+
+
+def _codes(words: Words) -> np.ndarray:
+    """Codes of all words of a batch; each distinct word is looked up once."""
+    own, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    if len(_SEEN) > REMEMBERED:
+        _SEEN.clear()
+    keys = own.tolist()
+    new = [i for i, k in enumerate(keys) if k not in _SEEN]
+    _SEEN.update(zip((keys[i] for i in new), _learn([words.text(at[i]) for i in new])))
+    return np.array([_SEEN[k] for k in keys], U64)[back]
 
 
 class Reading:
@@ -158,14 +172,11 @@ class Reading:
 class Templates:
     """Both readings of a batch, word by word and by phrases."""
 
-    def __init__(self, texts: list[bytes]):
-        cut = [t.split() for t in texts]
-        codes = Memory.of("template words").lookup(cut, _learn)
-        counts = np.array([len(w) for w in cut], np.int64)
-        code = np.fromiter((codes[w] for words in cut for w in words), U64, int(counts.sum()))
-        doc = np.repeat(np.arange(len(cut)), counts)
+    def __init__(self, texts: pa.Array):
+        split = Words(texts)
+        code, doc = _codes(split), split.doc
         flags = (code & FLAGS).astype(np.uint8)
-        word = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
+        word = np.arange(len(code)) - split.first[doc]
         stops = np.zeros(len(code), bool)  # the word before ends a sentence, or there is none
         stops[1:] = (flags[:-1] & END > 0) | (doc[1:] != doc[:-1])
         stops[:1] = True
@@ -178,7 +189,7 @@ class Templates:
         unit[:1] &= core[:1] != _IN
         raw = mix(core)
         plain = np.where(number, NUMBER_SLOT, np.where(unit, UNIT_SLOT, raw))
-        words = Reading(len(cut), doc, word, stops, [(0, raw, None, core), (1, plain, number | unit, core)])
+        words = Reading(len(texts), doc, word, stops, [(0, raw, None, core), (1, plain, number | unit, core)])
 
         joined = np.zeros(len(core), bool)  # the word goes on with the name or quantity before it
         joined[1:] = ((capital[1:] & capital[:-1]) | (unit[1:] & number[:-1])) & ~stops[1:] & (flags[:-1] & BREAK == 0)
@@ -199,7 +210,7 @@ class Templates:
         name = capital & (~opens | long)  # a sentence's first word may be a name or not
         named = np.where(opener, mix(literal ^ NAME_SLOT), np.where(name, NAME_SLOT, plain))
         phrases = [(2, named, slot | name, values[0]), (3, np.where(capital, NAME_SLOT, plain), slot | capital, values[1])]
-        self.readings = [words, Reading(len(cut), doc[first], word[first], opens, phrases)]
+        self.readings = [words, Reading(len(texts), doc[first], word[first], opens, phrases)]
 
 
 #: ``held`` has a bit for each word that is a slot, ``words`` the words' raw positions
@@ -209,10 +220,10 @@ WINDOWS = "row long, id long, n_words int, width int, view int, pos int, hash lo
 def _windows(widths: list[int], wanted=None, short: bool = False):
     """Rows of template windows: those that ``wanted`` may hold, or all; ``short`` items are one window each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("template words")
         for whole in batches:
             for batch in slices_by_bytes(whole, "text", 2 << 20):
-                texts = Templates(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
-                for t in texts.readings:
+                for t in Templates(batch.column("text")).readings:
                     for width in widths:
                         for view, at, hashes in t.windows(width):
                             keep = np.ones(len(at), bool)
