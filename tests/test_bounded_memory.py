@@ -39,3 +39,22 @@ def test_score_and_keep_batches_are_bounded_by_bytes(spark, tmp_path):
     got = answers.collect()
     assert len(got) == 300 and failures.isEmpty()
     assert max(int(r["raw_answer"].split()[1]) for r in got) < 30 << 20
+
+
+def test_nfkc_holds_few_texts_as_strings():
+    import tracemalloc
+    import unicodedata
+
+    import pyarrow as pa
+
+    from threadwatch.functions import text
+    texts = ["ﬁ　①" * 2000 + str(i) for i in range(1000)] + [None, ""]
+    given = pa.array(texts)
+    want = pa.array([t and unicodedata.normalize("NFKC", t) for t in texts])
+    tracemalloc.start()
+    got = text._nfkc.func(given)  # 1,000 texts of 12 kB before and after: 2 MB of strings a slice
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.equals(want)
+    assert peak < 6 << 20
+    assert text._nfkc.func(given.slice(0, 0)).to_pylist() == []
