@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadwatch.llm.lookups import hash_filter, may_hold, small_side
-from threadwatch.llm.pieces import REMEMBERED
 from threadwatch.llm.tables import stored
-from threadwatch.llm.words import U64, Words, mix, slices_by_bytes, window_hashes
+from threadwatch.llm.words import LOWER_CASE, U64, Words, mix, slices_by_bytes, window_hashes
 from threadwatch.llm.workers import begin, kept
-from threadwatch.session import ship_package
+from threadwatch.session import ship_package, small_arrow_batches
 
 WIDTH = 8
 #: template windows with fewer literal words are too general to say anything; windows of the words themselves need none
@@ -36,6 +35,8 @@ LITERALS = 4
 SENTENCE_LITERALS = 2
 #: template words that must agree in a row, or the whole item if it is shorter
 RUN = 12
+#: bytes of text read at once; the arrays made of them take some fifty times that
+SLICE_BYTES = 1 << 20
 #: benchmark windows up to which that side is broadcast
 BROADCAST_WINDOWS = 200_000
 
@@ -119,19 +120,97 @@ def _learn(words: list[bytes]) -> list[int]:
 
 #: "in" is a unit only after a number
 _IN = U64(_learn([b"in"])[0] >> 6)
-#: codes of words seen, by the words' 64-bit hashes
+#: codes of words seen that are not plain, by the words' 64-bit hashes
 _SEEN: dict[int, int] = kept({})
+#: words that a worker remembers
+REMEMBERED = 200_000
+
+# What a byte may be in a plain word: ASCII and the letters of U+00C0 to U+00FF (bytes C3 80 to C3 BF).
+_ODD, _LOWER, _SIGN = 1, 2, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x41:0x5B] = 0
+_KIND[0x61:0x7B] = _LOWER
+_KIND[[0x24, 0x25]] = _SIGN
+_KIND[0xC3] = 0
+#: ASCII marks, which may stand around a core
+_MARK = np.ones(256, bool)
+_MARK[0x80:] = False
+_MARK[[0x24, 0x25, 0x5F, *range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+_CLOSING = np.isin(np.arange(256), list(b"\"')]}"))
+_STOP = np.zeros(256, np.uint8)
+_STOP[list(b".!?")] = END
+_STOP[list(b",;:")] = BREAK
+#: marks on either side of a plain word's core, at most
+MARKS = 8
+#: lowest ``n`` bytes of eight
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: seeds of words that are numbers or units
+_SPECIAL = np.array(sorted({word_code(w.encode())[0] for w in _UNITS | _NUMBER_WORDS}), U64)
+
+
+def _plain_codes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words, places of those whose code is not found here).
+
+    A plain word is letters (and signs) with marks around them, no number and no unit.  What
+    ``word_code`` and ``_cores`` say of it is read off the bytes, for all words at once.
+    """
+    buf = np.concatenate([words.buf, np.zeros(8, np.uint8)])
+    start, end = words.start.copy(), words.end.copy()
+    for at, step, bound in ((start, 1, end), (end, -1, start)):
+        look = np.arange(len(at))
+        for _ in range(MARKS):
+            look = look[(start[look] < end[look]) & _MARK[buf[at[look] - (step < 0)]]]
+            at[look] += step
+    odd = (start >= end) | _MARK[buf[start]] | _MARK[buf[end - 1]]
+    start[odd], end[odd] = words.start[odd], words.end[odd]
+
+    kind, lead = _KIND[buf], np.flatnonzero(buf == 0xC3) + 1
+    follow = buf[lead]
+    kind[lead] = np.where((follow == 0x97) | (follow == 0xB7), _ODD, np.where(follow >= 0x9F, _LOWER, 0))
+    held = np.bitwise_or.reduceat(kind, np.column_stack([start, end]).ravel())[::2]
+    first = buf[start]
+    upper = ((first >= 0x41) & (first <= 0x5A)) | ((first == 0xC3) & (buf[start + 1] < 0x9F))
+    flags = np.where(upper & (held == _LOWER), CAPITAL, 0).astype(np.uint8)
+
+    marked = np.flatnonzero(end < words.end)
+    last = words.end[marked] - 1
+    look = np.arange(len(marked))
+    for _ in range(MARKS):
+        look = look[_CLOSING[buf[last[look]]]]
+        last[look] -= 1
+    flags[marked] |= _STOP[buf[last]]
+
+    buf = LOWER_CASE[buf]
+    buf[lead] += np.where((follow < 0x9F), 0x20, 0).astype(np.uint8)
+    eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+    size = end - start
+    seed = eight[start] & _BYTES[np.minimum(size, 8)]
+    more = np.flatnonzero((size > 8) & (held & _ODD == 0))
+    done = 8
+    while len(more):
+        part = eight[start[more] + done] & _BYTES[np.minimum(size[more] - done, 8)]
+        seed[more] = seed[more] * U64(0x9E3779B97F4A7C15) + part + U64(1)
+        done += 8
+        more = more[size[more] > done]
+    odd |= (held & _ODD > 0) | np.isin(seed, _SPECIAL)
+    code = mix(seed + U64(0x5851F42D4C957F2D)) & ~FLAGS | flags
+    return code, np.flatnonzero(odd)
 
 
 def _codes(words: Words) -> np.ndarray:
-    """Codes of all words of a batch; each distinct word is looked up once."""
-    own, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    """Codes of all words of a batch; each distinct word that is not plain is looked up once."""
+    if not len(words):
+        return np.zeros(0, U64)
+    code, odd = _plain_codes(words)
+    own, at, back = np.unique(words.hashes()[odd], return_index=True, return_inverse=True)
     if len(_SEEN) > REMEMBERED:
         _SEEN.clear()
     keys = own.tolist()
     new = [i for i, k in enumerate(keys) if k not in _SEEN]
-    _SEEN.update(zip((keys[i] for i in new), _learn([words.text(at[i]) for i in new])))
-    return np.array([_SEEN[k] for k in keys], U64)[back]
+    if new:
+        _SEEN.update(zip((keys[i] for i in new), _learn([words.text(odd[at[i]]) for i in new])))
+    code[odd] = np.array([_SEEN[k] for k in keys], U64)[back]
+    return code
 
 
 class Reading:
@@ -222,7 +301,7 @@ def _windows(widths: list[int], wanted=None, short: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("template words")
         for whole in batches:
-            for batch in slices_by_bytes(whole, "text", 2 << 20):
+            for batch in slices_by_bytes(whole, "text", SLICE_BYTES):
                 for t in Templates(batch.column("text")).readings:
                     for width in widths:
                         for view, at, hashes in t.windows(width):
@@ -366,10 +445,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     lengths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH rows
     found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).cast("string").alias("text")).mapInArrow(_windows(lengths, wanted), WINDOWS)
-    hits = stored(found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash", "held"])
-                  .select(F.col("row").alias("doc_row"), F.col("id").alias("doc_id"), "item_row", "item_id", "item_words",
-                          (F.col("pos") - F.col("q")).alias("diagonal"), F.greatest("view", "item_view").alias("view"),
-                          (F.col("view") > 1).alias("phrases"), "q", "held", "words", "item_slots", "slots"))
+    hits = found.join(small_side(items, BROADCAST_WINDOWS), ["width", "hash", "held"]) \
+        .select(F.col("row").alias("doc_row"), F.col("id").alias("doc_id"), "item_row", "item_id", "item_words",
+                (F.col("pos") - F.col("q")).alias("diagonal"), F.greatest("view", "item_view").alias("view"),
+                (F.col("view") > 1).alias("phrases"), "q", "held", "words", "item_slots", "slots")
+    with small_arrow_batches(spark):
+        hits = stored(hits)
     by = ["doc_row", "doc_id", "item_row", "item_id", "item_words", "phrases", "diagonal"]
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["q"], h["q"] + F.size(h["words"]) - 1))))
     spans = hits.groupBy(*by).agg(F.collect_list(F.struct("view", "q", "held", "words", "item_slots", "slots")).alias("hits")) \
