@@ -14,7 +14,6 @@ manifest, a small Parquet table, says which ids of the whole corpus each file ho
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import uuid
@@ -27,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadwatch.llm.pieces import model_path
+from threadwatch.llm.pieces import _CUT, _PLAIN, Encoder, _packed, model_path
+from threadwatch.llm.tables import stored
 from threadwatch.llm.words import slices_by_bytes
 from threadwatch.llm.workers import begin, kept
-from threadwatch.session import ensure_checkpoint_dir, ship_package
+from threadwatch.session import ensure_checkpoint_dir, ship_package, small_arrow_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -39,8 +39,12 @@ FILE_IDS = 1 << 22
 #: bytes of text in a range of documents, about
 RANGE_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
+#: ids that are read back at once, about
+READ_IDS = 1 << 18
 #: words that a worker remembers, in each of two generations
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: parts of words that a worker remembers
+PARTS = 50_000
 LONG_WORD = 64
 LONG_TEXT = 1 << 16
 
@@ -69,10 +73,9 @@ def _directory(words: np.ndarray) -> np.ndarray:
 def encode_levels(ids: np.ndarray) -> list[bytes]:
     """The levels of an array of ids: chunk count, chunks and, but for the last level, bitmap and rank directory."""
     out = []
-    rest = ids.astype(np.uint32)
+    rest = ids.astype(np.uint32, copy=False)
     while True:
-        more = rest >> np.uint32(8)
-        goes_on = more > 0
+        goes_on = rest > 255
         last = not goes_on.any()
         part = struct.pack("<Q", len(rest)) + rest.astype(np.uint8).tobytes()
         part += b"\0" * (-len(part) % 8)
@@ -82,7 +85,7 @@ def encode_levels(ids: np.ndarray) -> list[bytes]:
         out.append(part)
         if last:
             return out
-        rest = more[goes_on]
+        rest = rest[goes_on] >> np.uint32(8)
 
 
 class TokenFile:
@@ -177,11 +180,22 @@ _SAFE = re.compile(r"(?<=\S)(?=\s)")
 _RUNS = re.compile(r"\s \s|\s \Z")
 
 
+class _Known(dict):
+    """Ids by word; a word that is not there is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class WordIds:
     """Packed ids of words as they stand after a space; one per worker and vocabulary.
 
-    Texts are cut at spaces.  Words not seen lately are put together with single spaces and
-    encoded in one call; where a token opens with a space, the next word's tokens begin.
+    Texts are cut at spaces.  A word not seen lately is cut further before other white space
+    and its pieces go to the library, a piece of letters and marks straight to its model.
     """
 
     _made: dict[str, "WordIds"] = kept({})
@@ -194,85 +208,87 @@ class WordIds:
         return cls._made[name]
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        split = spec.get("pre_tokenizer") or {}
+        self.pieces = Encoder(path)
         #: whether tokens end before a space that follows another character
-        self.cuts = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer")
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # a byte-level vocabulary's space
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
+        self.cuts = self.pieces.byte_level
+        self.special = [t.content for t in self.pieces.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.pieces.model.tokenize
+        self.young = _Known(self._learn)
         self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known words that are empty or have white space at an end
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        plain = [w for w in words if w and w == w.strip()]
-        if plain:
-            ids = self._ids([" " + " ".join(plain)])[0]
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(plain) and at[0] == 0:
-                raw, edges = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
-                yield from ((w, raw[i:j]) for w, i, j in zip(plain, edges, edges[1:]))
-            else:
-                yield from zip(plain, (x.tobytes() for x in self._ids([" " + w for w in plain])))
-        rest = [w for w in words if not w or w != w.strip()]
-        yield from zip(rest, (x.tobytes() for x in self._ids([" " + w for w in rest])))
-
-    def _know(self, words: set[str]) -> list[str]:
-        """See to it that ``young`` has all ``words``; returns those too long to keep."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young, self.odd = self.young, {}, set()
-        missing = words - self.young.keys()
-        again = missing & self.old.keys()
-        self.young.update((w, self.old[w]) for w in again)
-        self.young.update(self._learn(list(missing - again)))
-        self.odd.update(w for w in missing if not w or w != w.strip())
-        return [w for w in missing if len(w) > LONG_WORD]
+        self.passing: list[str] = []  # odd words of the text at hand that are too long to keep
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.pieces.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        """A text without special strings, cut before white space that follows other characters."""
+        parts = _CUT.split(text)
+        found = self.pieces.encode(set(parts))
+        if len(self.pieces.parts) > PARTS:
+            self.pieces.parts.clear()
+        return b"".join(map(found.__getitem__, parts))
+
+    def _learn(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            m = _PLAIN.fullmatch(word) if len(word) <= LONG_WORD else None
+            if m is not None and not m[1]:  # letters and marks: the model's tokens of either
+                ids = _packed([t.id for t in self.tokenize("Ġ" + m[2] if word.isascii() else self.pieces._shown(" " + m[2]))])
+                if m[3]:
+                    ids += self.pieces._part(m[3])
+                self.young[word] = ids
+                return ids
+            ids = self._ids(" " + word)
+        keep = len(word) <= LONG_WORD
+        if keep:
+            self.young[word] = ids
+        if not word or word != word.strip():
+            self.odd.add(word)
+            if not keep:
+                self.passing.append(word)
+        return ids
 
     def _whole(self, text: str) -> bytes:
         """A text that is not cut at its spaces, in parts of some length that end before white space."""
         if not self.cuts:
-            return self._ids([text])[0].tobytes()
+            return self._library(text)
         out, at = [], 0
         while at < len(text):
             m = _SAFE.search(text, at + LONG_TEXT)
             end = m.end() if m else len(text)
-            out.append(self._ids([text[at:end]])[0].tobytes())
+            out.append(self._library(text[at:end]))
             at = end
         return b"".join(out)
 
+    def _one(self, text: str) -> bytes:
+        if not text or not self.cuts or any(s in text for s in self.special):
+            return self._whole(text)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young, self.odd = dict(self.young), _Known(self._learn), set()
+        words = text.split(" ")
+        ids = b"".join([self._ids(words[0]), *map(self.young.__getitem__, words[1:])])
+        # only odd words make runs of white space
+        if self.odd and not self.odd.isdisjoint(words) and _RUNS.search(text):
+            ids = self._whole(text)
+        if self.passing:
+            self.odd.difference_update(self.passing)
+            self.passing.clear()
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers."""
-        cut = [t.split(" ") if self.cuts and not any(s in t for s in self.special) else None for t in texts]
-        words = set().union(*[c[1:] for c in cut if c])
-        passing = self._know(words)
-        if not self.odd.isdisjoint(words):  # only such words make runs of white space
-            cut = [None if c and _RUNS.search(t) else c for t, c in zip(texts, cut)]
-        first = list({c[0] for c in cut if c})
-        leads = dict(zip(first, (x.tobytes() for x in self._ids(first))))
-        known = self.young
-        out = [self._whole(t) if c is None else b"".join([leads[c[0]], *map(known.__getitem__, c[1:])])
-               for t, c in zip(texts, cut)]
-        for w in passing:
-            del known[w]
-        return out
+        return [self._one(t) for t in texts]
 
 
 def _files(vocabulary: str, file_ids: int):
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         end = END_ID.to_bytes(4, "little")
-        doc_ids, lengths, parts, size = [], [], [], 0
+        doc_ids, lengths, held, size = [], [], bytearray(), 0
 
         def made():
-            content = file_bytes(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"), part, number)
+            content = file_bytes(doc_ids, lengths, np.frombuffer(held, "<u4"), part, number)
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
 
         for whole in batches:
@@ -282,12 +298,12 @@ def _files(vocabulary: str, file_ids: int):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                     doc_ids.append(doc_id)
                     lengths.append(len(ids) // 4 + 1)
-                    parts += [ids, end]
+                    held += ids + end
                     size += lengths[-1]
                     if size >= file_ids:
                         yield made()
                         number += 1
-                        doc_ids, lengths, parts, size = [], [], [], 0
+                        doc_ids, lengths, held, size = [], [], bytearray(), 0
         if doc_ids:
             yield made()
 
@@ -320,8 +336,9 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
     ordered = rows.withColumn("place", F.monotonically_increasing_id()) \
         .repartitionByRange(max(1, -(-total // range_bytes)), *order).sortWithinPartitions(*order)
     content = ordered.select("doc_id", "text").mapInArrow(_files(vocabulary, file_ids), "content binary")
-    content.select(F.col("content").cast("string").alias("value")) \
-        .write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{path}/files")
+    with small_arrow_batches(spark):
+        content.select(F.col("content").cast("string").alias("value")) \
+            .write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{path}/files")
 
     heads = spark.read.format("binaryFile").load(f"{path}/files").filter("length > 1") \
         .select("path", F.expr(f"substring(content, 1, {HEADER.size})").alias("content"))
@@ -357,8 +374,14 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             f = TokenFile(content.as_buffer())
-            ids, edges = memoryview(f.between(0, len(f)).tobytes()), (4 * f.starts).tolist()
-            crc = [zlib.crc32(ids[i:j]) for i, j in zip(edges, edges[1:])]
+            crc, done = [], 0
+            while done < f.n_docs:  # some documents at a time: decoding takes several times the room of their ids
+                upto = max(done + 1, int(np.searchsorted(f.starts, f.starts[done] + READ_IDS, "right")) - 1)
+                edges = f.starts[done:upto + 1]
+                ids = memoryview(f.between(int(edges[0]), int(edges[-1])).tobytes())
+                edges = (4 * (edges - edges[0])).tolist()
+                crc += [zlib.crc32(ids[i:j]) for i, j in zip(edges, edges[1:])]
+                done = upto
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(f.n_docs, f.range), pa.int64()), pa.array(np.full(f.n_docs, f.number), pa.int64()),
                 pa.array(f.doc_ids, mask=~f.known), pa.array(f.starts[:-1]), pa.array(np.diff(f.starts)),
@@ -412,4 +435,5 @@ def op11_direct_token_files(spark, sf_dir: str) -> DataFrame:
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return read_documents(spark, path)
+    with small_arrow_batches(spark):  # a file at a time goes to Python
+        return stored(read_documents(spark, path))
