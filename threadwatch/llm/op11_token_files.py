@@ -194,8 +194,9 @@ class _Known(dict):
 class WordIds:
     """Packed ids of words as they stand after a space; one per worker and vocabulary.
 
-    Texts are cut at spaces.  A word not seen lately is cut further before other white space
-    and its pieces go to the library, a piece of letters and marks straight to its model.
+    Texts are cut at spaces.  Letters not seen lately, with marks or not, go straight to the
+    library's model; any other new word is cut further before other white space and its
+    pieces go to the library.  Two plain words around a line feed are taken apart.
     """
 
     _made: dict[str, "WordIds"] = kept({})
@@ -229,18 +230,41 @@ class WordIds:
             self.pieces.parts.clear()
         return b"".join(map(found.__getitem__, parts))
 
+    def _letters(self, word: str) -> bytes:
+        return _packed([t.id for t in self.tokenize("Ġ" + word if word.isascii() else self.pieces._shown(" " + word))])
+
+    def _plain(self, word: str) -> bytes | None:
+        """A word of letters, then marks: the model's tokens of either, those of known letters as they are; None for another."""
+        m = _PLAIN.fullmatch(word)
+        if m is None or m[1]:
+            return None
+        ids = self.young.get(m[2]) or self.old.get(m[2]) or self._letters(m[2])
+        return ids + self.pieces._part(m[3]) if m[3] else ids
+
+    def _two_lines(self, word: str) -> bytes | None:
+        """A plain or known word, a line feed and a plain word; None for another."""
+        line, _, rest = word.partition("\n")
+        if not rest or not line or line != line.strip():
+            return None
+        ids = self.young.get(line) or self.old.get(line) or self._plain(line)
+        more = self.pieces._direct("\n" + rest) if ids else None
+        if len(self.pieces.parts) > PARTS:
+            self.pieces.parts.clear()
+        return ids + more if more else None
+
     def _learn(self, word: str) -> bytes:
         ids = self.old.get(word)
+        keep = len(word) <= LONG_WORD
         if ids is None:
-            m = _PLAIN.fullmatch(word) if len(word) <= LONG_WORD else None
-            if m is not None and not m[1]:  # letters and marks: the model's tokens of either
-                ids = _packed([t.id for t in self.tokenize("Ġ" + m[2] if word.isascii() else self.pieces._shown(" " + m[2]))])
-                if m[3]:
-                    ids += self.pieces._part(m[3])
-                self.young[word] = ids
-                return ids
+            if keep:
+                ids = self._letters(word) if word.isascii() and word.isalpha() else self._plain(word)
+                if ids is not None:
+                    self.young[word] = ids
+                    return ids
+                ids = self._two_lines(word)
+                if ids is not None:  # not kept: the same lines seldom meet again
+                    return ids
             ids = self._ids(" " + word)
-        keep = len(word) <= LONG_WORD
         if keep:
             self.young[word] = ids
         if not word or word != word.strip():

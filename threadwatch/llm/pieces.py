@@ -10,6 +10,7 @@ full encoding; any other piece is encoded by the tokenizer as a text of its own.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -72,6 +73,7 @@ class Encoder:
             spec = json.load(f)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.table = "".join(self.letters)
         self.parts: dict[str, bytes] = {}
         self.ascii = str.maketrans({chr(b): self.letters[b] for b in range(128)})
         #: the two pipelines that the direct way knows; any other vocabulary is encoded by the tokenizer alone
@@ -83,7 +85,7 @@ class Encoder:
     def _shown(self, piece: str) -> str:
         if piece.isascii():
             return piece.translate(self.ascii)
-        return "".join([self.letters[b] for b in piece.encode()])
+        return codecs.charmap_decode(piece.encode(), "strict", self.table)[0]
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
